@@ -1,0 +1,14 @@
+"""Broadcasting only where the size is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a few dozen bytes: at most some tens of megabytes on each executor.
+MOST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int | None) -> DataFrame:
+    """Hint a broadcast when ``rows`` proves the side small; else leave the join to Spark."""
+    return F.broadcast(df) if rows is not None and rows <= MOST_ROWS else df

@@ -6,7 +6,7 @@ import importlib
 
 from strikebook.plans.registry import Query
 
-FAMILIES = ("book",)
+FAMILIES = ("book", "market")
 
 
 def all_queries() -> list[Query]:

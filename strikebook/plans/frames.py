@@ -7,10 +7,13 @@ of a comparison start from the same rows. ``{name}`` names a table or another fr
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strikebook.operators.calendar import national_days
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -212,6 +215,99 @@ SELECT conv_id * 100 + turn AS edit_id, conv_id * 7 % 1500 AS note_id, turn,
 FROM {conversations}
 """
 
+# Inflation index numbers by month, and the day each becomes known.
+FRAMES["ipca_index"] = """
+SELECT month, ni, month + CAST(35 + month(month) * 7 % 33 AS INT) AS published_on FROM (
+ SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+        CAST(1000 + max(o_totalprice) / 10 AS DECIMAL(18,4)) AS ni
+ FROM {orders} GROUP BY 1) AS monthly
+"""
+FRAMES["fx"] = """
+SELECT event_type AS currency, CAST(ts AS DATE) AS quoted_on, CAST(1 + max(value) / 100 AS DECIMAL(18,4)) AS rate
+FROM {events} GROUP BY 1, 2
+"""
+# What notes read from the fixings at each end of their life, and the currency they carry.
+FRAMES["windows"] = """
+SELECT note_id, asset, quote_type, start_date, start_date + 5 AS start_until, end_date - 5 AS end_from, end_date,
+       CASE CAST(note_id % 5 AS INT) WHEN 0 THEN 'single' WHEN 1 THEN 'mean_n' WHEN 2 THEN 'max'
+            WHEN 3 THEN 'min' ELSE 'mean' END AS criterion,
+       CAST(1 + note_id % 3 AS INT) AS n,
+       CASE CAST(note_id % 5 AS INT) WHEN 0 THEN 'signup' WHEN 1 THEN 'view' WHEN 2 THEN 'error'
+            WHEN 3 THEN 'purchase' ELSE 'click' END AS currency,
+       note_id % 4 = 0 AS quanto
+FROM {terms} AS t
+"""
+# Barrier levels of the notes, in price points.
+FRAMES["barriers"] = """
+SELECT note_id, asset, start_date, end_date, quote_type,
+       CASE CAST(note_id % 3 AS INT) WHEN 0 THEN 'american' WHEN 1 THEN 'european' ELSE 'discrete' END AS observation,
+       CASE WHEN note_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction,
+       CAST(CASE WHEN note_id % 2 = 0 THEN 100 + upper_pct ELSE 80 + lower_pct / 2 END AS DECIMAL(18,8)) AS level,
+       CAST(100 + note_id % 20 AS DECIMAL(18,8)) AS low,
+       CAST(100 + note_id % 20 + participation AS DECIMAL(18,8)) AS high
+FROM {terms} AS t
+"""
+
+# What follows is written for DuckDB alone: the same rows the operators build.
+FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2028, 12, 31)
+FRAMES["d_holidays"] = "SELECT CAST(d AS DATE) AS holiday_date FROM (VALUES {days}) AS v(d)".replace(
+    "{days}", ", ".join(f"('{d}')" for d in national_days(FIRST_DAY.year, LAST_DAY.year))
+)
+FRAMES["d_calendar"] = """
+SELECT day, is_business_day, CAST(sum(CAST(is_business_day AS INT)) OVER (ORDER BY day) AS BIGINT) AS bd_index,
+       min(CASE WHEN is_business_day THEN day END)
+         OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_bd
+FROM (SELECT day, isodow(day) < 6 AND day NOT IN (SELECT holiday_date FROM {d_holidays} h) AS is_business_day
+      FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS day))
+"""
+FRAMES["d_fixings"] = """
+SELECT asset, fixing_date, last(price ORDER BY ts, tick_id) AS close,
+       CAST(round(avg(price), 8) AS DECIMAL(18,8)) AS avg, max(price) AS high, min(price) AS low
+FROM {ticks} t GROUP BY 1, 2
+"""
+FRAMES["d_observed"] = """
+SELECT t.*, f.fixing_date AS day,
+       CASE t.quote_type WHEN 'close' THEN f.close WHEN 'avg' THEN f.avg WHEN 'high' THEN f.high ELSE f.low END AS price
+FROM {barriers} t JOIN {d_fixings} f ON f.asset = t.asset AND f.fixing_date BETWEEN t.start_date AND t.end_date
+"""
+
+
+def exact_mean(total: str, n: str) -> str:
+    """DuckDB text of a positive eight-decimal mean, rounded half up without binary noise."""
+    scaled = f"CAST({total} * 100000000 AS HUGEINT)"
+    return (
+        f"CAST(CAST((2 * {scaled} + {n}) // (2 * {n}) AS DECIMAL(20,0)) * CAST(0.00000001 AS DECIMAL(9,8)) "
+        "AS DECIMAL(18,8))"
+    )
+
+
+def exact_change(numerator: str, denominator: str) -> str:
+    """DuckDB text of ``numerator / denominator - 1`` to eight decimals, half away from zero."""
+    a, b = (f"CAST(CAST({x} AS DECIMAL(28,8)) * 100000000 AS HUGEINT)" for x in (numerator, denominator))
+    units = f"sign({a} - {b}) * ((2 * abs({a} - {b}) * 100000000 + {b}) // (2 * {b}))"
+    return f"CAST(CAST({units} AS DECIMAL(20,0)) * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(18,8))"
+
+
+def _edge_value(column: str, start: str, end: str, order: str) -> str:
+    mean_all = exact_mean("sum(price)", "count(*)")
+    mean_n = exact_mean("sum(price) FILTER (rn <= n)", "(count(*) FILTER (rn <= n))")
+    return f"""
+SELECT note_id, CASE criterion WHEN 'single' THEN min(price) FILTER (rn = 1) WHEN 'mean_n' THEN {mean_n}
+       WHEN 'max' THEN max(price) WHEN 'min' THEN min(price) ELSE {mean_all} END AS {column}
+FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY day {order}) AS rn FROM (
+  SELECT w.note_id, w.criterion, w.n, f.fixing_date AS day,
+         CASE w.quote_type WHEN 'close' THEN f.close WHEN 'avg' THEN f.avg WHEN 'high' THEN f.high ELSE f.low END AS price
+  FROM {{windows}} w JOIN {{d_fixings}} f ON f.asset = w.asset AND f.fixing_date BETWEEN w.{start} AND w.{end}) p) r
+GROUP BY note_id, criterion, n"""
+
+
+FRAMES["d_initial"] = _edge_value("s0", "start_date", "start_until", "ASC")
+FRAMES["d_final"] = _edge_value("st", "end_from", "end_date", "DESC")
+FRAMES["d_perf"] = """
+SELECT w.note_id, i.s0, f.st, CAST(f.st AS DOUBLE) / CAST(i.s0 AS DOUBLE) - 1 AS perf
+FROM {windows} w LEFT JOIN {d_initial} i ON i.note_id = w.note_id LEFT JOIN {d_final} f ON f.note_id = w.note_id
+"""
+
 
 def _expand(text: str, table) -> str:
     def replace(match: re.Match) -> str:
