@@ -162,14 +162,15 @@ def barrier_hit(
     """Whether and when each note's barrier is hit.
 
     ``american`` looks at every day of the window, ``european`` only at the end date, and
-    ``discrete`` at the dates of the note's ``schedule`` array.
+    ``discrete`` at the dates of the note's ``schedule`` array, where there is one.
     """
     blocks = note_blocks(notes, fixings, start, end, quote)
-    watched = (
-        F.when(F.col(observation) == "american", F.col("observed"))
-        .when(F.col(observation) == "european", F.filter("observed", lambda d: d["day"] == F.col(end)))
-        .otherwise(F.filter("observed", lambda d: F.array_contains(F.col("schedule"), d["day"])))
+    watched = F.when(F.col(observation) == "american", F.col("observed")).when(
+        F.col(observation) == "european", F.filter("observed", lambda d: d["day"] == F.col(end))
     )
+    if "schedule" in notes.columns:
+        listed = F.filter("observed", lambda d: F.array_contains(F.col("schedule"), d["day"]))
+        watched = watched.when(F.col(observation) == "discrete", listed)
     hits = F.filter(watched, lambda d: breach(d["price"], F.col(level), F.col(direction)))
     first = F.array_min(F.transform(hits, lambda d: d["day"]))
     found = blocks.select("note_id", first.alias("_day")).groupBy("note_id").agg(F.min("_day").alias("first_breach"))

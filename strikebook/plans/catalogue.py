@@ -6,7 +6,7 @@ import importlib
 
 from strikebook.plans.registry import Query
 
-FAMILIES = ("book", "market")
+FAMILIES = ("book", "market", "settlement")
 
 
 def all_queries() -> list[Query]:

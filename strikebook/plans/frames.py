@@ -228,7 +228,7 @@ FROM {events} GROUP BY 1, 2
 """
 # What notes read from the fixings at each end of their life, and the currency they carry.
 FRAMES["windows"] = """
-SELECT note_id, asset, quote_type, start_date, start_date + 5 AS start_until, end_date - 5 AS end_from, end_date,
+SELECT t.*, start_date + 5 AS start_until, end_date - 5 AS end_from,
        CASE CAST(note_id % 5 AS INT) WHEN 0 THEN 'single' WHEN 1 THEN 'mean_n' WHEN 2 THEN 'max'
             WHEN 3 THEN 'min' ELSE 'mean' END AS criterion,
        CAST(1 + note_id % 3 AS INT) AS n,
@@ -239,7 +239,7 @@ FROM {terms} AS t
 """
 # Barrier levels of the notes, in price points.
 FRAMES["barriers"] = """
-SELECT note_id, asset, start_date, end_date, quote_type,
+SELECT t.*,
        CASE CAST(note_id % 3 AS INT) WHEN 0 THEN 'american' WHEN 1 THEN 'european' ELSE 'discrete' END AS observation,
        CASE WHEN note_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction,
        CAST(CASE WHEN note_id % 2 = 0 THEN 100 + upper_pct ELSE 80 + lower_pct / 2 END AS DECIMAL(18,8)) AS level,
@@ -248,6 +248,9 @@ SELECT note_id, asset, start_date, end_date, quote_type,
 FROM {terms} AS t
 """
 
+# Autocallable notes: a fixed starting price, observed every third day of the window.
+FRAMES["autocalls"] = "SELECT t.*, CAST(120 + note_id % 30 AS DECIMAL(18,8)) AS s0 FROM {terms} AS t"
+
 # What follows is written for DuckDB alone: the same rows the operators build.
 FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2028, 12, 31)
 FRAMES["d_holidays"] = "SELECT CAST(d AS DATE) AS holiday_date FROM (VALUES {days}) AS v(d)".replace(
@@ -271,6 +274,14 @@ SELECT t.*, f.fixing_date AS day,
 FROM {barriers} t JOIN {d_fixings} f ON f.asset = t.asset AND f.fixing_date BETWEEN t.start_date AND t.end_date
 """
 
+FRAMES["d_observations"] = """
+SELECT t.*, f.fixing_date AS obs_date, f.close AS price,
+       row_number() OVER (PARTITION BY t.note_id ORDER BY f.fixing_date) AS obs_no,
+       count(*) OVER (PARTITION BY t.note_id) AS n_obs
+FROM {autocalls} t JOIN {d_fixings} f
+  ON f.asset = t.asset AND f.fixing_date BETWEEN t.start_date AND t.end_date AND (f.fixing_date - t.start_date) % 3 = 0
+"""
+
 
 def exact_mean(total: str, n: str) -> str:
     """DuckDB text of a positive eight-decimal mean, rounded half up without binary noise."""
@@ -281,11 +292,12 @@ def exact_mean(total: str, n: str) -> str:
     )
 
 
-def exact_change(numerator: str, denominator: str) -> str:
-    """DuckDB text of ``numerator / denominator - 1`` to eight decimals, half away from zero."""
+def exact_change(numerator: str, denominator: str, decimals: int = 8) -> str:
+    """DuckDB text of ``numerator / denominator - 1`` as an exact decimal, half away from zero."""
     a, b = (f"CAST(CAST({x} AS DECIMAL(28,8)) * 100000000 AS HUGEINT)" for x in (numerator, denominator))
-    units = f"sign({a} - {b}) * ((2 * abs({a} - {b}) * 100000000 + {b}) // (2 * {b}))"
-    return f"CAST(CAST({units} AS DECIMAL(20,0)) * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(18,8))"
+    units = f"sign({a} - {b}) * ((2 * abs({a} - {b}) * CAST({10**decimals} AS HUGEINT) + {b}) // (2 * {b}))"
+    unit = f"CAST({10**-decimals:.{decimals}f} AS DECIMAL({decimals + 1},{decimals}))"
+    return f"CAST(CAST({units} AS DECIMAL(20,0)) * {unit} AS DECIMAL({18 if decimals == 8 else decimals + 6},{decimals}))"
 
 
 def _edge_value(column: str, start: str, end: str, order: str) -> str:
@@ -303,9 +315,9 @@ GROUP BY note_id, criterion, n"""
 
 FRAMES["d_initial"] = _edge_value("s0", "start_date", "start_until", "ASC")
 FRAMES["d_final"] = _edge_value("st", "end_from", "end_date", "DESC")
-FRAMES["d_perf"] = """
-SELECT w.note_id, i.s0, f.st, CAST(f.st AS DOUBLE) / CAST(i.s0 AS DOUBLE) - 1 AS perf
-FROM {windows} w LEFT JOIN {d_initial} i ON i.note_id = w.note_id LEFT JOIN {d_final} f ON f.note_id = w.note_id
+FRAMES["d_perf"] = f"""
+SELECT w.*, i.s0, f.st, {exact_change('f.st', 'i.s0', 16)} AS perf
+FROM {{windows}} w LEFT JOIN {{d_initial}} i ON i.note_id = w.note_id LEFT JOIN {{d_final}} f ON f.note_id = w.note_id
 """
 
 

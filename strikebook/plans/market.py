@@ -340,7 +340,7 @@ def note_performance(spark, sf):
     "M6_fx_performance",
     f"""
 WITH f AS (SELECT * FROM {{fx}} x)
-SELECT w.note_id, {sql_rounded('''CASE WHEN w.quanto THEN p.perf ELSE
+SELECT w.note_id, {sql_rounded('''CASE WHEN w.quanto THEN CAST(p.st AS DOUBLE) / CAST(p.s0 AS DOUBLE) - 1 ELSE
   (CAST(p.st AS DOUBLE) * (SELECT CAST(max_by(rate, quoted_on) AS DOUBLE) FROM f WHERE f.currency = w.currency AND quoted_on <= w.end_date))
   / (CAST(p.s0 AS DOUBLE) * (SELECT CAST(max_by(rate, quoted_on) AS DOUBLE) FROM f WHERE f.currency = w.currency AND quoted_on <= w.start_date)) - 1 END''')}
   AS fx_perf
