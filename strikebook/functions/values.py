@@ -55,13 +55,13 @@ def rows_at(doc: Column, section: str, keys: list[str]) -> Column:
     return F.try_variant_get(doc, f"$.{section}", f"array<struct<{fields}>>")
 
 
-def written_scale(raw: Column, key: str) -> Column:
-    """Decimals as written after ``"key":`` in the raw text, trailing zeros included.
+def written_scale(raw: Column, section: str, key: str) -> Column:
+    """Decimals as written for ``section.key`` in the raw text, trailing zeros included.
 
     Parsed JSON drops the zeros, so the raw document text is the only place they survive.
     """
     # Exponents shift the point: 1.5e-3 has three decimals more than 1.5.
-    number = rf'"{key}"\s*:\s*"?-?\d+(?:\.(\d+))?(?:[eE]([+-]?\d+))?'
+    number = rf'"{section}"\s*:\s*\{{[^{{}}]*?"{key}"\s*:\s*"?-?\d+(?:\.(\d+))?(?:[eE]([+-]?\d+))?'
     mantissa = F.length(F.regexp_extract(raw, number, 1))
     exponent = F.coalesce(F.regexp_extract(raw, number, 2).try_cast("int"), F.lit(0))
     return F.greatest(mantissa - exponent, F.lit(0))
