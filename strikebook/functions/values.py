@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the one written form of a date.
 DATE_FORM = r"^\d{4}-\d{2}-\d{2}$"
+DATE_FORM_SQL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 NUMBER = "decimal(38,18)"
 
 
@@ -55,13 +56,13 @@ def rows_at(doc: Column, section: str, keys: list[str]) -> Column:
     return F.try_variant_get(doc, f"$.{section}", f"array<struct<{fields}>>")
 
 
-def written_scale(raw: Column, section: str, key: str) -> Column:
-    """Decimals as written for ``section.key`` in the raw text, trailing zeros included.
+def written_scale(text: str, key: str) -> str:
+    """SQL of the decimals written after ``"key":`` in a section's text, trailing zeros included.
 
-    Parsed JSON drops the zeros, so the raw document text is the only place they survive.
+    Parsed JSON drops the zeros, so the raw text is the only place they survive. An exponent
+    shifts the point: 1.5e-3 has three decimals more than 1.5.
     """
-    # Exponents shift the point: 1.5e-3 has three decimals more than 1.5.
-    number = rf'"{section}"\s*:\s*\{{[^{{}}]*?"{key}"\s*:\s*"?-?\d+(?:\.(\d+))?(?:[eE]([+-]?\d+))?'
-    mantissa = F.length(F.regexp_extract(raw, number, 1))
-    exponent = F.coalesce(F.regexp_extract(raw, number, 2).try_cast("int"), F.lit(0))
-    return F.greatest(mantissa - exponent, F.lit(0))
+    number = f'"{key}"[ ]*:[ ]*"?-?[0-9]+(?:[.]([0-9]+))?(?:[eE]([+-]?[0-9]+))?'
+    mantissa = f"length(regexp_extract({text}, '{number}', 1))"
+    exponent = f"coalesce(try_cast(regexp_extract({text}, '{number}', 2) AS INT), 0)"
+    return f"greatest({mantissa} - {exponent}, 0)"

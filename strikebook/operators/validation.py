@@ -68,59 +68,88 @@ def _dependencies(rule: dict) -> list[str]:
 
 # Typed notes
 
-def _typed(text: Column, data_type: str) -> Column:
-    if data_type in NUMERIC:
-        return values.as_number(text)
-    if data_type == "date":
-        return values.as_date(text)
-    if data_type == "boolean":
-        return F.when(F.lower(text) == "true", F.lit(True)).when(F.lower(text) == "false", F.lit(False)).otherwise(
-            values.as_number(text) != 0
-        )
-    return text
+def _by_section(fields: list[dict]) -> dict[str, list[tuple[str, dict]]]:
+    sections: dict[str, list[tuple[str, dict]]] = {}
+    for f in fields:
+        section, key = f["path"].split(".", 1)
+        sections.setdefault(section, []).append((key, f))
+    return sections
+
+
+def _schema(sections: dict[str, list[tuple[str, dict]]], numbers_only: bool) -> str:
+    parts = []
+    for section, members in sections.items():
+        kept = [(k, f) for k, f in members if not numbers_only or f["type"] in NUMERIC]
+        if not kept:
+            continue
+        inner = ",".join(f"`{k}`:{values.NUMBER if numbers_only else 'string'}" for k, _ in kept)
+        struct = f"struct<{inner}>"
+        parts.append(f"`{section[:-2]}` array<{struct}>" if section.endswith("[]") else f"`{section}` {struct}")
+    return ", ".join(parts)
 
 
-def _at(doc: Column, path: str, data_type: str) -> Column:
+def _typed_sql(data_type: str, raw: str, number: str) -> str:
+    """SQL of a typed attribute from its text and, for numbers, its exact parse."""
     if data_type in NUMERIC:
-        return values.number_at(doc, path)
+        return number
     if data_type == "date":
-        return values.date_at(doc, path)
+        return f"CASE WHEN {raw} RLIKE '{values.DATE_FORM_SQL}' THEN try_cast({raw} AS DATE) END"
     if data_type == "boolean":
-        return values.flag_at(doc, path)
-    return values.text_at(doc, path)
+        return (
+            f"CASE WHEN lower({raw}) = 'true' THEN true WHEN lower({raw}) = 'false' THEN false "
+            f"ELSE try_cast({raw} AS DECIMAL(38,18)) <> 0 END"
+        )
+    return raw
+
 
+def _computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later expressions read as values, not as copies of their formula.
 
-def _typed_row(members: list[tuple[str, dict]]) -> Callable[[Column], Column]:
-    return lambda row: F.struct(*[_typed(row[k], f["type"]).alias(k) for k, f in members])
+    Catalyst merges neighbouring projections, which would parse a document again for every
+    attribute a rule reads. A one-element explode keeps the two projections apart.
+    """
+    packed = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select("*", "_once.*").drop("_once")
 
 
 def read_notes(notes: DataFrame, fields: list[dict]) -> DataFrame:
     """One struct column per section with typed attributes, and ``raw_<section>`` with their texts.
 
-    Expects a VARIANT ``doc``. A value of the wrong kind is null in the typed column and kept in
-    the raw one. Repeating sections become arrays of structs.
+    Expects the JSON text in ``doc``. It is parsed with a declared schema: once as texts, once with
+    the numbers as exact decimals (a text would pass them through a double). A value of the wrong
+    kind is null in the typed column and kept in the raw one. Repeating sections become arrays.
     """
-    by_section: dict[str, list[tuple[str, dict]]] = {}
-    for f in fields:
-        section, key = f["path"].split(".", 1)
-        by_section.setdefault(section, []).append((key, f))
-    doc, columns = F.col("doc"), {}
-    for section, members in by_section.items():
+    sections = _by_section(fields)
+    parses = {"_raw": F.from_json("doc", _schema(sections, False))}
+    numbers = _schema(sections, True)
+    if numbers:
+        parses["_num"] = F.from_json("doc", numbers)
+    parsed = _computed_once(notes, parses)
+    columns = {}
+    for section, members in sections.items():
+        has_numbers = any(f["type"] in NUMERIC for _, f in members)
+        name = section.removesuffix("[]")
+        columns[f"raw_{name}"] = F.col(f"_raw.{name}")
         if section.endswith("[]"):
-            name = section[:-2]
-            raw = values.rows_at(doc, name, [k for k, _ in members])
-            columns[f"raw_{name}"] = raw
+            built = ", ".join(f"'{k}', {_typed_sql(f['type'], f'a.{k}', f'b.{k}')}" for k, f in members)
+            other = f"_num.{name}" if has_numbers else f"_raw.{name}"
+            columns[name] = F.expr(f"zip_with(_raw.{name}, {other}, (a, b) -> named_struct({built}))")
         else:
-            name = section
-            columns[name] = F.struct(*[_at(doc, f"{name}.{k}", f["type"]).alias(k) for k, f in members])
-            columns[f"raw_{name}"] = F.struct(*[values.text_at(doc, f"{name}.{k}").alias(k) for k, _ in members])
-    typed = notes.withColumns(columns)
-    arrays = {
-        section[:-2]: F.transform(f"raw_{section[:-2]}", _typed_row(members))
-        for section, members in by_section.items()
-        if section.endswith("[]")
-    }
-    return typed.withColumns(arrays) if arrays else typed
+            built = ", ".join(
+                f"'{k}', {_typed_sql(f['type'], f'_raw.{name}.{k}', f'_num.{name}.{k}')}" for k, f in members
+            )
+            columns[name] = F.expr(f"named_struct({built})")
+    return _computed_once(parsed, columns).drop("_raw", "_num")
+
+
+def with_section_texts(notes: DataFrame, fields: list[dict]) -> DataFrame:
+    """The exact text of the sections that limit decimals: only there do written zeros survive."""
+    sections = sorted({f["path"].split(".")[0] for f in fields if "decimals" in f and "[]" not in f["path"]})
+    if not sections:
+        return notes
+    schema = ", ".join(f"`{s}` string" for s in sections)
+    texts = _computed_once(notes, {"_texts": F.from_json("doc", schema)})
+    return texts.withColumns({f"text_{s}": F.col(f"_texts.{s}") for s in sections}).drop("_texts")
 
 
 # What a finding number means
@@ -148,102 +177,93 @@ class Meanings:
         return F.broadcast(spark.createDataFrame(self.rows, schema))
 
 
-def _hit(code: int, row: Column | None = None, value: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(code).alias("code"),
-        (row if row is not None else F.lit(None)).cast("int").alias("row"),
-        (value if value is not None else F.lit(None)).cast("string").alias("value"),
-    )
+def _hit(code: int, row: str = "NULL", value: str = "NULL") -> str:
+    return f"named_struct('code', {code}, 'row', CAST({row} AS INT), 'value', CAST({value} AS STRING))"
 
 
-# Field checks
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-def value_checks(f: dict, raw: Column, typed: Column, scale: Column | None, m: Meanings) -> list[tuple[Column, int, bool]]:
+
+NO_HITS = f"CAST(array() AS {HIT})"
+
+
+# Field checks. Conditions are SQL texts: a pass has hundreds, and parsing one text per group is
+# much cheaper than building them as column objects.
+
+def value_checks(f: dict, raw: str, typed: str, m: Meanings) -> list[tuple[str, int, bool]]:
     """(failed, code, quotes its value) of every check on a value that is present."""
     kind, found = f["type"], []
     if kind in NUMERIC:
-        found.append((typed.isNull(), m.field(f, "number"), False))
+        found.append((f"{typed} IS NULL", m.field(f, "number"), False))
         if kind == "integer":
-            found.append((typed != F.floor(typed), m.field(f, "integer"), False))
+            found.append((f"{typed} <> floor({typed})", m.field(f, "integer"), False))
         if "min" in f:
-            found.append((typed < f["min"], m.field(f, "min", limit=f["min"]), False))
+            found.append((f"{typed} < {f['min']}", m.field(f, "min", limit=f["min"]), False))
         if "max" in f:
-            found.append((typed > f["max"], m.field(f, "max", limit=f["max"]), False))
-        if "decimals" in f and scale is not None:
-            extra = typed.isNotNull() & (scale > f["decimals"])
+            found.append((f"{typed} > {f['max']}", m.field(f, "max", limit=f["max"]), False))
+        if "decimals" in f and "[]" not in f["path"]:
+            section, key = f["path"].split(".")
+            extra = f"{typed} IS NOT NULL AND {values.written_scale(f'text_{section}', key)} > {f['decimals']}"
             found.append((extra, m.field(f, "decimals", "warning", f["decimals"]), False))
     elif kind == "date":
-        found.append((typed.isNull(), m.field(f, "date"), False))
+        found.append((f"{typed} IS NULL", m.field(f, "date"), False))
     elif kind == "boolean":
-        found.append((typed.isNull(), m.field(f, "boolean"), False))
+        found.append((f"{typed} IS NULL", m.field(f, "boolean"), False))
     elif kind == "enum" and f.get("options"):
-        found.append((~raw.isin(f["options"]), m.field(f, "option"), True))
-    elif kind == "enumset" and f.get("options"):
-        pass  # members are checked one by one in ``set_checks``
-    elif "max_length" in f:
-        found.append((F.char_length(raw) > f["max_length"], m.field(f, "length", limit=f["max_length"]), False))
+        listed = ", ".join(_quoted(o) for o in f["options"])
+        found.append((f"{raw} NOT IN ({listed})", m.field(f, "option"), True))
+    elif kind in ("string", "text") and "max_length" in f:
+        found.append((f"char_length({raw}) > {f['max_length']}", m.field(f, "length", limit=f["max_length"]), False))
     return found
 
 
-def set_checks(f: dict, doc: Column, m: Meanings) -> Column:
+def _members_hits(f: dict, raw: str, m: Meanings) -> str:
     """One entry per member of an enum set that is no option."""
-    members = F.try_variant_get(doc, f"$.{f['path']}", "array<string>")
-    wrong = F.array_except(members, F.array(*[F.lit(o) for o in f["options"]]))
-    code = m.field(f, "option")
-    return F.coalesce(F.transform(wrong, lambda v: _hit(code, value=v)), F.array().cast(HIT))
+    listed = ", ".join(_quoted(o) for o in f["options"])
+    wrong = f"array_except(from_json({raw}, 'array<string>'), array({listed}))"
+    return f"coalesce(transform({wrong}, x -> {_hit(m.field(f, 'option'), value='x')}), {NO_HITS})"
 
 
-def field_hits(fields: list[dict], m: Meanings, scope: str, touched: Callable[[dict], Column] | None, with_scale: bool):
+def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tuple[list[str], list[str]]:
     """Entries of the failed field checks of single and of repeating sections."""
     single, arrays = [], []
     for f in fields:
         section, key = f["path"].split(".", 1)
-        spoken = decided(touched(f)) if touched else F.lit(True)
-        visible = decided(F.expr(f["visible_when"])) if f.get("visible_when") else F.lit(True)
-        ask = spoken & visible
+        ask = f"coalesce({field_touched(f)}, false)" if narrow else "true"
+        if f.get("visible_when"):
+            ask += f" AND coalesce({f['visible_when']}, false)"
+        required = scope != "form" and (f.get("required") or f.get("required_when"))
         if not section.endswith("[]"):
-            raw, typed = F.col(f"raw_{section}.{key}"), F.col(f"{section}.{key}")
-            absent = values.present(raw).isNull()
-            scale = values.written_scale(F.col("doc_text"), section, key) if with_scale and "decimals" in f else None
-            for failed, code, quoted in value_checks(f, raw, typed, scale, m):
-                single.append(F.when(ask & ~absent & decided(failed), _hit(code, value=raw if quoted else None)))
-            if scope != "form" and (f.get("required") or f.get("required_when")):
-                needed = F.lit(True) if f.get("required") else decided(F.expr(f["required_when"]))
-                single.append(F.when(ask & absent & needed, _hit(m.field(f, "required"))))
+            raw, typed = f"raw_{section}.{key}", f"{section}.{key}"
+            present = f"nullif({raw}, '') IS NOT NULL"
             if f["type"] == "enumset":
-                arrays.append(F.when(ask, set_checks(f, F.col("doc"), m)).otherwise(F.array().cast(HIT)))
-        else:
-            name = section[:-2]
-            required = m.field(f, "required") if scope != "form" and f.get("required") else None
-
-            per_row = _row_checks(f, key, required, m, touched is not None)
-            rows = F.flatten(F.transform(_zipped(name), per_row))
-            arrays.append(F.when(ask, F.coalesce(rows, F.array().cast(HIT))).otherwise(F.array().cast(HIT)))
-    return single, arrays
-
-
-def _row_checks(f: dict, key: str, required: int | None, m: Meanings, narrow: bool) -> Callable[[Column, Column], Column]:
-    def entries(pair: Column, i: Column) -> Column:
-        raw, typed = pair["raw"][key], pair["typed"][key]
-        absent = values.present(raw).isNull()
+                arrays.append(f"CASE WHEN {ask} AND {present} THEN {_members_hits(f, raw, m)} ELSE {NO_HITS} END")
+            for failed, code, quoted in value_checks(f, raw, typed, m):
+                entry = _hit(code, value=raw if quoted else "NULL")
+                single.append(f"CASE WHEN {ask} AND {present} AND ({failed}) THEN {entry} END")
+            if required:
+                needed = "true" if f.get("required") else f"coalesce({f['required_when']}, false)"
+                entry = _hit(m.field(f, "required"))
+                single.append(f"CASE WHEN {ask} AND NOT ({present}) AND {needed} THEN {entry} END")
+            continue
+        name = section[:-2]
+        present, edited = f"nullif(x.raw.{key}, '') IS NOT NULL", "true"
         if narrow:
             # As-you-type, only the row that was edited is spoken about.
-            edited = F.array_contains("_exact", _row_path(f["path"], i))
-            raw, absent = F.when(edited, raw), absent & edited
-        hits = [
-            F.when(values.present(raw).isNotNull() & decided(failed), _hit(code, i, raw if quoted else None))
-            for failed, code, quoted in value_checks(f, raw, typed, None, m)
+            edited = f"array_contains(_exact, concat('{name}[', CAST(i AS STRING), '].{key}'))"
+        entries = [
+            f"CASE WHEN {edited} AND {present} AND ({failed}) THEN "
+            f"{_hit(code, 'i', f'x.raw.{key}' if quoted else 'NULL')} END"
+            for failed, code, quoted in value_checks(f, f"x.raw.{key}", f"x.typed.{key}", m)
         ]
-        if required is not None:
-            hits.append(F.when(absent, _hit(required, i)))
-        return F.array_compact(F.array(*hits)) if hits else F.array().cast(HIT)
-
-    return entries
-
-
-def _zipped(name: str) -> Column:
-    """Rows of a section as (raw, typed) pairs."""
-    return F.zip_with(f"raw_{name}", name, lambda a, b: F.struct(a.alias("raw"), b.alias("typed")))
+        if required:
+            entries.append(f"CASE WHEN {edited} AND NOT ({present}) THEN {_hit(m.field(f, 'required'), 'i')} END")
+        if entries:
+            pairs = f"zip_with(raw_{name}, {name}, (a, b) -> named_struct('raw', a, 'typed', b))"
+            rows = f"flatten(transform({pairs}, (x, i) -> array_compact(array({', '.join(entries)}))))"
+            arrays.append(f"CASE WHEN {ask} THEN coalesce({rows}, {NO_HITS}) ELSE {NO_HITS} END")
+    return single, arrays
 
 
 # Rules
@@ -263,7 +283,9 @@ def in_scope(rules: list[dict], scope: str, known_checks: set[str]) -> list[dict
     ]
 
 
-def rule_hits(rules: list[dict], m: Meanings, facts: dict[str, str], touched: Callable[[dict], Column] | None):
+def rule_hits(
+    rules: list[dict], m: Meanings, facts: dict[str, str], narrow: bool
+) -> dict[tuple, tuple[list[str], list[str]]]:
     """Entries of rules that are decided false under a true guard, by figure."""
     groups: dict[tuple, tuple[list, list]] = {}
     for r in rules:
@@ -273,29 +295,25 @@ def rule_hits(rules: list[dict], m: Meanings, facts: dict[str, str], touched: Ca
             m.code(t, r["id"], None, r["severity"], origin, r.get("pt"), r.get("en") or r.get("pt"))
             for t in r["targets"] or [""]
         ]
-        asked = decided(touched(r)) if touched else F.lit(True)
+        asked = f"coalesce({rule_touched(r)}, false)" if narrow else "true"
+        guard = f"coalesce({r['when']}, false)" if r.get("when") else "true"
+        holds = facts[r["id"]] if "check" in r else r["assert"]
+        row = "i" if r.get("each") else "NULL"
+        entries = [f"CASE WHEN {asked} AND {guard} AND NOT ({holds}) THEN {_hit(c, row)} END" for c in codes]
         if r.get("each"):
-            guard = f"coalesce({r['when']}, false)" if r.get("when") else "true"
-            entries = ", ".join(
-                f"CASE WHEN {guard} AND NOT ({r['assert']}) THEN named_struct('code', {c}, 'row', i, "
-                "'value', CAST(NULL AS STRING)) END"
-                for c in codes
-            )
-            rows = F.expr(f"flatten(transform({r['each']}, (r, i) -> array_compact(array({entries}))))")
-            arrays.append(F.when(asked, F.coalesce(rows, F.array().cast(HIT))).otherwise(F.array().cast(HIT)))
-            continue
-        guard = decided(F.expr(r["when"])) if r.get("when") else F.lit(True)
-        holds = F.col(facts[r["id"]]) if "check" in r else F.expr(r["assert"])
-        single += [F.when(asked & guard & (holds == F.lit(False)), _hit(c)) for c in codes]
+            rows = f"flatten(transform({r['each']}, (r, i) -> array_compact(array({', '.join(entries)}))))"
+            arrays.append(f"coalesce({rows}, {NO_HITS})")
+        else:
+            single += entries
     return groups
 
 
-def _joined(single: list[Column], arrays: list[Column]) -> Column:
+def _joined(single: list[str], arrays: list[str]) -> str:
     parts = list(arrays)
     # Small arrays keep each piece of generated code under the method size limit.
     for i in range(0, len(single), 20):
-        parts.append(F.array_compact(F.array(*single[i : i + 20])))
-    return F.concat(*parts) if parts else F.array().cast(HIT)
+        parts.append(f"array_compact(array({', '.join(single[i : i + 20])}))")
+    return f"concat({', '.join(parts)})" if parts else NO_HITS
 
 
 # Named checks
@@ -384,24 +402,24 @@ def with_changes(notes: DataFrame, changed: str) -> DataFrame:
     )
 
 
-def _overlaps(column: str, wanted: list[str]) -> Column:
-    return F.arrays_overlap(column, F.array(*[F.lit(w) for w in wanted])) if wanted else F.lit(False)
+def _overlaps(column: str, wanted: list[str]) -> str:
+    return f"arrays_overlap({column}, array({', '.join(_quoted(w) for w in wanted)}))" if wanted else "false"
 
 
-def rule_touched(rule: dict) -> Column:
-    """A change meets what the rule reads, or one of its targets was itself changed."""
+def rule_touched(rule: dict) -> str:
+    """SQL: a change meets what the rule reads, or one of its targets was itself changed."""
     needs = rule["depends_on"]
     sections = [d for d in needs if "." not in d]
     target = "_general" if rule.get("each") else "_exact"
-    return _overlaps("_general", needs) | _overlaps("_sections", sections) | _overlaps(target, rule["targets"])
+    return f"({_overlaps('_general', needs)} OR {_overlaps('_sections', sections)} OR {_overlaps(target, rule['targets'])})"
 
 
-def field_touched(f: dict) -> Column:
-    """A field was changed itself, or something its conditions read was."""
+def field_touched(f: dict) -> str:
+    """SQL: a field was changed itself, or something its conditions read was."""
     path = f["path"]
-    inner = F.exists("_general", lambda p: p.startswith(path + ".") | p.startswith(path + "["))
+    inner = f"exists(_general, p -> startswith(p, '{path}.') OR startswith(p, '{path}['))"
     needs = _dependencies({"when": f.get("visible_when"), "assert": f.get("required_when")})
-    return _overlaps("_general", [path, *needs]) | inner
+    return f"({_overlaps('_general', [path, *needs])} OR {inner})"
 
 
 # The pass
@@ -418,26 +436,25 @@ def validate(
     """
     m = Meanings()
     running = in_scope(rules, scope, set(checks.known))
-    with_scale = "doc_text" in notes.columns
-    typed, facts = with_facts(read_notes(notes, fields), running, checks)
+    typed, facts = with_facts(with_section_texts(read_notes(notes, fields), fields), running, checks)
     narrow = scope == "field"
     if narrow:
         typed = with_changes(typed, changed)
-    single, arrays = field_hits(fields, m, scope, field_touched if narrow else None, with_scale)
+    single, arrays = field_hits(fields, m, scope, narrow)
     for section, (least, most) in (bounds or {}).items():
         f = {"path": section, "pt": section, "en": section}
-        rows = F.coalesce(F.size(section), F.lit(0))
-        asked = F.array_contains("_sections", section) if narrow else F.lit(True)
-        single.append(F.when(asked & (rows < least), _hit(m.field(f, "min_rows", limit=least))))
-        single.append(F.when(asked & (rows > most), _hit(m.field(f, "max_rows", limit=most))))
-    hits = _joined(single, arrays)
-    groups = rule_hits(running, m, facts, rule_touched if narrow else None)
-    for figures, (one, many) in groups.items():
+        rows = f"coalesce(size({section}), 0)"
+        asked = f"array_contains(_sections, '{section}')" if narrow else "true"
+        single.append(f"CASE WHEN {asked} AND {rows} < {least} THEN {_hit(m.field(f, 'min_rows', limit=least))} END")
+        single.append(f"CASE WHEN {asked} AND {rows} > {most} THEN {_hit(m.field(f, 'max_rows', limit=most))} END")
+    hits = [_joined(single, arrays)]
+    for figures, (one, many) in rule_hits(running, m, facts, narrow).items():
         entries = _joined(one, many)
         if figures:
-            entries = F.when(F.col("figure_code").isin(list(figures)), entries).otherwise(F.array().cast(HIT))
-        hits = F.concat(hits, entries)
-    found = typed.select("note_id", "figure_code", F.explode(hits).alias("_hit"))
+            listed = ", ".join(_quoted(x) for x in figures)
+            entries = f"CASE WHEN figure_code IN ({listed}) THEN {entries} ELSE {NO_HITS} END"
+        hits.append(entries)
+    found = typed.select("note_id", "figure_code", F.explode(F.expr(f"concat({', '.join(hits)})")).alias("_hit"))
     described = found.withColumn("code", F.col("_hit.code")).join(m.table(notes.sparkSession), "code")
     general = F.col("path")
     path = F.when(F.col("_hit.row").isNotNull(), F.replace(general, F.lit("[]"), F.concat(F.lit("["), F.col("_hit.row").cast("string"), F.lit("]")))).otherwise(general)
@@ -485,10 +502,10 @@ def evaluated_paths(
         spoken.append(F.when(decided(asked), F.coalesce(listed, empty)).otherwise(empty))
 
     for f in fields:
-        add([f["path"]], None, field_touched(f) if narrow else F.lit(True))
+        add([f["path"]], None, F.expr(field_touched(f)) if narrow else F.lit(True))
     for r in running:
         own = F.col("figure_code").isin(r["figures"]) if r.get("figures") else F.lit(True)
-        add(r["targets"], r.get("each"), own & (rule_touched(r) if narrow else F.lit(True)))
+        add(r["targets"], r.get("each"), own & (F.expr(rule_touched(r)) if narrow else F.lit(True)))
     paths = F.array_distinct(F.concat(*spoken))
     return typed.select("note_id", F.explode(paths).alias("path"))
 

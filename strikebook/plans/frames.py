@@ -343,3 +343,13 @@ def query(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return query(spark, sf_dir, "SELECT * FROM {" + name + "} AS f")
+
+
+def spread(spark: SparkSession, sf_dir: str, table: str, df: DataFrame) -> DataFrame:
+    """Share heavy per-row work among all cores when the table is too small to be split.
+
+    A large table already arrives in more splits than there are cores and is left where it is.
+    """
+    splits = spark.read.parquet(f"{sf_dir}/{table}.parquet").rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < cores else df

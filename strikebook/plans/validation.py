@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strikebook.operators import book as book_ops
 from strikebook.operators import validation as v
-from strikebook.plans.frames import frame, query
+from strikebook.plans.frames import frame, query, spread
 from strikebook.plans.market import brazil
 from strikebook.plans.registry import Registry
 
@@ -16,7 +16,7 @@ FIELDS, RULES = v.load_fields(), v.load_rules()
 
 def documents(spark, sf):
     docs = frame(spark, sf, "note_docs").select("note_id", "figure_code", "template_version", "doc")
-    return docs.withColumn("doc_text", F.col("doc")).withColumn("doc", F.try_parse_json("doc"))
+    return spread(spark, sf, "orders", docs)
 
 
 def checks(spark, sf):

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Joins on a hot key are split by Spark at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods above this size are not compiled by the JVM; Spark then splits them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
