@@ -6,7 +6,7 @@ import importlib
 
 from strikebook.plans.registry import Query
 
-FAMILIES = ("book", "market", "settlement", "validation", "conformance", "clearing", "sources")
+FAMILIES = ("book", "market", "settlement", "validation", "conformance", "clearing", "sources", "streams")
 
 
 def all_queries() -> list[Query]:
