@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 from strikebook.functions.exact import FACTOR, MONEY, at_least, factor, money, percent, ratio, share, times
 from strikebook.functions.truth import largest, smallest
 
-ONE = F.lit(1).cast("decimal(20,16)")
-ZERO = F.lit(0).cast("decimal(20,16)")
+
+def one() -> Column:
+    return F.lit(1).cast("decimal(20,16)")
+
+
+def zero() -> Column:
+    return F.lit(0).cast("decimal(20,16)")
 
 
 # One final fixing
 
 def call_participation(vn: Column, perf: Column, part: Column) -> Column:
-    return money(vn, 1 + times(percent(part), largest(perf, ZERO)))
+    return money(vn, 1 + times(percent(part), largest(perf, zero())))
 
 
 def capped_move(vn: Column, move: Column, part: Column, cap: Column) -> Column:
     """Participation in a one-sided move up to a cap; the call and the put spread share it."""
-    return money(vn, 1 + times(percent(part), smallest(largest(move, ZERO), percent(cap))))
+    return money(vn, 1 + times(percent(part), smallest(largest(move, zero()), percent(cap))))
 
 
 def call_spread(vn: Column, perf: Column, part: Column, cap: Column) -> Column:
@@ -39,12 +44,12 @@ def put_spread(vn: Column, perf: Column, part: Column, cap: Column) -> Column:
 
 def digital(vn: Column, above: Column, coupon: Column, di: Column) -> Column:
     """Fixed coupon at or above the strike, else the DI leg (a factor of 1 when there is none)."""
-    return money(vn, F.when(above, 1 + percent(coupon)).otherwise(F.coalesce(di.cast(FACTOR), ONE)))
+    return money(vn, F.when(above, 1 + percent(coupon)).otherwise(F.coalesce(di.cast(FACTOR), one())))
 
 
 def shark_fin(vn: Column, perf: Column, knocked_out: Column, part: Column, rebate: Column) -> Column:
     """Rebate once knocked out, else participation in the rise."""
-    paid = F.when(knocked_out, percent(rebate)).otherwise(times(percent(part), largest(perf, ZERO)))
+    paid = F.when(knocked_out, percent(rebate)).otherwise(times(percent(part), largest(perf, zero())))
     return money(vn, 1 + paid)
 
 
@@ -52,7 +57,7 @@ def range_accrual(vn: Column, coupon: Column, n_in: Column, n_all: Column, mode:
     """Coupon by observations in range: share of a maximum, or an annual rate over those days."""
     rate = percent(coupon)
     if mode == "linear":
-        accrued = times(rate, F.coalesce(share(n_in, n_all), ZERO))
+        accrued = times(rate, F.coalesce(share(n_in, n_all), zero()))
     elif mode == "linear252":
         accrued = times(rate, share(n_in, F.lit(252)))
     elif mode == "exponential":
@@ -65,7 +70,7 @@ def range_accrual(vn: Column, coupon: Column, n_in: Column, n_all: Column, mode:
 def booster(vn: Column, perf: Column, boost: Column, cap: Column) -> Column:
     """Geared rise up to a cap; the fall is carried in full, but never below nothing."""
     up = 1 + times(boost.cast("decimal(16,8)"), smallest(perf, percent(cap)))
-    return money(vn, F.when(perf >= 0, up).otherwise(largest(1 + perf, ZERO)))
+    return money(vn, F.when(perf >= 0, up).otherwise(largest(1 + perf, zero())))
 
 
 def reverse_convertible(vn: Column, perf: Column, breached: Column, coupon: Column) -> Column:
@@ -147,10 +152,10 @@ def layered_accrual(counts: DataFrame, layers: int) -> DataFrame:
     Not published as a formula either. Reading: an observation earns the coupon of the narrowest
     range that contains it. A one-sided accrual is a single layer with an open end.
     """
-    earned, inner = ZERO, F.lit(0)
+    earned, inner = zero(), F.lit(0)
     for k in range(1, layers + 1):
         ring = share(F.col(f"n_{k}") - inner, F.col("n_all"))
-        earned = earned + times(percent(F.col(f"coupon_{k}")), F.coalesce(ring, ZERO))
+        earned = earned + times(percent(F.col(f"coupon_{k}")), F.coalesce(ring, zero()))
         inner = F.col(f"n_{k}")
     return counts.withColumn("redemption", money(F.col("vn"), 1 + earned))
 
@@ -208,7 +213,7 @@ def athena(obs: DataFrame) -> DataFrame:
     protected = (F.col("modality") == "VNP") | at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
     multiple = (
         F.when(F.col("called_no").isNotNull(), 1 + percent(F.col("coupon")) * F.col("obs_no"))
-        .when(protected, ONE)
+        .when(protected, one())
         .otherwise(1 + perf)
     )
     return exits.withColumn("redemption", money(F.col("vn"), multiple)).withColumn(

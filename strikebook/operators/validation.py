@@ -143,13 +143,15 @@ def read_notes(notes: DataFrame, fields: list[dict]) -> DataFrame:
 
 
 def with_section_texts(notes: DataFrame, fields: list[dict]) -> DataFrame:
-    """The exact text of the sections that limit decimals: only there do written zeros survive."""
+    """The text of the flat sections that limit decimals: only there do written zeros survive."""
     sections = sorted({f["path"].split(".")[0] for f in fields if "decimals" in f and "[]" not in f["path"]})
     if not sections:
         return notes
-    schema = ", ".join(f"`{s}` string" for s in sections)
-    texts = _computed_once(notes, {"_texts": F.from_json("doc", schema)})
-    return texts.withColumns({f"text_{s}": F.col(f"_texts.{s}") for s in sections}).drop("_texts")
+    # An object of scalars, whose quoted texts may hold braces; possessive, so it never backtracks.
+    flat_object = r'\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}'
+    return _computed_once(
+        notes, {f"text_{s}": F.regexp_extract("doc", rf'"{s}"\s*:\s*({flat_object})', 1) for s in sections}
+    )
 
 
 # What a finding number means

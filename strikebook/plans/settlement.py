@@ -292,7 +292,7 @@ SELECT note_id, greatest({paid(f'''{pct("90 + note_id % 11")} * CAST(1.05 AS DEC
 FROM {PERF}""",
 )
 def master_redemption(spark, sf):
-    option = F.round(payoffs.times(payoffs.percent(c("participation")), F.greatest(c("perf"), payoffs.ZERO)), 10)
+    option = F.round(payoffs.times(payoffs.percent(c("participation")), F.greatest(c("perf"), payoffs.zero())), 10)
     position = F.when(c("note_id") % 3 == 0, "bought").otherwise("sold")
     paid = payoffs.master_redemption(
         c("principal"), F.lit("1.05").cast("decimal(18,8)"), 90 + c("note_id") % 11, position, option,
