@@ -242,12 +242,15 @@ def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tup
             if f["type"] == "enumset":
                 arrays.append(f"CASE WHEN {ask} AND {present} THEN {_members_hits(f, raw, m)} ELSE {NO_HITS} END")
             for failed, code, quoted in value_checks(f, raw, typed, m):
-                entry = _hit(code, value=raw if quoted else "NULL")
-                single.append(f"CASE WHEN {ask} AND {present} AND ({failed}) THEN {entry} END")
+                if quoted:
+                    entry = f"array({_hit(code, value=raw)})"
+                    arrays.append(f"CASE WHEN {ask} AND {present} AND ({failed}) THEN {entry} ELSE {NO_HITS} END")
+                else:
+                    single.append(f"CASE WHEN {ask} AND {present} AND ({failed}) THEN {code} END")
             if required:
                 needed = "true" if f.get("required") else f"coalesce({f['required_when']}, false)"
-                entry = _hit(m.field(f, "required"))
-                single.append(f"CASE WHEN {ask} AND NOT ({present}) AND {needed} THEN {entry} END")
+                code = m.field(f, "required")
+                single.append(f"CASE WHEN {ask} AND NOT ({present}) AND {needed} THEN {code} END")
             continue
         name = section[:-2]
         present, edited = f"nullif(x.raw.{key}, '') IS NOT NULL", "true"
@@ -300,8 +303,8 @@ def rule_hits(
         asked = f"coalesce({rule_touched(r)}, false)" if narrow else "true"
         guard = f"coalesce({r['when']}, false)" if r.get("when") else "true"
         holds = facts[r["id"]] if "check" in r else r["assert"]
-        row = "i" if r.get("each") else "NULL"
-        entries = [f"CASE WHEN {asked} AND {guard} AND NOT ({holds}) THEN {_hit(c, row)} END" for c in codes]
+        fails = f"{asked} AND {guard} AND NOT ({holds})"
+        entries = [f"CASE WHEN {fails} THEN {_hit(c, 'i') if r.get('each') else c} END" for c in codes]
         if r.get("each"):
             rows = f"flatten(transform({r['each']}, (r, i) -> array_compact(array({', '.join(entries)}))))"
             arrays.append(f"coalesce({rows}, {NO_HITS})")
@@ -310,12 +313,10 @@ def rule_hits(
     return groups
 
 
-def _joined(single: list[str], arrays: list[str]) -> str:
-    parts = list(arrays)
-    # Small arrays keep each piece of generated code under the method size limit.
-    for i in range(0, len(single), 20):
-        parts.append(f"array_compact(array({', '.join(single[i : i + 20])}))")
-    return f"concat({', '.join(parts)})" if parts else NO_HITS
+def _joined(single: list[str], arrays: list[str]) -> tuple[str, str]:
+    """SQL of the finding numbers of single checks (nulls where they pass) and of the row entries."""
+    codes = f"array({', '.join(single)})" if single else "CAST(array() AS array<int>)"
+    return codes, (f"concat({', '.join(arrays)})" if arrays else NO_HITS)
 
 
 # Named checks
@@ -447,16 +448,27 @@ def validate(
         f = {"path": section, "pt": section, "en": section}
         rows = f"coalesce(size({section}), 0)"
         asked = f"array_contains(_sections, '{section}')" if narrow else "true"
-        single.append(f"CASE WHEN {asked} AND {rows} < {least} THEN {_hit(m.field(f, 'min_rows', limit=least))} END")
-        single.append(f"CASE WHEN {asked} AND {rows} > {most} THEN {_hit(m.field(f, 'max_rows', limit=most))} END")
-    hits = [_joined(single, arrays)]
+        single.append(f"CASE WHEN {asked} AND {rows} < {least} THEN {m.field(f, 'min_rows', limit=least)} END")
+        single.append(f"CASE WHEN {asked} AND {rows} > {most} THEN {m.field(f, 'max_rows', limit=most)} END")
+    codes, hits = ([part] for part in _joined(single, arrays))
     for figures, (one, many) in rule_hits(running, m, facts, narrow).items():
-        entries = _joined(one, many)
+        numbers, entries = _joined(one, many)
         if figures:
-            listed = ", ".join(_quoted(x) for x in figures)
-            entries = f"CASE WHEN figure_code IN ({listed}) THEN {entries} ELSE {NO_HITS} END"
-        hits.append(entries)
-    found = typed.select("note_id", "figure_code", F.explode(F.expr(f"concat({', '.join(hits)})")).alias("_hit"))
+            own = f"figure_code IN ({', '.join(_quoted(x) for x in figures)})"
+            numbers = f"CASE WHEN {own} THEN {numbers} ELSE CAST(array() AS array<int>) END"
+            entries = f"CASE WHEN {own} THEN {entries} ELSE {NO_HITS} END" if many else NO_HITS
+        codes.append(numbers)
+        hits += [entries] if many else []
+    # The arrays are a projection of their own, so that their expressions are compiled: below a
+    # lambda or inside a generator they would be interpreted row by row.
+    listed = typed.select(
+        "note_id", "figure_code", F.expr(f"concat({', '.join(codes)})").alias("_codes"),
+        F.expr(f"concat({', '.join(hits)})").alias("_entries"),
+    )
+    numbered = f"transform(filter(_codes, c -> c IS NOT NULL), c -> {_hit('c')})"
+    found = listed.select(
+        "note_id", "figure_code", F.explode(F.expr(f"concat(CAST({numbered} AS {HIT}), _entries)")).alias("_hit")
+    )
     described = found.withColumn("code", F.col("_hit.code")).join(m.table(notes.sparkSession), "code")
     general = F.col("path")
     path = F.when(F.col("_hit.row").isNotNull(), F.replace(general, F.lit("[]"), F.concat(F.lit("["), F.col("_hit.row").cast("string"), F.lit("]")))).otherwise(general)
