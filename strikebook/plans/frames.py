@@ -59,7 +59,7 @@ FROM {orders} GROUP BY 1
 """
 FRAMES["figures_modelled"] = """
 SELECT concat('COE', lpad(CAST(o_custkey % 700 AS STRING), 6, '0')) AS figure_code,
-       min(CASE WHEN o_custkey % 3 = 0 THEN concat('figure ', o_orderpriority)
+       max(CASE WHEN o_custkey % 3 = 0 THEN concat('figure ', o_orderpriority)
                 ELSE concat('Model ', CAST(o_custkey % 700 AS STRING)) END) AS model_name,
        CASE CAST(max(o_orderkey) % 4 AS INT) WHEN 0 THEN 'Pending' WHEN 1 THEN 'Enabled'
             WHEN 2 THEN 'Quarantined' ELSE 'Retired' END AS status
