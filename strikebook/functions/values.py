@@ -1,6 +1,6 @@
 """Reading attribute values out of note documents, with "null, never throw" casts.
 
-A document is a VARIANT column. A value that does not fit the wanted type reads as null. An empty
+A value that does not fit the wanted type reads as null. An empty
 string counts as absent. A string is a date only in the exact form ``yyyy-MM-dd``.
 """
 
@@ -28,34 +28,6 @@ def present(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def text_at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, f"$.{path}", "string")
-
-
-def number_at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, f"$.{path}", NUMBER)
-
-
-def date_at(doc: Column, path: str) -> Column:
-    return as_date(text_at(doc, path))
-
-
-def flag_at(doc: Column, path: str) -> Column:
-    """True, false, or null where the value is neither (numbers count as not-zero)."""
-    text = F.lower(text_at(doc, path))
-    return (
-        F.when(text == "true", F.lit(True))
-        .when(text == "false", F.lit(False))
-        .otherwise(number_at(doc, path) != 0)
-    )
-
-
-def rows_at(doc: Column, section: str, keys: list[str]) -> Column:
-    """A repeating section as an array of string structs; null when it is not an array."""
-    fields = ",".join(f"{k}:string" for k in keys)
-    return F.try_variant_get(doc, f"$.{section}", f"array<struct<{fields}>>")
-
-
 def written_scale(text: str, key: str) -> str:
     """SQL of the decimals written after ``"key":`` in a section's text, trailing zeros included.
 

@@ -47,30 +47,37 @@ def grid(book: DataFrame) -> DataFrame:
     return book.select(*[c for c in GRID if c in book.columns])
 
 
+# Attributes the listing carries out of a document.
+PROJECTED = (
+    "common struct<commercialName:string, instrumentCode:string, isin:string, issuerAccount:string, "
+    "issueDate:string, maturityDate:string, modality:string, quantity:decimal(38,18), "
+    "unitIssuePrice:decimal(38,18), notional:decimal(38,18)>, underlying struct<assetClass:string, asset:string>"
+)
+
+
 def project_book(docs: DataFrame, today: dt.date) -> DataFrame:
-    """Typed columns out of the documents, with the booking defaults for what is absent."""
-    doc = F.col("doc")
-    issue = F.coalesce(values.date_at(doc, "common.issueDate"), F.lit(today))
-    return docs.select(
+    """Typed columns out of the JSON documents, with the booking defaults for what is absent."""
+    # The one-element explode keeps the parse apart, so that it runs once per document.
+    parsed = docs.select("note_id", "figure_code", F.explode(F.array(F.from_json("doc", PROJECTED))).alias("_d"))
+    issue = F.coalesce(values.as_date(F.col("_d.common.issueDate")), F.lit(today))
+    maturity = F.coalesce(values.as_date(F.col("_d.common.maturityDate")), F.add_months(F.lit(today), 12))
+    name = F.coalesce(values.present(F.col("_d.common.commercialName")), F.lit("(sem nome)"))
+    return parsed.select(
         "note_id",
         "figure_code",
-        F.coalesce(values.present(values.text_at(doc, "common.commercialName")), F.lit("(sem nome)")).alias(
-            "commercial_name"
-        ),
-        values.present(values.text_at(doc, "common.instrumentCode")).alias("instrument_code"),
-        values.present(values.text_at(doc, "common.isin")).alias("isin"),
-        values.text_at(doc, "common.issuerAccount").alias("issuer_account"),
+        name.alias("commercial_name"),
+        values.present(F.col("_d.common.instrumentCode")).alias("instrument_code"),
+        values.present(F.col("_d.common.isin")).alias("isin"),
+        F.col("_d.common.issuerAccount").alias("issuer_account"),
         issue.alias("issue_date"),
-        F.coalesce(
-            values.date_at(doc, "common.maturityDate"), F.add_months(F.lit(today), 12)
-        ).alias("maturity_date"),
-        values.text_at(doc, "common.modality").alias("modality"),
-        values.text_at(doc, "underlying.assetClass").alias("underlying_class"),
-        values.text_at(doc, "underlying.asset").alias("underlying"),
+        maturity.alias("maturity_date"),
+        F.col("_d.common.modality").alias("modality"),
+        F.col("_d.underlying.assetClass").alias("underlying_class"),
+        F.col("_d.underlying.asset").alias("underlying"),
         # Dropped, not rounded: a fractional quantity registers its whole part.
-        F.expr("cast(try_variant_get(doc, '$.common.quantity', 'decimal(38,18)') as bigint)").alias("quantity"),
-        values.number_at(doc, "common.unitIssuePrice").try_cast("decimal(28,8)").alias("unit_issue_price"),
-        values.number_at(doc, "common.notional").try_cast("decimal(28,8)").alias("notional"),
+        F.col("_d.common.quantity").try_cast("bigint").alias("quantity"),
+        F.col("_d.common.unitIssuePrice").try_cast("decimal(28,8)").alias("unit_issue_price"),
+        F.col("_d.common.notional").try_cast("decimal(28,8)").alias("notional"),
         F.lit("Validated").alias("status"),
     )
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strikebook.operators import book as ops
-from strikebook.plans.frames import frame, query
+from strikebook.plans.frames import frame, query, spread
 from strikebook.plans.registry import Registry
 
 registry = Registry()
@@ -63,8 +63,7 @@ SELECT note_id, figure_code,
 FROM {note_docs} d""",
 )
 def project_book(spark, sf):
-    docs = frame(spark, sf, "note_docs").withColumn("doc", F.try_parse_json("doc"))
-    return ops.project_book(docs, TODAY)
+    return ops.project_book(spread(spark, sf, "orders", frame(spark, sf, "note_docs")), TODAY)
 
 
 @registry.add(
