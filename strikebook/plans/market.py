@@ -166,10 +166,14 @@ def asof_quotes(spark, sf):
 DI_ROWS = """
 SELECT t.note_id, r.rate_date, t.di_pct, power(CAST(r.rate AS DOUBLE) / 100 + 1, 1.0 / 252) - 1 AS tdi
 FROM {terms} t LEFT JOIN {rates} r ON r.rate_date >= t.start_date AND r.rate_date < t.end_date"""
+# Whole numbers throughout: the factor in units of 1e-8, each day's step in units of 1e-14. A half
+# at the ninth decimal is common (half of a daily rate), and a double would round it either way.
 DI_HANDBOOK = f"""
-SELECT note_id, list_reduce(list_prepend(CAST(1 AS DOUBLE),
-         list(1 + coalesce(round(tdi, 8), 0) * CAST(di_pct AS DOUBLE) / 100 ORDER BY rate_date)),
-         lambda a, b: round(a * b, 8)) AS di
+SELECT note_id, CAST(CAST(list_reduce(list_prepend(CAST(100000000 AS HUGEINT),
+         list(CAST(100000000000000 AS HUGEINT) + coalesce(CAST(round(tdi * 100000000) AS HUGEINT), 0)
+              * CAST(di_pct * 10000 AS HUGEINT) ORDER BY rate_date)),
+         lambda a, b: (a * b + 50000000000000) // 100000000000000) AS DECIMAL(18,0))
+       * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(18,8)) AS di
 FROM ({DI_ROWS}) d GROUP BY note_id"""
 
 
@@ -188,7 +192,7 @@ def di_factor(spark, sf):
     return _di(spark, sf, "none").select("note_id", rounded("di"))
 
 
-@registry.add("L1_di_factor_handbook", f"SELECT note_id, {sql_rounded('di')} AS di FROM ({DI_HANDBOOK}) h")
+@registry.add("L1_di_factor_handbook", f"SELECT note_id, di FROM ({DI_HANDBOOK}) h")
 def di_factor_handbook(spark, sf):
     return _di(spark, sf, "handbook").select("note_id", "di")
 
