@@ -45,13 +45,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession, name: str) -> str:
     """A folder for stream state and written intermediates, shared by all executors.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, does a fresh local folder take its place.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only a local master, as in tests, may leave
+    it unset and gets a temporary folder, one for each application; elsewhere executors would each write to
+    their own disk, so the job is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        root = tempfile.mkdtemp(prefix="strikebook-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _LOCAL_ROOTS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="strikebook-")
+        _LOCAL_ROOTS[context.applicationId] = root
     return f"{root.rstrip('/')}/{name}"
+
+
+#: Temporary folders of local applications that set no shared folder.
+_LOCAL_ROOTS: dict[str, str] = {}
