@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-
-from strikebook.llm import quality_rules
+from strikebook.llm import best_fit, license_scan, quality_rules, token_counts
 
 QUERIES = {
+    "op1_license_scan": (license_scan.query, license_scan.sql()),
+    "op2_best_fit_packing": (best_fit.query, None),
+    "op3_token_counts": (token_counts.query, None),
     "op7_quality_rules": (quality_rules.query, quality_rules.sql()),
 }
