@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strikebook.llm import best_fit, license_scan, packed_matrices, quality_rules, token_counts, warc
+from strikebook.llm import best_fit, decontaminate, license_scan, packed_matrices, quality_rules, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": (license_scan.query, license_scan.sql()),
     "op2_best_fit_packing": (best_fit.query, None),
     "op3_token_counts": (token_counts.query, None),
+    "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op5_warc": (warc.query, warc.SQL),
     "op7_quality_rules": (quality_rules.query, quality_rules.sql()),
     "op10_packed_matrices": (packed_matrices.query, None),
