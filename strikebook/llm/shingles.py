@@ -23,20 +23,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]
     h = (h ^ (h >> np.uint64(27))) * _MIX[1]
     return h ^ (h >> np.uint64(31))
 
 
+def byte_sums(raw: np.ndarray) -> np.ndarray:
+    """Running polynomial sums, from which the hash of any range of bytes follows."""
+    powers, _ = _powers(len(raw) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])])
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
+    _, inverse = _powers(len(sums))
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and 64-bit hashes of the words between white space (blank and 09-0D)."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    powers, inverse = _powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])])
-    return starts, _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, range_hashes(byte_sums(raw), starts, ends)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -62,11 +72,11 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> Iterator[np.ndarray
         runs = np.zeros(n, np.uint64)
         for k in range(words):
             runs += hashes[k : k + n] * multipliers[k]
-        runs = _mixed(runs)
+        runs = mixed(runs)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= words:
                 yield np.unique(runs[a : b - words + 1])
             elif b > a:
-                yield _mixed((hashes[a:b] * multipliers[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+                yield mixed((hashes[a:b] * multipliers[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
