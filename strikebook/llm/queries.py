@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikebook.llm import best_fit, decontaminate, license_scan, ngram_join, packed_matrices, quality_rules, suffix_dedup, token_counts, warc
+from strikebook.llm import best_fit, decontaminate, html_template, license_scan, ngram_join, packed_matrices, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": (license_scan.query, license_scan.sql()),
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": (token_counts.query, None),
     "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op5_warc": (warc.query, warc.SQL),
+    "op6_html_template": (html_template.query, None),
     "op7_quality_rules": (quality_rules.query, quality_rules.sql()),
     "op8_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op9_ngram_join": (ngram_join.query, ngram_join.SQL),
