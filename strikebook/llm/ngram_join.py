@@ -213,18 +213,24 @@ def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _remaining(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected classes that pass the length, positional and suffix filters."""
+    """Pairs of unconnected classes that pass the length, positional and suffix filters.
+
+    Only what is left in ``live`` can be common to two unconnected classes, so places count live shingles:
+    those before this one, and those from it on plus all behind the prefix.
+    """
+    own = Window.partitionBy("class")
+    live = live.withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
+    live = live.withColumn("after", F.count("*").over(own) - F.col("before") + F.col("n") - _prefix(F.col("n"), percent))
+    live = written(live, "live")
     a, b = live.alias("a"), live.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
-    rest = F.least(n - F.col("a.at"), m - F.col("b.at"))
     met = a.join(
         b,
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.class") < F.col("b.class"))
         & (F.col("a.component") != F.col("b.component"))
         & _long_enough(n, m, percent)
-        # before this place at most min(at) shingles are common
-        & (F.least(F.col("a.at"), F.col("b.at")) + rest >= _needed(n, m, percent)),
+        & (F.least("a.before", "b.before") + F.least("a.after", "b.after") >= _needed(n, m, percent)),
     )
     pair = met.groupBy(F.col("a.class").alias("u"), F.col("b.class").alias("v")).agg(
         F.count("*").alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strikebook.llm import best_fit, decontaminate, html_template, license_scan, ngram_join, packed_matrices, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES = {
@@ -15,4 +16,5 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op9_ngram_join": (ngram_join.query, ngram_join.SQL),
     "op10_packed_matrices": (packed_matrices.query, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

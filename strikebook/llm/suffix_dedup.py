@@ -17,7 +17,7 @@ key, or earlier in the same one.
 Defined cases: a null text is empty. Texts shorter than SIZE keep everything. Rows with a null key precede
 all others. Rows that share a key are ordered by a hash of their text; rows equal in both are one document
 and get the same result. Empty tables give no rows. Columns of the input with the names of results are
-replaced. Contents are compared by 64-bit hashes in steps 1 and 2, byte by byte in step 3.
+replaced; a null text stays null where texts are returned. Contents are compared by 64-bit hashes in steps 1 and 2, byte by byte in step 3.
 """
 
 from __future__ import annotations
@@ -252,43 +252,56 @@ def _with(docs: DataFrame, other: DataFrame) -> DataFrame:
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``RESULTS``, removed (spans in bytes) and kept (the remaining bytes)."""
-    docs = docs.drop(*[c for c in (*RESULTS, "removed", "kept") if c not in (key, text)])
-    own = docs.columns
-    keyed = _keyed(docs, key, text)
-    ranges = written(removed_ranges(keyed), "ranges")
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` without its texts, with ``RESULTS`` and removed (spans in bytes).
+
+    ``with_text`` adds the remaining text as kept_text; bytes of characters that were cut apart are left out.
+    """
+    own = [c for c in docs.columns if c != text and (c == key or c not in (*RESULTS, "removed", "kept_text"))]
+    ranges = written(removed_ranges(_keyed(docs, key, text)), "ranges")
     spans = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    whole = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for c, n in zip(_columns(key, text), ("_doc", "_tag", "_text"), strict=True)])
+    whole = docs.select(F.struct(*own).alias("_row"), *[c.alias(n) for c, n in zip(_columns(key, text), ("_doc", "_tag", "_text"), strict=True)])
     rows = _with(whole, spans)
-    found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>, kept binary"
+    found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>, kept_text string"
+    names = [*RESULTS, "removed", "kept_text"]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = [*RESULTS, "removed", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for value, cuts in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                data, merged_ = (value or "").encode(), []
+                data, spans_, at, parts = (value or "").encode(), [], 0, []
                 for a, b in sorted((c["start"], c["end"]) for c in cuts or ()):
-                    if merged_ and a <= merged_[-1]["end"]:
-                        merged_[-1]["end"] = max(b, merged_[-1]["end"])
+                    if spans_ and a <= spans_[-1]["end"]:
+                        spans_[-1]["end"] = max(b, spans_[-1]["end"])
                     else:
-                        merged_.append({"start": a, "end": b})
-                at, parts = 0, []
-                for c in merged_:
+                        spans_.append({"start": a, "end": b})
+                for c in spans_:
                     parts.append(data[at : c["start"]])
                     at = c["end"]
                 kept = b"".join([*parts, data[at:]])
-                out.append((len(data), len(data) - len(kept), len(merged_), hashlib.sha256(kept).hexdigest(), merged_, kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.binary())
+                rest = kept.decode(errors="ignore") if with_text and value is not None else None
+                out.append((len(data), len(data) - len(kept), len(spans_), hashlib.sha256(kept).hexdigest(), spans_, rest))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.string())
             results = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *results], ["_row", *names])
 
     schema = whole.select("_row").schema
     for field in docs.sparkSession.createDataFrame([], found).schema:
         schema = schema.add(field)
-    return rows.select("_row", "_text", "ranges").mapInArrow(cut, schema).select(*[F.col("_row")[c].alias(c) for c in own], *names)
+    done = rows.select("_row", "_text", "ranges").mapInArrow(cut, schema)
+    return done.select(*[F.col("_row")[c].alias(c) for c in own], *(names if with_text else names[:-1]))
+
+
+def reduced(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows of ``docs`` with the repeated bytes cut from their texts; n_chars, if there, follows."""
+    own = docs.columns
+    plain = docs.select(F.col(key).alias("_id"), F.col(text).alias("_body"), F.struct(*[c for c in own if c != text]).alias("_rest"))
+    cut = deduplicated(plain, "_id", "_body", with_text=True).withColumn(text, F.col("kept_text"))
+    values = {c: F.col("_rest")[c] for c in own if c != text} | {text: F.col(text)}
+    if "n_chars" in own:
+        values["n_chars"] = F.length(text).cast("long")
+    return cut.select(*[values[c].alias(c) for c in own])
 
 
 def _columns(key: str, text: str) -> tuple[Column, Column, Column]:
@@ -297,7 +310,7 @@ def _columns(key: str, text: str) -> tuple[Column, Column, Column]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *RESULTS)
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
 SQL = """
