@@ -67,8 +67,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("_repeats", F.size(F.array_distinct("_windows")) < F.size("_windows"))
     df = df.withColumn("_starts", F.when(F.col("_repeats"), _repeated_starts(F.col("_windows"))))
-    return df.select(
-        *docs.columns,
+    figures = F.struct(
         "n_words",
         F.length(F.regexp_replace(body, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -76,6 +75,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("_starts")), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # a generator keeps later filters from being rewritten in terms of the texts, again and again
+    return df.select(*docs.columns, F.inline(F.array(figures)))
 
 
 def _repeated_starts(windows: Column) -> Column:
