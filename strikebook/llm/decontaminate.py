@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikebook.llm.shared import table, written
+from strikebook.llm.shared import carried, table, written
 from strikebook.llm.suffixes import suffix_array
 
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLED = 13, 24 << 20, 4 << 20, 16
@@ -257,14 +257,14 @@ def annotated(
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with ``RESULTS``: counts, the verdict, merged spans in words, and the item ids found."""
-    df = docs.drop(*[c for c in RESULTS if c != text])
-    own = df.columns
+    own = carried(docs.columns, RESULTS, (text,))
+    df = docs.select(F.struct(*own).alias("_row"), F.col(text).alias("_text"))
     for n, block in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        df = _search(written(df, "decontaminate") if n else df, text, block, window)
+        df = _search(written(df, "decontaminate") if n else df, "_text", block, window)
     hit = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long")
     df = df.withColumn("n_hit", hit)
     return df.select(
-        *own, F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("long").alias("n_items"),
+        *[F.col("_row")[c].alias(c) for c in own], F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("_n_words"))).alias("contaminated"),
         F.col("_spans").alias("spans"), F.col("_items").alias("items"),
@@ -273,8 +273,8 @@ def annotated(
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    whole = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return annotated(whole, benchmark).where(~F.col("contaminated")).select("_row.*")
+    whole = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return annotated(whole, benchmark).where(~F.col("contaminated")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

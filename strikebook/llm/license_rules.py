@@ -1,6 +1,6 @@
 """Signature rules of the license scan as data.
 
-A rule is a pattern over words: lower-case text whose words are separated by one space. ``{v}`` stands for
+A rule is a pattern over words: lower-case text whose words are separated by one space. The constant V stands for
 an optional "v" or "version" before a number. Each rule has a keyword that every match contains, a label,
 a priority (3 wording of the license itself, 2 explicit identifiers and notices, 1 mentions) and a weight.
 Order is rank: of equal intervals with equal priority the earlier rule wins.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-V = "(?:v |version )?"
+V = "(?:version |v |v)?"
 
 
 @dataclass(frozen=True)

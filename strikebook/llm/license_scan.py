@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikebook.llm.license_rules import LicenseRule, rules
-from strikebook.llm.shared import table
+from strikebook.llm.shared import carried, table
 
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -108,8 +108,9 @@ RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "label
 
 def scan(docs: DataFrame, text: str = "text", found_rules: tuple[LicenseRule, ...] | None = None, with_detections: bool = False) -> DataFrame:
     """``docs`` with ``RESULTS``; ``with_detections`` adds all detections before suppression as an array."""
-    docs = docs.drop(*[n for n in (*RESULTS, "detections") if n != text])
-    body = F.coalesce(F.col(text), F.lit(""))
+    own = carried(docs.columns, (*RESULTS, "detections"), (text,))
+    docs = docs.select(F.struct(*own).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    body = F.col("_body")
     lines = F.filter(F.split(F.translate(body, UPPER, LOWER), BREAK), lambda w: w != "")
     df = docs.withColumn("_words", F.when(_gated(body), lines))
     df = df.withColumn("_plain", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
@@ -139,7 +140,7 @@ def scan(docs: DataFrame, text: str = "text", found_rules: tuple[LicenseRule, ..
         (F.greatest(F.size(F.coalesce("detections", F.array())), F.lit(0)) - F.coalesce("_kept.n", F.lit(0))).cast("long").alias("n_suppressed"),
     )
     extra = [F.col("detections")] if with_detections else []
-    return df.select(*docs.columns, *results, *extra)
+    return df.select(*[F.col("_row")[c].alias(c) for c in own], *results, *extra)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@
 5. Components of the links give the result; copies follow their class.
 
 Defined cases: texts without words, and null texts, have an empty set and are linked with nothing. Fewer
-than five words are one shingle. A null key is no key: such a row has a null component unless a linked row
-has a key. Repeated rows are one class. Empty tables give no rows. Other columns are not carried. Shingles
+than five words are one shingle. A null key is no key: such a row has a null component unless a row with an
+equal set has a key, and ``keep_one`` keeps it. Repeated rows are one class. Empty tables give no rows. Other columns are not carried. Shingles
 are 64-bit hashes and classes are named by the first 64 bits of a digest of the set.
 """
 
@@ -263,8 +263,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of each group of near duplicates: the one with the least key. Rows without a key stay."""
     groups = joined(docs.where(F.col(key).isNotNull()), key, text)
     dropped = written(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")), "near-duplicates")
-    rest = docs.join(dropped, F.col(key) == F.col("_drop"), "left_anti")
-    return rest
+    return docs.join(dropped, docs[key] == dropped["_drop"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_or_plain(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a written table that is counted to be small; any other is left to the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def carried(columns: list[str], results: tuple[str, ...], needed: tuple[str, ...] = ()) -> list[str]:
+    """The input's columns that stay: all but those named like a result, in any case."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c in needed or c.lower() not in taken]

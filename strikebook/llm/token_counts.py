@@ -9,6 +9,9 @@ what is in no cache is encoded.
 Defined cases: a null text counts as empty (0 bytes, 0 tokens). Repeated rows give repeated results.
 Special strings inside texts count as the library's special tokens. Columns with the names of results are
 replaced.
+
+The frequent pre-tokens come from per-task summaries of all texts (``SUMMARY`` entries each), the only thing
+that is ever shuffled.
 """
 
 from __future__ import annotations
