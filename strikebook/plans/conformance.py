@@ -390,26 +390,38 @@ PROSES = """SELECT doc_id AS field_id, concat(text, CASE CAST(doc_id % 8 AS INT)
   WHEN 2 THEN ' Campo obrigatório. Campo com as opções: Sim e Não.' WHEN 3 THEN ' Formato: alfanumérico de até 20 posições.'
   WHEN 4 THEN ' Formato: numérico percentual com 3 inteiros e 2 decimais. Não preencher se a Classe do Ativo Subjacente for igual a CESTA.'
   WHEN 5 THEN ' Campo com os domínios: Alta, Baixa, Ambas. Formato: texto.' ELSE '' END) AS text FROM {documents}"""
-CONDITIONAL = r"""(?i)obrigat[óo]rio,?\s*(?:se|quando|caso)[^."“]*["“]([^"”]+)["”]"""
-NUMERIC = r"(?i)num[ée]rico\s*(percentual)?\s*com\s*(\d+)\s*inteiros?\s*e\s*(\d+)\s*decima"
 
 
-EXTRACTED = rf"""
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# The comparison works on words, sentences and quoted parts as lists.
+_SAYS = lambda kind: f"list_bool_or([contains(folded, x) FOR x IN [{_listed(ops.PHRASES[kind])}]])"
+_REST = lambda kind: (
+    f"split_part(list_filter([CASE WHEN contains(folded, x) THEN substr(text, length(split_part(folded, x, 1)) + length(x) + 1) END "
+    f"FOR x IN [{_listed(ops.PHRASES[kind])}]], lambda y: y IS NOT NULL)[1], '.', 1)"
+)
+_QUOTED = lambda kind: f"nullif(string_split(replace(replace({_REST(kind)}, '“', '\"'), '”', '\"'), '\"')[2], '')"
+_BEFORE = lambda name: f"TRY_CAST(words[list_position(words, '{name}') - 1] AS INT)"
+
+EXTRACTED = f"""
 SELECT field_id, data_type, CASE WHEN data_type IN ('decimal', 'percent') THEN decimals END AS decimals,
   CASE WHEN data_type IN ('decimal', 'percent') THEN CAST(repeat('9', whole) AS DECIMAL(20,0)) END AS upper_bound,
-  CASE WHEN data_type = 'string' THEN coalesce(TRY_CAST(nullif(regexp_extract(text, '(?i)alfanum[ée]rico[^.\d]*(\d+)', 1), '') AS INT), 100) END AS max_length,
-  n_options, mandatory AND required_when IS NULL AS required, required_when,
-  nullif(regexp_extract(text, '(?i)posterior [àa] (?:indicada )?no campo ["“]([^"”]+)["”]', 1), '') AS after_field,
-  regexp_matches(text, '(?i)maior que (0|zero)') AS positive,
-  regexp_matches(text, '(?i)N[ãa]o preencher se a ["“]?Classe do Ativo Subjacente["”]? for igual a ["“]?CESTA') AS not_for_baskets
-FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i)DD/MM/(AAAA|YYYY)') THEN 'date' WHEN whole IS NOT NULL AND pc <> '' THEN 'percent'
-   WHEN whole IS NOT NULL THEN 'decimal' WHEN n_options BETWEEN 1 AND 12 THEN 'enum' ELSE 'string' END AS data_type
- FROM (SELECT *, TRY_CAST(nullif(regexp_extract(text, '{NUMERIC}', 2), '') AS INT) AS whole,
-   TRY_CAST(nullif(regexp_extract(text, '{NUMERIC}', 3), '') AS INT) AS decimals, regexp_extract(text, '{NUMERIC}', 1) AS pc,
-   nullif(regexp_extract(text, '{CONDITIONAL}', 1), '') AS required_when,
-   regexp_matches(text, '(?i)preenchimento obrigat[óo]rio|campo obrigat[óo]rio|é de preenchimento') AS mandatory,
-   CAST(coalesce(len(list_filter(regexp_split_to_array(nullif(regexp_extract(text, '(?i)Campo com (?:as op[çc][õo]es|os dom[íi]nios|as op[çc][õo]es de dom[íi]nio):\s*([^.]+)', 1), ''), ',\s*|\s+e\s+'), lambda x: trim(x) <> '')), 0) AS INT) AS n_options
-  FROM ({PROSES}) p) q WHERE mandatory OR regexp_matches(text, '(?i)Formato:')) r"""
+  CASE WHEN data_type = 'string' THEN coalesce(size, {ops.DEFAULT_LENGTH}) END AS max_length, array_to_string(options, '|') AS options,
+  CAST(len(options) AS INT) AS n_options, mandatory AND required_when IS NULL AS required, required_when, after_field, positive, not_for_baskets,
+  len(options) > {ops.MOST_OPTIONS} AS too_many_options, data_type = 'string' AND size IS NULL AS length_assumed
+FROM (SELECT *, CASE WHEN dated THEN 'date' WHEN number AND list_contains(words, 'percentual') THEN 'percent' WHEN number THEN 'decimal'
+   WHEN list_sort([strip_accents(lower(o)) FOR o IN options]) = ['nao', 'sim'] THEN 'boolean' WHEN len(options) BETWEEN 1 AND {ops.MOST_OPTIONS} THEN 'enum' ELSE 'string' END AS data_type
+ FROM (SELECT *, whole IS NOT NULL AND decimals IS NOT NULL AS number
+  FROM (SELECT field_id, words, {_SAYS('mandatory')} AS mandatory, {_SAYS('format')} AS formatted, {_SAYS('positive')} AS positive, {_SAYS('baskets')} AS not_for_baskets,
+    {_SAYS('date')} AS dated, CASE WHEN list_contains(words, 'numerico') THEN {_BEFORE('inteiros')} END AS whole,
+    CASE WHEN list_contains(words, 'numerico') THEN {_BEFORE('decimais')} END AS decimals,
+    TRY_CAST(list_filter(CASE WHEN list_contains(words, 'alfanumerico') THEN words[list_position(words, 'alfanumerico'):] END, lambda w: TRY_CAST(w AS INT) IS NOT NULL)[1] AS INT) AS size,
+    coalesce(list_filter([trim(o) FOR o IN string_split(replace({_REST('options')}, ' e ', ','), ',')], lambda o: o <> ''), []) AS options,
+    {_QUOTED('conditional')} AS required_when, {_QUOTED('after')} AS after_field
+   FROM (SELECT *, strip_accents(lower(text)) AS folded, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS words FROM ({{PROSES}}) p) f) q
+  WHERE mandatory OR formatted) n) r""".replace("{PROSES}", PROSES)
 
 
 @registry.add("H4_extract_attributes", EXTRACTED)
