@@ -133,7 +133,8 @@ def page_with_total(book: DataFrame, figures: DataFrame, page: int, size: int) -
     The total is a scalar subquery and the page a take-ordered limit, so neither the sort nor the
     count gathers the book in one task. Names are joined to the page, not to the book.
     """
-    page, size = max(page, 1), min(max(size, 1), 500)
+    if page < 1 or not 1 <= size <= 500:
+        raise ValueError("pages count from 1 and hold 1 to 500 notes")
     ordered = book.orderBy(F.col("updated_on").desc(), F.col("note_id"))
     cut = ordered.offset((page - 1) * size).limit(size)
     total = book.agg(F.count("*").alias("n")).scalar()

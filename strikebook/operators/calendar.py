@@ -15,8 +15,9 @@ from strikebook.functions.sizes import small_side
 
 BRAZIL = "BRASIL"
 
-# Month and day of the national holidays that do not move.
+# Month and day of the national holidays that do not move, and the first year of those that are new.
 FIXED_HOLIDAYS = [(1, 1), (4, 21), (5, 1), (9, 7), (10, 12), (11, 2), (11, 15), (11, 20), (12, 25)]
+HOLIDAY_SINCE = {(11, 20): 2024}
 # Days from Easter Sunday to Carnival Monday and Tuesday, Good Friday, Corpus Christi.
 EASTER_OFFSETS = [-48, -47, -2, 60]
 
@@ -46,7 +47,7 @@ def national_days(first_year: int, last_year: int) -> list[dt.date]:
     """Fixed and Easter-bound national holidays; about thirteen per year."""
     days = []
     for year in range(first_year, last_year + 1):
-        days += [dt.date(year, m, d) for m, d in FIXED_HOLIDAYS]
+        days += [dt.date(year, m, d) for m, d in FIXED_HOLIDAYS if year >= HOLIDAY_SINCE.get((m, d), year)]
         days += [easter(year) + dt.timedelta(days=n) for n in EASTER_OFFSETS]
     return sorted(days)
 
@@ -107,24 +108,31 @@ def roll_following(df: DataFrame, column: str, calendar: Calendar, out: str) ->
 
 
 def expand_schedule(df: DataFrame, start: str, end: str, calendar: Calendar, out: str) -> DataFrame:
-    """One row per business day of each window, through an equi-join on the day."""
+    """One row per business day of each window, through an equi-join on the day.
+
+    Days outside the calendar are not dropped: they come with ``covered`` false.
+    """
     window = F.when(F.col(start) <= F.col(end), F.sequence(start, end))
-    days = calendar.side(F.when(F.col("is_business_day"), F.col("day")).alias(out))
-    return df.withColumn(out, F.explode(window)).join(days, out)
+    days = calendar.side(F.col("day").alias(out), F.col("is_business_day").alias("_open"))
+    joined = df.withColumn(out, F.explode(window)).join(days, out, "left")
+    return joined.where(F.coalesce("_open", F.lit(True))).withColumn("covered", F.col("_open").isNotNull()).drop("_open")
 
 
 def fixing_window(df: DataFrame, maturity: str, n: str, lag: str, calendar: Calendar, out: str) -> DataFrame:
-    """The ``n`` business days that end ``lag`` business days before maturity, one row each."""
+    """The ``n`` business days that end ``lag`` business days before maturity, one row each.
+
+    Where the calendar does not reach, the row stays and its day is null.
+    """
     at = calendar.side(F.col("day").alias(maturity), F.col("bd_index").alias("_at"))
     days = calendar.side(
         F.when(F.col("is_business_day"), F.col("bd_index")).alias("_index"), F.col("day").alias(out)
     )
     steps = F.sequence(F.lit(1), F.col(n))
     return (
-        df.join(at, maturity)
+        df.join(at, maturity, "left")
         .withColumn("_step", F.explode(steps))
         .withColumn("_index", F.col("_at") - F.col(lag) - F.col(n) + F.col("_step"))
-        .join(days, "_index")
+        .join(days, "_index", "left")
         .drop("_at", "_step", "_index")
     )
 

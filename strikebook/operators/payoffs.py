@@ -120,12 +120,15 @@ def withholding_tax(redemption: Column, principal: Column, days: Column) -> Colu
 
 
 def modality_floor_audit(notes: DataFrame) -> DataFrame:
-    """Redemptions under the guaranteed share of the principal, which is 100% at least for VNP."""
+    """Redemptions under the guaranteed share of the principal, which is 100% at least for VNP.
+
+    A note without a redemption can't be cleared and is listed too.
+    """
     floor_pct = F.when(
         F.col("modality") == "VNP", F.greatest(F.col("guaranteed"), F.lit(100).cast("decimal(9,4)"))
     ).otherwise(F.col("guaranteed"))
     return notes.withColumn("floor_amount", money(F.col("principal"), percent(floor_pct))).filter(
-        F.col("redemption") < F.col("floor_amount")
+        F.col("redemption").isNull() | (F.col("redemption") < F.col("floor_amount"))
     )
 
 

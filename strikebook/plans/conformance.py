@@ -28,7 +28,7 @@ def d_signature(key: str) -> str:
 def agree(published: str, declared: str) -> str:
     return (
         f"CASE {published} WHEN 'NUMERICO' THEN {declared} IN ('decimal', 'percent', 'money', 'integer') "
-        f"WHEN 'DATA' THEN {declared} = 'date' WHEN 'TEXTO' THEN {declared} IN ('string', 'text') ELSE true END"
+        f"WHEN 'DATA' THEN {declared} = 'date' WHEN 'TEXTO' THEN {declared} IN ('string', 'text') WHEN 'DOMINIO' THEN {declared} IN ('enum', 'enumset', 'boolean') ELSE false END"
     )
 
 
@@ -123,10 +123,23 @@ def type_conformity(spark, sf):
     return ops.type_conformity(*two(spark, sf, "fields", "attributes"))
 
 
+# Of every forty fields one is mapped under its published code; the others carry codes nobody published.
+MAPPED = "SELECT figure_code, CASE WHEN field_id % 40 = 0 THEN field_code ELSE concat('own-', field_code) END AS field_code FROM {fields}"
+
+
+@registry.add(
+    "C9_unmapped_attributes",
+    f"SELECT a.figure_code, a.field_code, a.name, a.mandatory FROM {{attributes}} a ANTI JOIN ({MAPPED} f0) f ON f.figure_code = a.figure_code AND f.field_code = a.field_code",
+)
+def unmapped_attributes(spark, sf):
+    gaps = ops.unmapped_attributes(frame(spark, sf, "attributes"), query(spark, sf, MAPPED))
+    return gaps.select("figure_code", "field_code", "name", "mandatory")
+
+
 @registry.add(
     "C9_missing_attributes",
+    f"WITH g AS (SELECT a.* FROM {{attributes}} a ANTI JOIN ({MAPPED} f0) f ON f.figure_code = a.figure_code AND f.field_code = a.field_code),"
     """
-WITH g AS (SELECT a.* FROM {attributes} a ANTI JOIN {fields} f ON f.figure_code = a.figure_code AND f.field_code = a.field_code AND f.field_id % 40 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY figure_code ORDER BY name, field_code) AS rn FROM g WHERE mandatory)
 SELECT g.figure_code, count(*) AS n_missing, count(*) FILTER (mandatory) AS n_mandatory,
   count(*) = (SELECT count(*) FROM {attributes} x WHERE x.figure_code = g.figure_code) AS none_mapped,
@@ -134,8 +147,7 @@ SELECT g.figure_code, count(*) AS n_missing, count(*) FILTER (mandatory) AS n_ma
 FROM g GROUP BY g.figure_code""",
 )
 def missing_attributes(spark, sf):
-    attributes, fields = two(spark, sf, "attributes", "fields")
-    return ops.missing_attributes(attributes, fields.filter("field_id % 40 = 0"))
+    return ops.missing_attributes(frame(spark, sf, "attributes"), query(spark, sf, MAPPED))
 
 
 RESOLVE = "SELECT o_orderkey AS row_id, o_custkey * 3 AS ordinal, CASE WHEN o_orderkey % 2 = 0 THEN concat('#', lpad(CAST(o_custkey AS STRING), 9, '0')) ELSE 'none' END AS name FROM {orders}"

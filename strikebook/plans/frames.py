@@ -252,7 +252,8 @@ FROM {terms} AS t
 FRAMES["autocalls"] = "SELECT t.*, CAST(120 + note_id % 30 AS DECIMAL(18,8)) AS s0 FROM {terms} AS t"
 
 # What follows is written for DuckDB alone: the same rows the operators build.
-FIRST_DAY, LAST_DAY = dt.date(1995, 1, 1), dt.date(2028, 12, 31)
+# Every day that a note of this or the next generation can name; K7 reports years beyond.
+FIRST_DAY, LAST_DAY = dt.date(1970, 1, 1), dt.date(2100, 12, 31)
 FRAMES["d_holidays"] = "SELECT CAST(d AS DATE) AS holiday_date FROM (VALUES {days}) AS v(d)".replace(
     "{days}", ", ".join(f"('{d}')" for d in national_days(FIRST_DAY.year, LAST_DAY.year))
 )
@@ -261,8 +262,8 @@ SELECT day, is_business_day, CAST(sum(CAST(is_business_day AS INT)) OVER (ORDER
        min(CASE WHEN is_business_day THEN day END)
          OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_bd
 FROM (SELECT day, isodow(day) < 6 AND day NOT IN (SELECT holiday_date FROM {d_holidays} h) AS is_business_day
-      FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS day))
-"""
+      FROM (SELECT CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day))
+""".replace("{FIRST_DAY}", str(FIRST_DAY)).replace("{LAST_DAY}", str(LAST_DAY))
 FRAMES["d_fixings"] = """
 SELECT asset, fixing_date, last(price ORDER BY ts, tick_id) AS close,
        CAST(round(avg(price), 8) AS DECIMAL(18,8)) AS avg, max(price) AS high, min(price) AS low

@@ -58,11 +58,11 @@ def build_calendar(spark, sf):
 
 @registry.add(
     "E4_business_day_index",
-    "SELECT t.tick_id, t.fixing_date, c.bd_index FROM {ticks} t JOIN {d_calendar} c ON c.day = t.fixing_date",
+    "SELECT t.tick_id, t.fixing_date, c.bd_index FROM {ticks} t LEFT JOIN {d_calendar} c ON c.day = t.fixing_date",
 )
 def business_day_index(spark, sf):
     side = brazil(spark).side(F.col("day").alias("fixing_date"), "bd_index")
-    return frame(spark, sf, "ticks").select("tick_id", "fixing_date").join(side, "fixing_date")
+    return frame(spark, sf, "ticks").select("tick_id", "fixing_date").join(side, "fixing_date", "left")
 
 
 @registry.add(

@@ -14,8 +14,15 @@ registry = Registry()
 c = F.col
 
 
-def priced(spark, sf):
-    return performance(spark, sf).filter(c("perf").isNotNull())
+def settled(redemption):
+    """The redemption, or null and a reason where a note has no fixing at either end."""
+    known = c("perf").isNotNull()
+    return F.when(known, redemption).alias("redemption"), F.when(~known, "no fixing").alias("reason")
+
+
+def sql_settled(redemption: str) -> str:
+    """DuckDB text of both columns."""
+    return f"CASE WHEN perf IS NOT NULL THEN {redemption} END AS redemption, CASE WHEN perf IS NULL THEN 'no fixing' END AS reason"
 
 
 HUNDREDTH = "CAST(0.01 AS DECIMAL(3,2))"
@@ -45,43 +52,43 @@ def paid(multiple: str, nominal: str = "vn") -> str:
 
 
 PART, CAP, COUPON = pct("participation"), pct("cap"), pct("coupon")
-PERF = "(SELECT * FROM {d_perf} p0 WHERE perf IS NOT NULL) p"
+PERF = "{d_perf} p"
 
 
 def single(name: str, multiple: str):
     """Register a figure paid on one final fixing."""
-    return registry.add(name, f"SELECT note_id, {paid(multiple)} AS redemption FROM {PERF}")
+    return registry.add(name, f"SELECT note_id, {sql_settled(paid(multiple))} FROM {PERF}")
 
 
 @single("N1_call_participation", f"1 + {mul(PART, 'greatest(perf, 0)')}")
 def call_participation(spark, sf):
     paid = payoffs.call_participation(c("vn"), c("perf"), c("participation"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 @single("N2_call_spread", "1 + " + mul(PART, f"least(greatest(perf, 0), {CAP})"))
 def call_spread(spark, sf):
     paid = payoffs.call_spread(c("vn"), c("perf"), c("participation"), c("cap"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 @single("N3_put_spread", "1 + " + mul(PART, f"least(greatest(-perf, 0), {CAP})"))
 def put_spread(spark, sf):
     paid = payoffs.put_spread(c("vn"), c("perf"), c("participation"), c("cap"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 @registry.add(
     "N4_digital",
     f"""
-SELECT p.note_id, {paid(f"CASE WHEN st * 100 >= s0 * trigger_pct THEN 1 + {COUPON} ELSE CAST(d.di AS DECIMAL(22,16)) END")} AS redemption
+SELECT p.note_id, {sql_settled(paid(f"CASE WHEN st * 100 >= s0 * trigger_pct THEN 1 + {COUPON} ELSE CAST(d.di AS DECIMAL(22,16)) END"))}
 FROM {PERF} JOIN (SELECT note_id, product(1 + coalesce(tdi, 0) * CAST(di_pct AS DOUBLE) / 100) AS di
                   FROM ({DI_ROWS}) r GROUP BY note_id) d ON d.note_id = p.note_id""",
 )
 def digital(spark, sf):
-    notes = accrual.di_factor(priced(spark, sf), frame(spark, sf, "rates"), "start_date", "end_date", "di_pct", "di")
+    notes = accrual.di_factor(performance(spark, sf), frame(spark, sf, "rates"), "start_date", "end_date", "di_pct", "di")
     above = at_least(c("st"), c("trigger_pct"), c("s0"))
-    return notes.select("note_id", payoffs.digital(c("vn"), above, c("coupon"), c("di")).alias("redemption"))
+    return notes.select("note_id", *settled(payoffs.digital(c("vn"), above, c("coupon"), c("di"))))
 
 
 LEVEL = "CAST(CAST(s0 AS DECIMAL(18,8)) * CAST({pct} AS DECIMAL(9,4)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,8))"
@@ -98,12 +105,12 @@ WHERE CASE p.quote_type WHEN 'close' THEN f.close WHEN 'avg' THEN f.avg WHEN 'hi
 @registry.add(
     "N5_shark_fin",
     f"""
-SELECT note_id, {paid(f"1 + CASE WHEN ko THEN {COUPON} ELSE {mul(PART, 'greatest(perf, 0)')} END")} AS redemption
+SELECT note_id, {sql_settled(paid(f"1 + CASE WHEN ko THEN {COUPON} ELSE {mul(PART, 'greatest(perf, 0)')} END"))}
 FROM (SELECT p.*, CASE WHEN note_id % 2 = 0 THEN st * 100 >= s0 * upper_pct
              ELSE note_id IN ({_breaches(">= " + LEVEL.replace("{pct}", "p.upper_pct"))}) END AS ko FROM {PERF}) k""",
 )
 def shark_fin(spark, sf):
-    notes = priced(spark, sf).withColumns(
+    notes = performance(spark, sf).withColumns(
         {"observation": F.lit("american"), "direction": F.lit("up"), "level": level(c("s0"), c("upper_pct"))}
     )
     watched = fixings.barrier_hit(
@@ -112,7 +119,7 @@ def shark_fin(spark, sf):
     european = at_least(c("st"), c("upper_pct"), c("s0"))
     knocked_out = F.when(c("note_id") % 2 == 0, european).otherwise(c("hit"))
     paid = payoffs.shark_fin(c("vn"), c("perf"), knocked_out, c("participation"), c("coupon"))
-    return watched.select("note_id", paid.alias("redemption"))
+    return watched.select("note_id", *settled(paid))
 
 
 RANGE = """(SELECT b.*, coalesce(o.n_in, 0) AS n_in, coalesce(o.n_all, 0) AS n_all FROM {barriers} b LEFT JOIN (
@@ -145,7 +152,7 @@ def range_accrual(spark, sf):
 )
 def booster(spark, sf):
     paid = payoffs.booster(c("vn"), c("perf"), 1 + c("note_id") % 3, c("cap"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 @single(
@@ -155,24 +162,24 @@ def booster(spark, sf):
 def reverse_convertible(spark, sf):
     breached = ~at_least(c("st"), c("lower_pct"), c("s0"))
     paid = payoffs.reverse_convertible(c("vn"), c("perf"), breached, c("coupon"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 @registry.add(
     "N10_reverse_convertible_american",
     f"""
-SELECT note_id, {paid(f"1 + {COUPON} + CASE WHEN b THEN perf ELSE 0 END")} AS redemption
+SELECT note_id, {sql_settled(paid(f"1 + {COUPON} + CASE WHEN b THEN perf ELSE 0 END"))}
 FROM (SELECT p.*, note_id IN ({_breaches("< " + LEVEL.replace("{pct}", "p.lower_pct"))}) AS b FROM {PERF}) k""",
 )
 def reverse_convertible_american(spark, sf):
-    notes = priced(spark, sf).withColumns(
+    notes = performance(spark, sf).withColumns(
         {"observation": F.lit("american"), "direction": F.lit("down"), "level": level(c("s0"), c("lower_pct"))}
     )
     watched = fixings.barrier_hit(
         notes, daily(spark, sf), "start_date", "end_date", "quote_type", "observation", "level", "direction"
     )
     paid = payoffs.reverse_convertible(c("vn"), c("perf"), c("hit"), c("coupon"))
-    return watched.select("note_id", paid.alias("redemption"))
+    return watched.select("note_id", *settled(paid))
 
 
 @single(
@@ -183,7 +190,7 @@ def reverse_convertible_american(spark, sf):
 def twin_win(spark, sf):
     breached = ~at_least(c("st"), c("lower_pct"), c("s0"))
     paid = payoffs.twin_win(c("vn"), c("perf"), breached, c("participation"), c("cap"))
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 DI_FREE = f"""(SELECT note_id, product(1 + coalesce(tdi, 0) * CAST(di_pct AS DOUBLE) / 100) AS di
@@ -285,10 +292,10 @@ def edge_accrual(spark, sf):
 @registry.add(
     "N15_master_redemption",
     f"""
-SELECT note_id, greatest({paid(f'''{pct("90 + note_id % 11")} * CAST(1.05 AS DECIMAL(3,2))
+SELECT note_id, CASE WHEN perf IS NOT NULL THEN greatest({paid(f'''{pct("90 + note_id % 11")} * CAST(1.05 AS DECIMAL(3,2))
    + CASE WHEN note_id % 3 = 0 THEN -1 ELSE 1 END
    * CAST({mul(PART, "greatest(perf, 0)")} AS DECIMAL(20,10)) * CAST(1.02 AS DECIMAL(3,2))''', "principal")},
-   {paid(pct("95 + note_id % 6"), "principal")}) AS redemption
+   {paid(pct("95 + note_id % 6"), "principal")}) END AS redemption, CASE WHEN perf IS NULL THEN 'no fixing' END AS reason
 FROM {PERF}""",
 )
 def master_redemption(spark, sf):
@@ -298,7 +305,7 @@ def master_redemption(spark, sf):
         c("principal"), F.lit("1.05").cast("decimal(18,8)"), 90 + c("note_id") % 11, position, option,
         F.lit("1.02").cast("decimal(18,8)"), 95 + c("note_id") % 6,
     )
-    return priced(spark, sf).select("note_id", paid.alias("redemption"))
+    return performance(spark, sf).select("note_id", *settled(paid))
 
 
 CARRIED = paid("1 + perf")
@@ -308,12 +315,12 @@ CARRIED = paid("1 + perf")
     "N16_modality_floor_audit",
     f"""
 SELECT note_id, modality, redemption, floor_amount FROM (
- SELECT note_id, modality, {CARRIED} AS redemption,
+ SELECT note_id, modality, CASE WHEN perf IS NOT NULL THEN {CARRIED} END AS redemption,
    {paid(pct("CASE WHEN modality = 'VNP' THEN greatest(100, lower_pct) ELSE lower_pct END"))} AS floor_amount
- FROM {PERF}) a WHERE redemption < floor_amount""",
+ FROM {PERF}) a WHERE redemption IS NULL OR redemption < floor_amount""",
 )
 def modality_floor_audit(spark, sf):
-    paid = priced(spark, sf).select(
+    paid = performance(spark, sf).select(
         "note_id", "modality", c("vn").alias("principal"), c("lower_pct").alias("guaranteed"),
         payoffs.money(c("vn"), 1 + c("perf")).alias("redemption"),
     )
@@ -327,13 +334,13 @@ SELECT note_id, days, tax, CAST(redemption - tax AS DECIMAL(18,2)) AS net FROM (
  SELECT note_id, days, redemption, CASE WHEN redemption > vn THEN
    {paid(pct("CASE WHEN days <= 180 THEN 22.5 WHEN days <= 360 THEN 20 WHEN days <= 720 THEN 17.5 ELSE 15 END"), "redemption - vn")}
    ELSE 0 END AS tax
- FROM (SELECT p.note_id, p.vn, b.maturity_date - b.issue_date AS days, {paid("1 + " + mul(PART, "greatest(perf, 0)"))} AS redemption
+ FROM (SELECT p.note_id, p.vn, b.maturity_date - b.issue_date AS days, CASE WHEN perf IS NOT NULL THEN {paid("1 + " + mul(PART, "greatest(perf, 0)"))} END AS redemption
        FROM {PERF} JOIN {{book}} b ON b.note_id = p.note_id) q) t""",
 )
 def withholding_tax(spark, sf):
     held = frame(spark, sf, "book").select("note_id", F.datediff("maturity_date", "issue_date").alias("days"))
-    paid = priced(spark, sf).select(
-        "note_id", "vn", payoffs.call_participation(c("vn"), c("perf"), c("participation")).alias("redemption")
+    paid = performance(spark, sf).select(
+        "note_id", "vn", settled(payoffs.call_participation(c("vn"), c("perf"), c("participation")))[0]
     )
     taxed = paid.join(held, "note_id").withColumn("tax", payoffs.withholding_tax(c("redemption"), c("vn"), c("days")))
     return taxed.select(

@@ -56,9 +56,11 @@ def store_artifacts(files: DataFrame) -> DataFrame:
 def artifact_history(sets: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest sets per note with a line per set about its files; the bytes are never read.
 
-    ``limit`` is 50 by default and kept within 1 to 200.
+    ``limit`` is 50 by default and from 1 to 200.
     """
-    k = min(max(50 if limit is None else limit, 1), 200)
+    k = 50 if limit is None else limit
+    if not 1 <= k <= 200:
+        raise ValueError("a history holds 1 to 200 sets")
     newest = Window.partitionBy("note_id").orderBy(F.col("generated_on").desc(), F.col("set_id").desc())
     kept = sets.withColumn("generation", F.row_number().over(newest)).filter(F.col("generation") <= k)
     # One file per operation and set: the nested list is a dozen entries at most.
