@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, te
 
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(wanted, F.col("_doc") == F.col("_key"))
     sets = texts.select("class", "_text").mapInArrow(run, "_wanted long, node long, shingles binary")
-    sets = written(sets.where("node = _wanted").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = written(sets.where("node = _wanted").select("node", "shingles").dropDuplicates(["node"]), "sets", release=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +177,18 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, te
 
     one = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
     two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    return written(two.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long"), "links")
+    return written(two.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long"), "links", release=True)
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Members (key, n, class) and links (u, v) between classes; links connect just what is connected."""
-    rows = written(prefixes(docs, key, text, percent), "prefixes")
+    rows = written(prefixes(docs, key, text, percent), "prefixes", release=True)
     members = rows.select("key", "n", "class")
     each = rows.where("prefix is not null").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
     # copies of a class from several tasks meet in the window; one of them stays
     by_shingle = Window.partitionBy("shingle")
     live = each.withColumn("lo", F.min("class").over(by_shingle)).withColumn("hi", F.max("class").over(by_shingle))
-    live = written(live.where("lo <> hi").select("shingle", "class", "n", "at").distinct(), "live")
+    live = written(live.where("lo <> hi").select("shingle", "class", "n", "at").distinct(), "live", release=True)
     found = None
     for turn in (1, 2):
         leader = F.struct("at", "n", "class") if turn == 1 else F.struct(F.xxhash64("class").alias("x"), "n", "class")

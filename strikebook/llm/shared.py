@@ -22,11 +22,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return checkpoint_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, lineage cut, safe if executors go."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage cut, safe if executors go.
+
+    Shuffle files that only this write needed stay on the executors' disks until the driver collects its
+    garbage. ``release`` asks for that at once, for steps that shuffle about as much as the input holds.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

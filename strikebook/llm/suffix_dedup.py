@@ -201,8 +201,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     # rows equal in key and text come once per task: they are one place
     live = written(
         rows.where("content is null or not is_first or lo <> hi").select(*BLOCK_NAMES, "is_first", (F.col("lo") != F.col("hi")).alias("varied")),
-        "blocks",
-    )
+        "blocks", release=True,
+    )
     settled = live.where("content is null or not is_first").select("doc", "tag", "start", (F.col("start") + F.col("length")).alias("end"))
     pieces = live.where("content is not null and is_first and varied").dropDuplicates(["anchor", "content"])
     held = pieces.agg(F.sum("length").alias("n")).first().n or 0
@@ -258,7 +258,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     ``with_text`` adds the remaining text as kept_text; bytes of characters that were cut apart are left out.
     """
     own = [c for c in carried(docs.columns, (*RESULTS, "removed", "kept_text"), (key,)) if c != text]
-    ranges = written(removed_ranges(_keyed(docs, key, text)), "ranges")
+    ranges = written(removed_ranges(_keyed(docs, key, text)), "ranges", release=True)
     spans = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     whole = docs.select(F.struct(*own).alias("_row"), *[c.alias(n) for c, n in zip(_columns(key, text), ("_doc", "_tag", "_text"), strict=True)])
     rows = _with(whole, spans)
