@@ -161,8 +161,9 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, te
             )
 
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(wanted, F.col("_doc") == F.col("_key"))
+    # a key that occurs twice gives a set twice, and at worst a link twice
     sets = texts.select("class", "_text").mapInArrow(run, "_wanted long, node long, shingles binary")
-    sets = written(sets.where("node = _wanted").select("node", "shingles").dropDuplicates(["node"]), "sets", release=True)
+    sets = written(sets.where("node = _wanted").select("node", "shingles"), "sets", release=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

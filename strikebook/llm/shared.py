@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,11 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     if release:
-        spark.sparkContext._jvm.System.gc()
+        # the first collection frees the plans, the next ones the shuffles they held
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
