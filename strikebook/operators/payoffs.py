@@ -166,10 +166,16 @@ def layered_accrual(counts: DataFrame, layers: int) -> DataFrame:
 # Paths
 
 def observations(notes: DataFrame, fixings: DataFrame, start: str, end: str, step_days: int) -> DataFrame:
-    """The scheduled fixings of each note, one row per observed date."""
+    """The registered observation dates of each note with their numbers and fixings.
+
+    Numbers and their count come from the schedule. A date without a fixing, past or future, stays as a row
+    with a null price: it is open.
+    """
     days = F.sequence(F.col(start), F.col(end), F.expr(f"interval {step_days} day"))
+    dated = notes.withColumn("n_obs", F.size(days).cast("long")).select("*", F.posexplode(days).alias("_at", "obs_date"))
+    dated = dated.withColumn("obs_no", F.col("_at") + 1).drop("_at")
     closes = fixings.select("asset", F.col("fixing_date").alias("obs_date"), F.col("close").alias("price"))
-    return notes.withColumn("obs_date", F.explode(days)).join(closes, ["asset", "obs_date"])
+    return dated.join(closes, ["asset", "obs_date"], "left")
 
 
 def _note() -> Window:
@@ -177,7 +183,9 @@ def _note() -> Window:
 
 
 def observation_no(obs: DataFrame) -> DataFrame:
-    """Position of each observation and how many the note has."""
+    """Position of each observation and how many the note has; registered numbers stay as they are."""
+    if "obs_no" in obs.columns:
+        return obs
     return obs.withColumns(
         {
             "obs_no": F.row_number().over(_note().orderBy("obs_date")),
@@ -198,7 +206,7 @@ def first_trigger(numbered: DataFrame) -> DataFrame:
 def coupon_memory(numbered: DataFrame) -> DataFrame:
     """Coupons missed since the last paid one; a paid coupon clears them."""
     paid = at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
-    earlier = _note().orderBy("obs_date").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _note().orderBy("obs_no").rowsBetween(Window.unboundedPreceding, -1)
     last_paid = F.coalesce(F.max(F.when(paid, F.col("obs_no"))).over(earlier), F.lit(0))
     return numbered.withColumn("paid", paid).withColumn("missed", F.col("obs_no") - 1 - last_paid)
 
@@ -208,6 +216,7 @@ def athena(obs: DataFrame) -> DataFrame:
 
     At maturity the branches are tried in order: trigger, protection, loss. Where a trigger other
     than 100% leaves a gap or an overlap, "not triggered and at or above the barrier" is protected.
+    A note whose last date has no fixing is open: its redemption is null.
     """
     exits = first_trigger(observation_no(obs)).filter(
         (F.col("obs_no") == F.col("called_no")) | (F.col("called_no").isNull() & (F.col("obs_no") == F.col("n_obs")))
@@ -216,6 +225,7 @@ def athena(obs: DataFrame) -> DataFrame:
     protected = (F.col("modality") == "VNP") | at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
     multiple = (
         F.when(F.col("called_no").isNotNull(), 1 + percent(F.col("coupon")) * F.col("obs_no"))
+        .when(F.col("price").isNull(), None)
         .when(protected, one())
         .otherwise(1 + perf)
     )
@@ -225,7 +235,7 @@ def athena(obs: DataFrame) -> DataFrame:
 
 
 def phoenix(obs: DataFrame) -> DataFrame:
-    """Cash flows of notes with conditional coupons and memory: one row per payment."""
+    """Cash flows of notes with conditional coupons and memory: one row per payment; open dates pay nothing yet."""
     alive = first_trigger(coupon_memory(observation_no(obs)))
     last = F.coalesce("called_no", F.col("n_obs"))
     early = F.col("called_no").isNotNull() & (F.col("called_no") < F.col("n_obs"))
@@ -238,7 +248,7 @@ def phoenix(obs: DataFrame) -> DataFrame:
     )
     kept = F.col("called_no").isNotNull() | at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
     principal = F.when(
-        F.col("obs_no") == last,
+        (F.col("obs_no") == last) & F.col("price").isNotNull(),
         F.struct(
             F.when(early, "early redemption").otherwise("maturity").alias("kind"),
             F.when(kept, F.col("vn"))

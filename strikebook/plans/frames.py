@@ -276,11 +276,11 @@ FROM {barriers} t JOIN {d_fixings} f ON f.asset = t.asset AND f.fixing_date BETW
 """
 
 FRAMES["d_observations"] = """
-SELECT t.*, f.fixing_date AS obs_date, f.close AS price,
-       row_number() OVER (PARTITION BY t.note_id ORDER BY f.fixing_date) AS obs_no,
-       count(*) OVER (PARTITION BY t.note_id) AS n_obs
-FROM {autocalls} t JOIN {d_fixings} f
-  ON f.asset = t.asset AND f.fixing_date BETWEEN t.start_date AND t.end_date AND (f.fixing_date - t.start_date) % 3 = 0
+SELECT s.*, f.close AS price
+FROM (SELECT t.*, t.scheduled_on AS obs_date
+      FROM (SELECT *, CAST(start_date + CAST(3 * k AS INT) AS DATE) AS scheduled_on, k + 1 AS obs_no, count(*) OVER (PARTITION BY note_id) AS n_obs
+            FROM (SELECT a.*, unnest(range(0, (a.end_date - a.start_date) // 3 + 1)) AS k FROM {autocalls} a) u) t) s
+LEFT JOIN {d_fixings} f ON f.asset = s.asset AND f.fixing_date = s.obs_date
 """
 
 

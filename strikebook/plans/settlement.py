@@ -382,7 +382,7 @@ def observation_no(spark, sf):
 
 MEMORY = """
 SELECT *, obs_no - 1 - coalesce(max(CASE WHEN paid THEN obs_no END)
-   OVER (PARTITION BY note_id ORDER BY obs_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missed
+   OVER (PARTITION BY note_id ORDER BY obs_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missed
 FROM (SELECT *, price * 100 >= s0 * lower_pct AS paid, price * 100 >= s0 * trigger_pct AS hit FROM {d_observations} o) f"""
 ALIVE = f"""
 SELECT * FROM (SELECT *, min(CASE WHEN hit THEN obs_no END) OVER (PARTITION BY note_id) AS called_no FROM ({MEMORY}) m) a
@@ -408,7 +408,7 @@ def first_trigger(spark, sf):
     "N7_athena",
     f"""
 SELECT note_id, obs_date, coalesce(called_no < n_obs, false) AS early,
-       {paid(f'''CASE WHEN called_no IS NOT NULL THEN 1 + {COUPON} * obs_no
+       {paid(f'''CASE WHEN called_no IS NOT NULL THEN 1 + {COUPON} * obs_no WHEN price IS NULL THEN NULL
                  WHEN modality = 'VNP' OR paid THEN 1 ELSE 1 + {exact_change('price', 's0', 16)} END''')} AS redemption
 FROM ({ALIVE}) a WHERE obs_no = coalesce(called_no, n_obs)""",
 )
@@ -423,7 +423,7 @@ UNION ALL
 SELECT note_id, CAST(obs_no AS INT), obs_date, CASE WHEN called_no < n_obs THEN 'early redemption' ELSE 'maturity' END,
        CASE WHEN called_no IS NOT NULL OR paid THEN vn
             ELSE {paid(f"1 + {exact_change('price', 's0', 16)}")} END
-FROM ({ALIVE}) b WHERE obs_no = coalesce(called_no, n_obs)"""
+FROM ({ALIVE}) b WHERE obs_no = coalesce(called_no, n_obs) AND price IS NOT NULL"""
 
 
 @registry.add("N8_phoenix", PHOENIX)

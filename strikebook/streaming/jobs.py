@@ -83,10 +83,10 @@ def _note_flows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     cent, sixteen = Decimal("0.01"), Decimal("1e-16")
     rows = []
     # A note has at most one observation a day, so its part of a batch is small.
-    for r in pd.concat(list(batches)).sort_values("obs_date").itertuples(index=False):
+    for r in pd.concat(list(batches)).sort_values("obs_no").itertuples(index=False):
         if done:
             break
-        seen += 1
+        seen = int(r.obs_no)
         paid = r.price * 100 >= r.s0 * r.lower_pct
         called = r.price * 100 >= r.s0 * r.trigger_pct
         if paid:
@@ -106,7 +106,10 @@ def _note_flows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 
 def stream_autocall(observations: DataFrame) -> DataFrame:
-    """Coupons and redemption as observations arrive in date order; a few numbers of state per note."""
+    """Coupons and redemption as fixings arrive in the order of the schedule; a few numbers of state per note.
+
+    Each row brings its registered number, so a date without a fixing counts as missed, not as absent.
+    """
     return observations.groupBy("note_id").applyInPandasWithState(
         _note_flows, FLOWS, STATE, "append", GroupStateTimeout.NoTimeout
     )

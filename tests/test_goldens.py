@@ -77,6 +77,21 @@ def test_athena(spark, levels, expected):
     assert payoffs.athena(_observed(spark, levels, coupon=10)).first()["redemption"] == expected
 
 
+def test_open_observations(spark):
+    """A note in mid-life stays open; a missing fixing counts as a missed coupon."""
+    day = dt.date(2024, 1, 1)
+    notes = spark.createDataFrame(
+        [(1, "A", day, day + dt.timedelta(6), Decimal(100), Decimal(4), Decimal(1000), "VNP", Decimal(100), Decimal(70))],
+        "note_id long, asset string, start_date date, end_date date, s0 decimal(18,8), coupon decimal(9,4), vn decimal(18,2), "
+        "modality string, trigger_pct decimal(9,4), lower_pct decimal(9,4)",
+    )
+    fixed = spark.createDataFrame([("A", day + dt.timedelta(3), Decimal(80))], "asset string, fixing_date date, close decimal(18,8)")
+    obs = payoffs.observations(notes, fixed, "start_date", "end_date", 3)
+    assert [(o.obs_no, o.n_obs, o.price) for o in obs.orderBy("obs_no").collect()] == [(1, 3, None), (2, 3, Decimal(80)), (3, 3, None)]
+    assert payoffs.athena(obs).first()["redemption"] is None
+    assert [(f.obs_no, f.kind, int(f.amount)) for f in payoffs.phoenix(obs).collect()] == [(2, "coupon", 80)]
+
+
 def test_phoenix_memory(spark):
     flows = payoffs.phoenix(_observed(spark, [65, 75, 55], coupon=4)).orderBy("obs_no", "kind").collect()
     assert [(f.obs_no, f.kind, int(f.amount)) for f in flows] == [(2, "coupon", 80), (3, "maturity", 550)]

@@ -14,12 +14,12 @@ from strikebook.streaming import jobs
 def test_autocall_state_spans_batches(spark):
     levels = {1: [65, 75, 55], 2: [95, 102, 50], 3: [60, 60, 71]}
     rows = [
-        (n, dt.date(2024, 1, 1 + i), Decimal(x), Decimal(100), Decimal(100), Decimal(70), Decimal(4), Decimal(1000), 3)
+        (n, dt.date(2024, 1, 1 + i), i + 1, Decimal(x), Decimal(100), Decimal(100), Decimal(70), Decimal(4), Decimal(1000), 3)
         for n, path in levels.items()
         for i, x in enumerate(path)
     ]
     schema = (
-        "note_id long, obs_date date, price decimal(18,8), s0 decimal(18,8), trigger_pct decimal(9,4), "
+        "note_id long, obs_date date, obs_no int, price decimal(18,8), s0 decimal(18,8), trigger_pct decimal(9,4), "
         "lower_pct decimal(9,4), coupon decimal(9,4), vn decimal(18,2), n_obs int"
     )
     obs = spark.createDataFrame(rows, schema)
@@ -29,5 +29,5 @@ def test_autocall_state_spans_batches(spark):
         stream = spark.readStream.schema(schema).parquet(f"{base}/in")
         jobs.run(jobs.stream_autocall(stream), "append", f"{base}/state", jobs.keep(f"{base}/out"))
     got = spark.read.parquet(f"{base}/out").select("note_id", "obs_no", "obs_date", "kind", "amount")
-    expected = payoffs.phoenix(obs.drop("n_obs"))
+    expected = payoffs.phoenix(obs.drop("n_obs", "obs_no"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
