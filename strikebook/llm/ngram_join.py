@@ -8,7 +8,7 @@
    are dropped by a window over the shingle.
 3. *Stars.* In each shingle's group the class for which it stands earliest leads. Each class is compared
    with the leader it shares most with, twice, which links large groups of near copies without pairs
-   between all members. Only classes that are not yet connected go on.
+   between all members. Classes that follow the same leader are connected and not paired again.
 4. *Pairs.* The rest is joined on the shingle under the length and the positional filter and counted per
    pair; the suffix filter bounds what the rests of both sets can add to what the prefixes share. Each
    pair is verified once, on whole sets.
@@ -197,18 +197,28 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         near = live.join(lead, "shingle").where((F.col("class") != F.col("l.class")) & _long_enough(F.col("n"), F.col("l.n"), percent))
         shared = near.groupBy("class", F.col("l.class").alias("leader")).agg(F.count("*").alias("c"))
         best = shared.groupBy("class").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        pairs = best.select(F.least("class", "leader").alias("u"), F.greatest("class", "leader").alias("v")).distinct()
+        chosen = written(best.where("leader is not null"), "leaders")
+        pairs = chosen.select(F.least("class", "leader").alias("u"), F.greatest("class", "leader").alias("v")).distinct()
         new = verified(pairs, docs, members, key, text, percent)
         found = new if found is None else found.union(new)
-        live = _unconnected(live, components(found))
+        live = _unconnected(live, _followed(chosen, new))
     pairs = written(_remaining(live, percent), "remaining")
     return members, found.union(verified(pairs, docs, members, key, text, percent))
 
 
+def _followed(chosen: DataFrame, links_: DataFrame) -> DataFrame:
+    """Rows (node, component): a class follows the leader it is linked to, unless others follow itself."""
+    met = (F.least("class", "leader") == F.col("u")) & (F.greatest("class", "leader") == F.col("v"))
+    linked = written(chosen.join(links_, met, "left_semi"), "followed")
+    leading = linked.select(F.col("leader").alias("class")).distinct()
+    return linked.join(leading, "class", "left_anti").select(F.col("class").alias("node"), F.col("leader").alias("component"))
+
+
 def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of shingles whose classes lie in different components."""
-    own = live.drop("component").join(joined, live["class"] == joined["node"], "left").drop("node")
-    own = own.withColumn("component", F.coalesce("component", "class"))
+    """Rows of shingles whose classes do not all follow the same leader; earlier leaders hold for the others."""
+    before = F.col("component") if "component" in live.columns else F.col("class")
+    own = live.withColumn("_before", before).drop("component").join(joined, live["class"] == joined["node"], "left").drop("node")
+    own = own.withColumn("component", F.coalesce("component", "_before")).drop("_before")
     mixed = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return written(own.join(mixed.select("shingle"), "shingle", "left_semi"), "live")
 
