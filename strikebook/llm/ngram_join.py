@@ -34,7 +34,7 @@ from strikebook.llm.components import components
 from strikebook.llm.shared import table, written
 from strikebook.llm.shingles import shingle_sets
 
-PERCENT, HOT, HOT_FROM, FLUSH = 80, 1 << 18, 8, 4_000_000
+PERCENT, HOT, HOT_FROM, FLUSH = 80, 1 << 18, 8, 2_000_000
 
 
 def class_of(shingles: np.ndarray) -> int:

@@ -12,7 +12,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text hashed together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
