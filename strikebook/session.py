@@ -16,6 +16,8 @@ SETTINGS = {
     # Generated methods above this size are not compiled by the JVM; Spark then splits them.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole documents.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
