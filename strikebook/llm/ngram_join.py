@@ -10,8 +10,8 @@
    with the leader it shares most with, twice, which links large groups of near copies without pairs
    between all members. Classes that follow the same leader are connected and not paired again.
 4. *Pairs.* The rest is joined on the shingle under the length and the positional filter and counted per
-   pair; the suffix filter bounds what the rests of both sets can add to what the prefixes share. Each
-   pair is verified once, on whole sets.
+   pair; what the prefixes share and the longer of both rests bound what sets have in common. The rests
+   themselves are not looked at (no suffix filter). Each pair is verified once, on whole sets.
 5. Components of the links give the result; copies follow their class.
 
 Defined cases: texts without words, and null texts, have an empty set and are linked with nothing. Fewer
@@ -224,24 +224,28 @@ def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _remaining(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected classes that pass the length, positional and suffix filters.
+    """Pairs of unconnected classes that pass the length and positional filters.
 
-    Only what is left in ``live`` can be common to two unconnected classes, so places count live shingles:
-    those before this one, and those from it on plus all behind the prefix.
+    What two unconnected classes share in both prefixes is left in ``live``; what stands in the prefix of
+    one and behind that of the other need not be. Before a live shingle of both they share live ones only.
+    From it on they share at most the rest of each set, and at most the live ones of each prefix plus all
+    behind the prefix that ends first in the order.
     """
     own = Window.partitionBy("class")
     live = live.withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
-    live = live.withColumn("after", F.count("*").over(own) - F.col("before") + F.col("n") - _prefix(F.col("n"), percent))
+    live = live.withColumn("after", F.count("*").over(own) - F.col("before")).withColumn("rest", F.col("n") - F.col("at"))
     live = written(live, "live")
     a, b = live.alias("a"), live.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
+    tails = F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))
+    from_here = F.least(F.col("a.rest"), F.col("b.rest"), F.least("a.after", "b.after") + tails)
     met = a.join(
         b,
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.class") < F.col("b.class"))
         & (F.col("a.component") != F.col("b.component"))
         & _long_enough(n, m, percent)
-        & (F.least("a.before", "b.before") + F.least("a.after", "b.after") >= _needed(n, m, percent)),
+        & (F.least("a.before", "b.before") + from_here >= _needed(n, m, percent)),
     )
     pair = met.groupBy(F.col("a.class").alias("u"), F.col("b.class").alias("v")).agg(
         F.count("*").alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m")

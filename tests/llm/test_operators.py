@@ -361,3 +361,64 @@ def test_ngram_join(docs, nothing):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in rows if r.doc_id is not None} | {None}
     assert ngram_join.joined(nothing).collect() == []
+
+
+def linked_groups(texts):
+    """The least key of each text's group, by comparing all pairs; and the sets of shingles."""
+    sets = []
+    for t in texts:
+        words = t.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group, sets
+
+
+def imposed_order(monkeypatch, texts):
+    """Shingles in the order of these texts, instead of rare ones first: the order must not decide results."""
+    import numpy as np
+
+    from strikebook.llm.shingles import shingle_sets
+
+    counts = {}
+    for place, value in enumerate(shingle_sets(texts)):
+        assert len(value) == 1
+        counts.setdefault(int(value[0]) >> 16, place + 1)
+    heads = np.array(sorted(counts), np.uint64)
+    monkeypatch.setattr(ngram_join, "frequent_shingles", lambda docs, text: (heads, np.array([counts[int(h)] for h in heads]), 16))
+
+
+def test_ngram_join_counts_shingles_in_the_others_tail(spark, monkeypatch):
+    common = [f"c{i}" for i in range(98)]
+    first, last = [f"a{i}" for i in range(16)], [f"b{i}" for i in range(6)]
+    texts = [" ".join(first + common), " ".join(common + last)]
+    # quotes whose prefix is the seven shingles that both prefixes share: they lead them, and link with nothing
+    texts += [" ".join(common[:11] + [f"q{k}x{i}" for i in range(24)]) for k in range(30)]
+    words = [(first + common)[i : i + 5] for i in range(110)] + [(common + last)[i : i + 5] for i in range(94, 100)]
+    words += [t.split()[i : i + 5] for t in texts[2:] for i in range(7, 31)]
+    imposed_order(monkeypatch, [" ".join(w) for w in words])
+    group, sets = linked_groups(texts)
+    assert [len(s) for s in sets[:3]] == [110, 100, 31] and group[:2] == [0, 0] and group[2:] == list(range(2, 32))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()} == dict(enumerate(group))
+
+
+def test_ngram_join_in_any_order(spark, monkeypatch):
+    r = random.Random(11)
+    texts = []
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(r.randint(40, 140))]
+        for _ in range(6):
+            a, b = sorted((r.randint(0, len(base) // 6), len(base) - r.randint(0, len(base) // 6)))
+            texts.append(" ".join([*(f"n{len(texts)}x{i}" for i in range(r.randint(0, 9))), *base[a:b], *(f"m{len(texts)}x{i}" for i in range(r.randint(0, 9)))]))
+        texts += [" ".join([*base[: r.randint(5, 15)], *(f"q{len(texts)}x{j}x{i}" for i in range(r.randint(0, 30)))]) for j in range(6)]
+    group, sets = linked_groups(texts)
+    every = sorted({" ".join(s) for x in sets for s in x})
+    r.shuffle(every)
+    imposed_order(monkeypatch, every)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()} == dict(enumerate(group))
