@@ -25,7 +25,7 @@ BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all
 #: Every match of a rule or base phrase has one of these in the raw text.
 GATE = (
     r"(?i)licen|copyright|reserved|public|warrant|permission|redistribut|proprietary|creative|unencumbered|spdx"
-    r"|software|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|domain|(?:under|subject)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    r"|software|altered|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|domain|(?:under|subject)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 )
 BASE_WEIGHT = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -422,3 +422,44 @@ def test_ngram_join_in_any_order(spark, monkeypatch):
     imposed_order(monkeypatch, every)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()} == dict(enumerate(group))
+
+
+def wordings_of(pattern):
+    """Every text that a rule's pattern matches; of a range of digits the first."""
+    from itertools import product
+    from re import _parser
+
+    def of(items):
+        parts = []
+        for op, value in items:
+            if op is _parser.LITERAL:
+                parts.append([chr(value)])
+            elif op is _parser.IN:
+                parts.append([chr(v if o is _parser.LITERAL else v[0]) for o, v in value])
+            elif op is _parser.BRANCH:
+                parts.append([x for b in value[1] for x in of(b)])
+            elif op is _parser.SUBPATTERN:
+                parts.append(of(value[3]))
+            else:
+                assert op is _parser.MAX_REPEAT and value[:2] == (0, 1), op
+                parts.append(["", *of(value[2])])
+        return ["".join(x) for x in product(*parts)]
+
+    return of(_parser.parse(pattern))
+
+
+SEPARATORS = [chr(c) for c in range(128) if not chr(c).isalnum()]
+
+
+def test_license_gate_admits_every_wording(spark):
+    phrases = [p for _, p in license_scan.BASE]
+    for wording in {*phrases, *(t for rule in license_scan.rules() for t in wordings_of(rule.pattern))}:
+        assert re.search(license_scan.GATE, wording), wording
+    own = ("cc by", "altered source versions must be plainly marked as such")
+    cases = [(w, f"x{a}{w.upper().replace(' ', a)}{a}x") for a in SEPARATORS for w in own]
+    rows = license_scan.scan(spark.createDataFrame(cases, "wording string, text string")).collect()
+    for r in rows:
+        expected = (1, 1, "cc-by") if r.wording == "cc by" else (0, None, "zlib")
+        assert (r.n_base, r.first_word, r.labels) == expected, repr(r.text)
+    texts = [("Photo: _CC BY_ Jane",), ("__cc-by__",), ("CC BY",), ("\n_cc by",)]
+    assert {(r.n_base, r.base_labels) for r in license_scan.scan(spark.createDataFrame(texts, "text string")).collect()} == {(1, "cc-by")}
