@@ -44,7 +44,7 @@ NAMES = (
     ("cddl-1.0", "cddl 1 0", f"(?:common development and distribution license|cddl) {V}1(?: 0)?", "c"),
     ("eupl-1.2", "eupl 1 2", f"(?:european union public licen[cs]e|eupl) {V}1 2", "e"),
     ("cc0-1.0", "cc0 1 0", "(?:cc0|creative commons zero)(?: 1 0)?", "c"),
-    ("cc-by-3.0", "cc by 3 0", f"(?:cc by|creative commons attribution(?: license)?) {V}3 0", "by"),
+    ("cc-by-3.0", "cc by 3 0", f"(?:cc by|creative commons attribution(?: license)?) {V}3 0", "c"),
     ("cc-by-4.0", "cc by 4 0", "(?:cc by|creative commons attribution(?: license)?) 4 0", "c"),
     ("cc-by-sa-3.0", "cc by sa 3 0", "(?:cc by sa|creative commons attribution sharealike) 3 0", "c"),
     ("cc-by-sa-4.0", "cc by sa 4 0", "(?:cc by sa|creative commons attribution sharealike) 4 0", "c"),
@@ -60,7 +60,7 @@ NAMES = (
     ("odbl-1.0", "odbl 1 0", f"open database license(?: {V}1 0)?", "o"),
     ("ms-pl", "ms pl", "microsoft public license", "m"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("gfdl-1.3", "gfdl 1 3", f"(?:gnu )?free documentation license(?: {V}1 3)?", "free"),
+    ("gfdl-1.3", "gfdl 1 3", f"(?:gnu )?free documentation license(?: {V}1 3)?", "g"),
 )
 
 # Ways in which a notice speaks of a license: name, words around it, priority, weight, with identifier or name.
@@ -91,7 +91,7 @@ WORDINGS = (
     ("gpl", "implied", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("mpl-2.0", "mozilla", "subject to the terms of the mozilla public license"),
     ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
-    ("boost", "boost", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("boost", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("wtfpl", "fuck", "do what the fuck you want to public license"),
     ("zlib", "altered", "altered source versions must be plainly marked as such"),
     ("public-domain", "public", "(?:dedicated to|in|into|released into) the public domain"),

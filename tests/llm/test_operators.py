@@ -463,3 +463,19 @@ def test_license_gate_admits_every_wording(spark):
         assert (r.n_base, r.first_word, r.labels) == expected, repr(r.text)
     texts = [("Photo: _CC BY_ Jane",), ("__cc-by__",), ("CC BY",), ("\n_cc by",)]
     assert {(r.n_base, r.base_labels) for r in license_scan.scan(spark.createDataFrame(texts, "text string")).collect()} == {(1, "cc-by")}
+
+
+def test_license_rules_fire_on_their_own_wordings(spark):
+    cases = []
+    for rank, rule in enumerate(license_scan.rules()):
+        texts = wordings_of(rule.pattern)
+        for text in texts:
+            assert rule.keyword in f" {text} ", (rule.name, text)
+        cases += [(rank, text) for text in {*texts[:2], *texts[-2:], *texts[:: max(1, len(texts) // 3)]}]
+    cases += [(r, t) for r, rule in enumerate(license_scan.rules()) for t in (
+        ["licensed under the creative commons attribution 3 0 license"] if rule.name == "licensed_under_cc-by-3.0" else
+        ["spdx license identifier gfdl 1 3"] if rule.name == "identifier_gfdl-1.3" else [])]
+    rows = license_scan.scan(spark.createDataFrame(cases, "rank int, text string"), with_detections=True).collect()
+    assert len(rows) == len(cases)
+    for r in rows:
+        assert r.rank in {d["rank"] for d in r.detections or ()}, (license_scan.rules()[r.rank].name, r.text)
