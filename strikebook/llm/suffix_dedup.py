@@ -15,8 +15,8 @@ key, or earlier in the same one.
 4. Removed ranges are merged per document.
 
 Defined cases: a null text is empty. Texts shorter than SIZE keep everything. Rows with a null key precede
-all others. Rows that share a key are ordered by a hash of their text; rows equal in both are one document
-and get the same result. Empty tables give no rows. Columns of the input with the names of results are
+all others. Rows that share a key are ordered by a 64-bit hash of their text; rows equal in both are one
+document and get the same result. Empty tables give no rows. Columns of the input with the names of results are
 replaced; a null text stays null where texts are returned. Contents are compared by 64-bit hashes in steps 1 and 2, byte by byte in step 3.
 """
 
@@ -38,7 +38,6 @@ SIZE, ANCHOR = 100, 32
 HOT_FROM, HOT_MOST, REPORTED = 2_000, 65_536, 4_096
 #: Blocks a task holds to settle equal ones before the shuffle; bytes of a bucket.
 HELD, BUCKET_BYTES = 1_000_000, 1 << 20
-TAG_BITS = 24
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -305,8 +304,7 @@ def reduced(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _columns(key: str, text: str) -> tuple[Column, Column, Column]:
-    tag = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    return F.col(key).cast("long"), tag, F.col(text)
+    return F.col(key).cast("long"), F.xxhash64(F.col(text)), F.col(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

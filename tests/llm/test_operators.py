@@ -479,3 +479,15 @@ def test_license_rules_fire_on_their_own_wordings(spark):
     assert len(rows) == len(cases)
     for r in rows:
         assert r.rank in {d["rank"] for d in r.detections or ()}, (license_scan.rules()[r.rank].name, r.text)
+
+
+def test_suffix_dedup_tells_texts_of_one_key_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    low = texts.groupBy(F.xxhash64("t").bitwiseAND(F.lit((1 << 24) - 1))).agg(F.sort_array(F.collect_list("t")).alias("t"))
+    one, two = low.where(F.size("t") > 1).orderBy("t").first()["t"][:2]
+    # texts without a key precede the others, so both repeats go and only they
+    docs = spark.createDataFrame([(None, one), (None, two), (1, one), (2, two + "!")], "doc_id long, text string").coalesce(1)
+    rows = suffix_dedup.deduplicated(docs, with_text=True).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in rows) == sorted([(0, 0, one), (0, 0, two), (1, 128, ""), (2, 128, "!")])
