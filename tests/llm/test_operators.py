@@ -491,3 +491,17 @@ def test_suffix_dedup_tells_texts_of_one_key_apart(spark):
     docs = spark.createDataFrame([(None, one), (None, two), (1, one), (2, two + "!")], "doc_id long, text string").coalesce(1)
     rows = suffix_dedup.deduplicated(docs, with_text=True).collect()
     assert sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in rows) == sorted([(0, 0, one), (0, 0, two), (1, 128, ""), (2, 128, "!")])
+
+
+def test_html_names_count_as_whole_names(spark):
+    text = "<p>Text {0} of the story"
+    shells = [
+        "<body class='has-sidebar'><div>{}</div></body>", "<div class='content no-sidebar'>{}</div>", "<article class='post comment-open'>{}</article>",
+        "<div id='ad-free-story'>{}</div>", "<article data-title='The hidden cost'>{}</article>", "<main aria-hidden='false'>{}</main>", "<main class='content search'>{}</main>",
+        "<div title='class=nav'>{}</div>", "<div class='w-1/2 ad-free' hidden=until-found>{}</div>", "<div data-x=\"id='menu' hidden\">{}</div>",
+    ]
+    pages = [(10 * k + i, f"http://h{k}.example/{i}", shell.format(text.format(i))) for k, shell in enumerate(shells) for i in range(1)]
+    pages += [(900, "http://x.example/1", "<div>a</div><div class='post hidden'>b</div><div hidden>c</div><div role=search>d</div><div id=menu>e</div>")]
+    rows = html_template.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    for r in rows:
+        assert r.text == ("a" if r.page_id == 900 else f"Text {r.page_id % 10} of the story"), (r.html, r.text)
