@@ -505,3 +505,22 @@ def test_html_names_count_as_whole_names(spark):
     rows = html_template.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     for r in rows:
         assert r.text == ("a" if r.page_id == 900 else f"Text {r.page_id % 10} of the story"), (r.html, r.text)
+
+
+def test_html_slot_holds_all_that_varies(spark):
+    long = "a long paragraph " * 30
+    cases = {
+        "one": ("<div id=content><h2>Title {0}</h2><p>{1}{0}</p></div>", 1, "Title {0} {1}{0}"),
+        "single": ("<div id=content><h2>Title {0}</h2><p>{1}{0}</p></div><div>legal</div>", 4, "Title {0} {1}{0}"),
+        "lead": ("<div>legal</div><div class=story><h1>T {0}</h1><div class=lead>Lead {0}</div><div class=body>{1}{0}</div></div>", 4, "T {0} Lead {0} {1}{0}"),
+        "two": ("<div><article class=a>First {0}</article><article class=b>{1}{0}</article></div>", 4, "First {0} {1}{0}"),
+        "part": ("<div class=site-footer>Us</div><div class=ad-free>Own {0}</div><div class=b>{1}{0}</div>", 4, "Own {0} {1}{0}"),
+        "same": ("<div class=a>Head</div><div class=site-notice>All</div>", 3, "Head All"),
+        "rare": ("<div class=a>{1}{0}</div><div class=x{0}><p>Note {0}</div>", 4, "{1}{0} Note {0}"),
+    }
+    pages = [(f"{n}{i}", f"http://{n}.example/{i}", h.format(i, long), " ".join(t.format(i, long).split())) for n, (h, k, t) in cases.items() for i in range(k)]
+    pages += [(f"again{i}", "http://again.example/", "<p>Story</p><div class=time>" + str(i) + "</div>", f"Story {i}") for i in range(4)]
+    rows = html_template.extracted(spark.createDataFrame(pages, "page_id string, url string, html string, expected string")).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r.text == r.expected, r.page_id
