@@ -259,26 +259,57 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / 100) + 1
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """A row per text: key, n_shingles, component_id (the least key reachable by links)."""
+def grouped(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """A row per text: key, n, class, component_id and the class that stays (the least one with that key)."""
     members, found = links(docs, key, text, percent)
     groups = components(found)
     classes = members.where("class is not null").groupBy("class").agg(F.min("key").alias("least"))
-    grouped = classes.join(groups, classes["class"] == groups["node"], "left").withColumn("component", F.coalesce("component", "class"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = written(grouped.join(least, "component").select(F.col("class").alias("of"), "component_id"), "class-components")
+    each = classes.join(groups, classes["class"] == groups["node"], "left").withColumn("component", F.coalesce("component", "class"))
+    # null keys come last
+    first = F.struct(F.col("least").isNull().alias("none"), "least", "class")
+    least = each.groupBy("component").agg(F.min(first).alias("first"))
+    own = (F.col("class").alias("of"), F.col("first.least").alias("component_id"), F.col("first.class").alias("stays"))
+    of_class = written(each.join(least, "component").select(*own), "class-components")
     rows = members.join(of_class, F.col("class") == F.col("of"), "left")
-    return rows.select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    component = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    return rows.select("key", "n", "class", component.alias("component_id"), "stays")
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """A row per text: key, n_shingles, component_id (the least key reachable by links)."""
+    rows = grouped(docs, key, text, percent)
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: the one with the least key. Rows without a key stay."""
-    groups = joined(docs.where(F.col(key).isNotNull()), key, text)
-    dropped = written(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")), "near-duplicates")
-    return docs.join(dropped, docs[key] == dropped["_drop"], "left_anti")
+    """One row of each group of near duplicates: the one with the least key. Rows without a key or words stay.
+
+    Where rows share the least key, those of the least class do, and of these the one with the least text.
+    Only rows whose keys repeat are told apart by their sets and shuffled for it.
+    """
+    rows = grouped(docs.where(F.col(key).isNotNull()), key, text)
+    out = F.col("class").isNotNull() & ((F.col("key") != F.col("component_id")) | (F.col("class") != F.col("stays")))
+    marked = rows.select("key", "class", out.alias("out"))
+    by_key = marked.groupBy(F.col("key").alias("_drop")).agg(F.count("*").alias("n"), F.max("out").alias("out"))
+    keys = written(by_key.where("n > 1 or out"), "near-duplicates")
+    alone = docs.join(keys, docs[key] == keys["_drop"], "left_anti")
+    twice = keys.where("n > 1").select("_drop")
+    kept = marked.join(twice, F.col("key") == F.col("_drop"), "left_semi").where("class is not null and not out")
+    kept = written(kept.select("key", "class").distinct(), "repeated-keys")
+    again = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    again = again.join(twice, F.col("_key") == F.col("_drop"), "left_semi")
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [class_of(x) if len(x) else None for x in shingle_sets(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], ["_key", "_text", "_row", "_class"])
+
+    again = again.mapInArrow(classes, again.select("*").schema.add("_class", "long"))
+    own = again.join(kept, (F.col("_key") == F.col("key")) & (F.col("_class") == F.col("class")), "left_semi")
+    order = F.struct("_text", F.to_json("_row"))
+    one = own.groupBy("_key", "_class").agg(F.min_by("_row", order).alias("_row"))
+    back = one.select("_row").union(again.where("_class is null").select("_row"))
+    return alone.unionByName(back.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -524,3 +524,14 @@ def test_html_slot_holds_all_that_varies(spark):
     assert len(rows) == len(pages)
     for r in rows:
         assert r.text == r.expected, r.page_id
+
+
+def test_keep_one_keeps_rows_not_keys(spark):
+    texts = [(1, PAGE), (1, PAGE), (1, " ".join(NEAR)), (1, "one of a kind"), (2, PAGE), (2, "only here"), (2, "Only  HERE"), (3, "only here"), (4, ""), (4, ""), (None, PAGE), (5, "five")]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(texts)], "doc_id long, text string, i int").repartition(3)
+    rows = ngram_join.keep_one(docs).collect()
+    found = sorted((r.doc_id or 0, r.text) for r in rows)
+    one = next(t for k, t in found if k == 1 and t != "one of a kind")
+    assert one in (PAGE, " ".join(NEAR))
+    assert found == sorted([(0, PAGE), (1, one), (1, "one of a kind"), (2, "Only  HERE"), (4, ""), (4, ""), (5, "five")])
+    assert all(texts[r.i] == (r.doc_id, r.text) for r in rows)
