@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strikebook.llm import best_fit, decontaminate, html_template, license_scan, ngram_join, packed_matrices, quality_rules, suffix_dedup, token_counts, warc
+from strikebook.llm import (
+    best_fit,
+    decontaminate,
+    digest_index,
+    html_template,
+    license_scan,
+    ngram_join,
+    packed_matrices,
+    quality_rules,
+    ranked_search,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 
 QUERIES = {
     "op1_license_scan": (license_scan.query, license_scan.sql()),
@@ -16,5 +29,7 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op9_ngram_join": (ngram_join.query, ngram_join.SQL),
     "op10_packed_matrices": (packed_matrices.query, None),
+    "op12_ranked_search": (ranked_search.query, ranked_search.SQL),
+    "op13_digest_index": (digest_index.query, digest_index.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
