@@ -9,6 +9,7 @@ from strikebook.llm import (
     digest_index,
     html_template,
     license_scan,
+    merkle_manifest,
     ngram_join,
     packed_matrices,
     quality_rules,
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op9_ngram_join": (ngram_join.query, ngram_join.SQL),
     "op10_packed_matrices": (packed_matrices.query, None),
+    "op11_merkle_manifest": (merkle_manifest.query, merkle_manifest.sql()),
     "op12_ranked_search": (ranked_search.query, ranked_search.SQL),
     "op13_digest_index": (digest_index.query, digest_index.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
