@@ -16,8 +16,9 @@ SETTINGS = {
     # Generated methods above this size are not compiled by the JVM; Spark then splits them.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows may be whole documents.
+    # Rows may be whole documents, some of them very long.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
