@@ -5,13 +5,15 @@
    by that count (0 for all others), then by hash. The order decides only how much work there is.
 2. *Prefixes.* Two sets of Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of each.
    Texts with equal sets form a class, sent once per task. Shingles that only one class has in a prefix
-   are dropped by a window over the shingle.
-3. *Stars.* In each shingle's group the class for which it stands earliest leads. Each class is compared
-   with the leader it shares most with, twice, which links large groups of near copies without pairs
-   between all members. Classes that follow the same leader are connected and not paired again.
-4. *Pairs.* The rest is joined on the shingle under the length and the positional filter and counted per
-   pair; what the prefixes share and the longer of both rests bound what sets have in common. The rests
-   themselves are not looked at (no suffix filter). Each pair is verified once, on whole sets.
+   are dropped.
+3. *Leaders.* In each shingle's group one class leads: first the one for which it stands earliest, in later rounds
+   any. Each class is compared with the leader it shares most with, and the components of all
+   links so far are taken. That connects large groups of near copies without pairs between their members; shingles whose
+   classes are all in one component are done. Rounds end when one links nothing.
+4. *Pairs.* What is left is joined on the shingle under the length, the positional and the suffix filter, between different
+   components only, and counted per pair. The suffix filter bounds the Hamming distance of whole sets
+   from below by the segments of the hash space in which one has an odd and the other an even number of shingles. Each
+   pair, with a leader or not, is verified once, on whole sets; these are computed once for classes that share a prefix shingle.
 5. Components of the links give the result; copies follow their class.
 
 Defined cases: texts without words, and null texts, have an empty set and are linked with nothing. Fewer
@@ -35,6 +37,8 @@ from strikebook.llm.shared import table, written
 from strikebook.llm.shingles import shingle_sets
 
 PERCENT, HOT, HOT_FROM, FLUSH = 80, 1 << 18, 8, 2_000_000
+#: Rounds of leaders before pairs; segments of the hash space that the suffix filter compares.
+ROUNDS, SEGMENTS = 3, 512
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -109,32 +113,37 @@ def ordered(shingles: np.ndarray, heads: np.ndarray, counts: np.ndarray, bits: i
     return shingles[np.argsort(n, kind="stable")] if n.any() else shingles
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``SEGMENTS`` segments of the hash space, whether it holds an odd number of a set's shingles, as words."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (SEGMENTS - 1), minlength=SEGMENTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefixes(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """A row per text: key, n, class (null when empty) and, once per class and task, its prefix."""
+    """A row per text: key, n, class (null when empty) and, once per class and task, its prefix and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
     kind = docs.schema[key].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, counts, bits = shared.value
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, firsts = [], [], []
+            sizes, names, firsts, sketches = [], [], [], []
             for shingles in shingle_sets(batch.column(1).to_pylist()):
                 n = len(shingles)
                 name = class_of(shingles) if n else None
                 sizes.append(n)
                 names.append(name)
-                if n and name not in seen:
+                first = n > 0 and name not in seen
+                if first:
                     seen.add(name)
-                    firsts.append(ordered(shingles, heads, counts, bits)[: prefix_length(n, percent)].view(np.int64))
-                else:
-                    firsts.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["key", "n", "class", "prefix"],
-            )
+                firsts.append(ordered(shingles, heads, counts, bits)[: prefix_length(n, percent)].view(np.int64) if first else None)
+                sketches.append(sketch(shingles) if first else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, longs), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "n", "class", "prefix", "sketch"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, class long, prefix array<long>")
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, class long, prefix array<long>, sketch array<long>")
 
 
 def _long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -146,11 +155,15 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Of pairs of classes (u, v) those whose sets are similar enough. Only texts of these classes are shuffled."""
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-    wanted = members.join(nodes, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key"))
+def _near_enough(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
+    """The suffix filter: segments that differ are at least that many shingles which only one of both sets has."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SEGMENTS // 64)), F.lit(0))
+    return differ + 2 * _needed(n, m, percent) <= n + m
+
+
+def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """The whole sets (node, shingles) of ``classes``. Only one text of each is shuffled, once."""
+    wanted = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +176,11 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, te
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(wanted, F.col("_doc") == F.col("_key"))
     # a key that occurs twice gives a set twice, and at worst a link twice
     sets = texts.select("class", "_text").mapInArrow(run, "_wanted long, node long, shingles binary")
-    sets = written(sets.where("node = _wanted").select("node", "shingles"), "sets", release=True)
+    return written(sets.where("node = _wanted").select("node", "shingles"), "sets", release=True)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of written pairs of classes (u, v) those whose sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,50 +198,59 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, te
     return written(two.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long"), "links", release=True)
 
 
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """Prefix shingles that two classes or more have, a row per class: shingle, class, n, at, component, sketch."""
+    each = rows.where("prefix is not null").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
+    ends = each.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    live = written(each.join(written(ends.select("shingle"), "shared"), "shingle", "left_semi"), "live", release=True)
+    # a class has copies of its rows, and one sketch, from every task that met it
+    own = rows.where("prefix is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    live = live.groupBy("shingle", "class").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    return live.withColumn("component", F.col("class")).join(own, "class")
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Members (key, n, class) and links (u, v) between classes; links connect just what is connected."""
     rows = written(prefixes(docs, key, text, percent), "prefixes", release=True)
     members = rows.select("key", "n", "class")
-    each = rows.where("prefix is not null").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
-    # copies of a class from several tasks meet in the window; one of them stays
-    by_shingle = Window.partitionBy("shingle")
-    live = each.withColumn("lo", F.min("class").over(by_shingle)).withColumn("hi", F.max("class").over(by_shingle))
-    live = written(live.where("lo <> hi").select("shingle", "class", "n", "at").distinct(), "live", release=True)
-    found = None
-    for turn in (1, 2):
-        leader = F.struct("at", "n", "class") if turn == 1 else F.struct(F.xxhash64("class").alias("x"), "n", "class")
-        lead = live.groupBy("shingle").agg(F.min(leader).alias("l"))
-        near = live.join(lead, "shingle").where((F.col("class") != F.col("l.class")) & _long_enough(F.col("n"), F.col("l.n"), percent))
-        shared = near.groupBy("class", F.col("l.class").alias("leader")).agg(F.count("*").alias("c"))
-        best = shared.groupBy("class").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        chosen = written(best.where("leader is not null"), "leaders")
-        pairs = chosen.select(F.least("class", "leader").alias("u"), F.greatest("class", "leader").alias("v")).distinct()
-        new = verified(pairs, docs, members, key, text, percent)
-        found = new if found is None else found.union(new)
-        live = _unconnected(live, _followed(chosen, new))
-    pairs = written(_remaining(live, percent), "remaining")
-    return members, found.union(verified(pairs, docs, members, key, text, percent))
-
-
-def _followed(chosen: DataFrame, links_: DataFrame) -> DataFrame:
-    """Rows (node, component): a class follows the leader it is linked to, unless others follow itself."""
-    met = (F.least("class", "leader") == F.col("u")) & (F.greatest("class", "leader") == F.col("v"))
-    linked = written(chosen.join(links_, met, "left_semi"), "followed")
-    leading = linked.select(F.col("leader").alias("class")).distinct()
-    return linked.join(leading, "class", "left_anti").select(F.col("class").alias("node"), F.col("leader").alias("component"))
+    live = written(shared_prefixes(rows), "live", release=True)
+    sets = sets_of(live.select("class").distinct(), docs, members, key, text)
+    found = tried = docs.sparkSession.createDataFrame([], "u long, v long")
+    for turn in range(ROUNDS):
+        pairs = written(_with_leaders(live, turn, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+        new = verified(pairs, sets, percent)
+        found, tried = found.unionByName(new), tried.unionByName(pairs)
+        if new.isEmpty():
+            break
+        live = _unconnected(live, components(found))
+    pairs = written(_remaining(live, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    return members, found.unionByName(verified(pairs, sets, percent))
+
+
+def _with_leaders(live: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of each class and the leader, in another component, that it shares most prefix shingles with.
+
+    In the first round the class for which a shingle stands earliest leads it, later any one.
+    """
+    first = F.col("at") if turn == 0 else F.xxhash64("class", F.lit(turn))
+    lead = live.groupBy("shingle").agg(F.min(F.struct(first.alias("x"), "n", "class", "component", "sketch")).alias("l"))
+    apart = (F.col("component") != F.col("l.component")) & _long_enough(F.col("n"), F.col("l.n"), percent)
+    near = live.join(lead, "shingle").where(apart & _near_enough("sketch", "l.sketch", F.col("n"), F.col("l.n"), percent))
+    shared = near.groupBy("class", F.col("l.class").alias("leader")).agg(F.count("*").alias("c"))
+    best = shared.groupBy("class").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
+    return best.select(F.least("class", "leader").alias("u"), F.greatest("class", "leader").alias("v")).distinct()
 
 
 def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of shingles whose classes do not all follow the same leader; earlier leaders hold for the others."""
-    before = F.col("component") if "component" in live.columns else F.col("class")
-    own = live.withColumn("_before", before).drop("component").join(joined, live["class"] == joined["node"], "left").drop("node")
-    own = own.withColumn("component", F.coalesce("component", "_before")).drop("_before")
+    """Rows of shingles whose classes are not all in one component."""
+    own = live.drop("component").join(joined, live["class"] == joined["node"], "left").drop("node")
+    own = own.withColumn("component", F.coalesce("component", "class"))
     mixed = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return written(own.join(mixed.select("shingle"), "shingle", "left_semi"), "live")
+    return written(own.join(mixed.select("shingle"), "shingle", "left_semi"), "live", release=True)
 
 
 def _remaining(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected classes that pass the length and positional filters.
+    """Pairs of unconnected classes that pass the length, positional and suffix filters.
 
     What two unconnected classes share in both prefixes is left in ``live``; what stands in the prefix of
     one and behind that of the other need not be. Before a live shingle of both they share live ones only.
@@ -245,7 +271,8 @@ def _remaining(live: DataFrame, percent: int) -> DataFrame:
         & (F.col("a.class") < F.col("b.class"))
         & (F.col("a.component") != F.col("b.component"))
         & _long_enough(n, m, percent)
-        & (F.least("a.before", "b.before") + from_here >= _needed(n, m, percent)),
+        & (F.least("a.before", "b.before") + from_here >= _needed(n, m, percent))
+        & _near_enough("a.sketch", "b.sketch", n, m, percent),
     )
     pair = met.groupBy(F.col("a.class").alias("u"), F.col("b.class").alias("v")).agg(
         F.count("*").alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m")
