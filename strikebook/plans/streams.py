@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strikebook.functions.layouts import LAYOUTS
 from strikebook.operators import payoffs
+from strikebook.plans.clearing import d_record
 from strikebook.plans.frames import frame, query
 from strikebook.plans.registry import Registry
 from strikebook.plans.settlement import PHOENIX, watched
@@ -13,7 +15,7 @@ from strikebook.plans.validation import (
     ALWAYS, CHANGED, DATES, EVERY_ROW, FIELDS, FIGURES, LENGTHS, NUMBERS, OPTIONS, REQUIRED, ROWS, RULES, SERVER, TYPED,
     _reached, checks, documents, expected,
 )
-from strikebook.streaming import jobs
+from strikebook.streaming import barriers, jobs
 
 registry = Registry()
 
@@ -38,16 +40,34 @@ def stream_quotes(spark, sf):
     return jobs.latest(spark, path, ["asset", "fixing_date"])
 
 
+REGISTERED = """SELECT note_id, CASE WHEN modality = 'VNP' THEN '0031' ELSE '0030' END AS operation_code, instrument_code, issuer_account, maturity_date,
+ CASE WHEN modality = 'VNP' THEN '2' ELSE '1' END AS direction_code FROM {book} bk"""
+TRIGGER = d_record(LAYOUTS["Y7_trigger"]["fixed"][1], set("operation_code instrument_code issuer_account maturity_date direction_code update_date trigger_date underlying_value".split()))[0]
+
+
 @registry.add(
     "P4_stream_barrier",
-    """SELECT b.note_id, min(t.fixing_date) AS first_breach FROM {barriers} b JOIN {ticks} t ON t.asset = b.asset AND t.fixing_date BETWEEN b.start_date AND b.end_date
-WHERE CASE WHEN b.direction = 'up' THEN t.price >= b.level ELSE t.price < b.level END GROUP BY 1""",
+    f"""SELECT h.note_id, first_breach, underlying_value AS price, {TRIGGER} AS line FROM (
+ SELECT note_id, min(day) AS first_breach, min(day) AS update_date, min(day) AS trigger_date, arg_min(price, day) AS underlying_value FROM {{d_observed}} o
+ WHERE CASE WHEN direction = 'up' THEN price >= level ELSE price < level END GROUP BY 1) h JOIN ({REGISTERED}) r ON r.note_id = h.note_id""",
 )
 def stream_barrier(spark, sf):
-    notes = frame(spark, sf, "barriers").select("note_id", "asset", "start_date", "end_date", "direction", "level")
-    path, checkpoint = scratch(spark, "barrier"), scratch(spark, "barrier-state")
-    jobs.run(jobs.stream_barrier(ticks(spark, sf), notes), "update", checkpoint, jobs.keep(path))
-    return jobs.latest(spark, path, ["note_id"])
+    """Ticks in three arrivals; some of a third's last day come with the next. A last arrival closes the days."""
+    arrivals, path, checkpoint = scratch(spark, "ticks"), scratch(spark, "barrier"), scratch(spark, "barrier-state")
+    every = frame(spark, sf, "ticks").select("tick_id", "asset", F.col("ts").cast("timestamp").alias("ts"), "price")
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    late = (F.dayofmonth("ts").isin(10, 20)) & (F.col("tick_id") % 5 == 0)
+    close = every.agg((F.max("ts") + F.expr("interval 9 days")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("tick_id"), F.lit(-1).cast("long").alias("asset"), "ts", F.lit(1).cast("decimal(18,8)").alias("price")
+    )
+    numbered = every.withColumn("arrival", third + F.when(late, 1).otherwise(0))
+    notes = frame(spark, sf, "barriers").select("note_id", "asset", "quote_type", "direction", "level", "start_date", "end_date")
+    registered = query(spark, sf, REGISTERED)
+    for part in [*(numbered.where(F.col("arrival") == i).drop("arrival") for i in range(3)), close]:
+        part.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(every.schema).parquet(arrivals)
+        jobs.run(barriers.stream_barrier(stream, notes), "append", checkpoint, barriers.keep_firings(path, registered))
+    return barriers.firings(spark, path).drop("problem")
 
 
 @registry.add("P5_stream_autocall", PHOENIX)

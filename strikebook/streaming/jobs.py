@@ -62,16 +62,6 @@ def stream_quotes(ticks: DataFrame, delay: str = "2 days") -> DataFrame:
     )
 
 
-def stream_barrier(ticks: DataFrame, notes: DataFrame) -> DataFrame:
-    """First breach of each note's barrier, from ticks joined to the static notes.
-
-    Notes are matched by asset; the state is one date per breached note.
-    """
-    joined = ticks.join(notes, "asset").filter(F.col("fixing_date").between(F.col("start_date"), F.col("end_date")))
-    hit = F.when(F.col("direction") == "up", F.col("price") >= F.col("level")).otherwise(F.col("price") < F.col("level"))
-    return joined.filter(hit).groupBy("note_id").agg(F.min("fixing_date").alias("first_breach"))
-
-
 FLOWS = "note_id long, obs_no int, obs_date date, kind string, amount decimal(18,2)"
 STATE = "seen int, last_paid int, done boolean"
 

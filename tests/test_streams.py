@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strikebook.operators import payoffs
 from strikebook.session import checkpoint_dir
-from strikebook.streaming import jobs
+from strikebook.streaming import barriers, jobs
 
 
 def test_autocall_state_spans_batches(spark):
@@ -31,3 +31,60 @@ def test_autocall_state_spans_batches(spark):
     got = spark.read.parquet(f"{base}/out").select("note_id", "obs_no", "obs_date", "kind", "amount")
     expected = payoffs.phoenix(obs.drop("n_obs", "obs_no"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_barriers_over_batches_with_late_ticks(spark):
+    ticks_schema = "tick_id long, asset long, ts timestamp, price decimal(18,8)"
+    notes_schema = "note_id long, asset long, quote_type string, direction string, level decimal(18,8), start_date date, end_date date"
+
+    def day(n):
+        return dt.date(2024, 1, n)
+
+    notes = spark.createDataFrame(
+        [
+            (1, 7, "close", "up", Decimal(110), day(2), day(20)),
+            (2, 7, "low", "down", Decimal(95), day(1), day(3)),
+            (3, 7, "avg", "up", Decimal("105"), day(1), day(31)),
+            (4, 8, "high", "up", Decimal(50), day(1), day(31)),
+            (5, 7, "low", "down", Decimal(90), day(4), day(31)),
+            (6, 7, "low", "down", Decimal("90.00000001"), day(4), day(31)),
+            (7, 7, "other", "up", Decimal(1), day(1), day(31)),
+            (8, 7, "high", "up", None, day(1), day(31)),
+            (9, 8, "high", "up", Decimal(10), day(8), day(6)),
+        ],
+        notes_schema,
+    )
+    batches = [
+        [(1, 7, 1, 9, 100), (2, 7, 1, 10, 120), (3, 7, 2, 9, 104), (4, 8, 1, 9, 10)],
+        # the close of day 2 comes late, but before the day is judged
+        [(5, 7, 2, 11, 111), (6, 7, 5, 9, 90), (7, 8, 6, 9, 60)],
+        # a tick of a judged day is dropped
+        [(8, 7, 1, 23, 1), (9, 7, 9, 9, 94), (10, 7, 20, 1, 100), (11, 8, 20, 1, 1)],
+    ]
+    registered = spark.createDataFrame(
+        [(n, "0031", f"IF{n}", "40001", day(31), "2") for n in range(1, 10)],
+        "note_id long, operation_code string, instrument_code string, issuer_account string, maturity_date date, direction_code string",
+    )
+    base = checkpoint_dir(spark, f"barrier-test-{uuid.uuid4().hex}")
+    for rows in batches:
+        arrived = [(i, asset, dt.datetime(2024, 1, d, hour), Decimal(price)) for i, asset, d, hour, price in rows]
+        spark.createDataFrame(arrived, ticks_schema).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(ticks_schema).parquet(f"{base}/in")
+        # small parts: ticks of an asset go to each of its parts, a note is in one
+        watched = barriers.stream_barrier(stream, notes, notes_per_key=2)
+        jobs.run(watched, "append", f"{base}/state", barriers.keep_firings(f"{base}/out", registered))
+    rows = {r.note_id: r for r in barriers.firings(spark, f"{base}/out").collect()}
+    assert {k: (r.first_breach, r.price) for k, r in rows.items()} == {
+        1: (day(2), Decimal(111)),
+        3: (day(1), Decimal(110)),
+        4: (day(6), Decimal(60)),
+        6: (day(5), Decimal(90)),
+    }
+    assert rows[1].line == "COE  10031IF1        40001     2024013122024010220240102" + "11100000000".rjust(20, "0")
+    assert all(r.problem is None for r in rows.values())
+
+
+def test_price_bands_keep_the_order_of_levels():
+    levels = sorted({1, 2, 3, 99, 100, 101, *(7**k for k in range(1, 20)), *(10**k + d for k in range(1, 18) for d in (-1, 0, 1))})
+    bands = [barriers.band_of(x) for x in [-5, 0, *levels]]
+    assert bands == sorted(bands)
