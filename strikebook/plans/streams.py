@@ -15,6 +15,7 @@ from strikebook.plans.validation import (
     ALWAYS, CHANGED, DATES, EVERY_ROW, FIELDS, FIGURES, LENGTHS, NUMBERS, OPTIONS, REQUIRED, ROWS, RULES, SERVER, TYPED,
     _reached, checks, documents, expected,
 )
+from strikebook.sources.commit_log import CommitLog
 from strikebook.streaming import barriers, jobs
 
 registry = Registry()
@@ -106,23 +107,43 @@ def stream_edits(spark, sf):
     return found.select("note_id", "path", F.coalesce("rule_id", "check").alias("finding"), "severity")
 
 
-@registry.add("P1_stream_exports", "SELECT CAST(s_suppkey AS STRING) AS line FROM supplier UNION ALL SELECT '' AS line")
+# Three listings: a first load, an older file of one export beside a new one of another, and an empty file.
+LISTINGS = [
+    [("20260828", "supplier", "{supplier}", "s_name"), ("20260828", "part", "{part}", "p_name")],
+    [("20260820", "supplier", "{supplier}", "CAST(s_nationkey AS STRING)"), ("20260829", "part", "{part}", "p_type")],
+    [("20260830", "supplier", "{supplier} WHERE 1 = 0", "s_name"), ("20260830", "region", "{region}", "r_name")],
+]
+
+
+@registry.add(
+    "P1_stream_exports",
+    "SELECT 'supplier' AS export, '20260828' AS stamp, CAST(s_name AS STRING) AS line FROM supplier UNION ALL "
+    "SELECT 'part', '20260829', p_type FROM part UNION ALL SELECT 'region', '20260830', r_name FROM region",
+)
 def stream_exports(spark, sf):
+    """Three arrivals of files; the tables hold the newest good file of each export."""
     arrivals, root, checkpoint = scratch(spark, "arrivals"), scratch(spark, "tables"), scratch(spark, "exports-state")
-    for stamp, rows in (("20260827", "s_suppkey < 5"), ("20260828", "true")):
-        lines = query(spark, sf, f"SELECT CAST(s_suppkey AS STRING) AS line FROM {{supplier}} WHERE {rows}")
-        # An export is one file by name; a folder of its date keeps the name the exchange gives it.
-        lines.coalesce(1).write.text(f"{arrivals}/{stamp}_supplier.csv")
-    files = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", "true").load(arrivals)
-        .withColumn("path", F.regexp_extract("path", r"(.*)/part-[^/]*$", 1))
-    )
-    aliases = spark.sql("SELECT 'supplier' AS export, 'Supplier' AS alias, 1 AS alias_rank")
-    jobs.stream_exports(spark, files, aliases, root, checkpoint)
-    from strikebook.sources.snapshots import read_snapshot
-
-    return read_snapshot(spark, root, "lines").select("line")
+    names = ["supplier", "part", "region", "nation"]
+    exports_ = spark.createDataFrame([(n,) for n in names], "export string")
+    aliases = spark.createDataFrame([(n, n.title(), 1) for n in names], "export string, alias string, alias_rank int")
+    for listing in LISTINGS:
+        for stamp, name, table, column in listing:
+            lines = query(spark, sf, f"SELECT {column} AS line FROM {table}")
+            # An export is one file by name; a folder of its date keeps the name the exchange gives it.
+            lines.coalesce(1).write.text(f"{arrivals}/{stamp}_{name}.csv")
+        files = (
+            spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .option("recursiveFileLookup", "true").load(arrivals)
+            .select(F.regexp_extract("path", r"(.*)/part-[^/]*$", 1).alias("path"), "length")
+        )
+        jobs.stream_exports(spark, files, exports_, aliases, root, checkpoint)
+    log = CommitLog(spark, root)
+    out = None
+    for name in names[:3]:
+        held = log.head(name)
+        rows = log.read(name).select(F.lit(name).alias("export"), F.lit(held["stamp"]).alias("stamp"), "line")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @registry.add(

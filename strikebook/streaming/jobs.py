@@ -8,18 +8,22 @@ again overwrites its own rows. Readers take the last row of each key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strikebook.functions.dedupe import last_wins
 from strikebook.operators import validation as v
-from strikebook.sources.exports import newest_export
-from strikebook.sources.single_byte import transcode
-from strikebook.sources.snapshots import replace_snapshot
+from strikebook.sources.commit_log import CommitLog
+from strikebook.sources.exports import newest_export, sync_status
+from strikebook.sources.single_byte import read_lines
 
 
 def run(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -128,17 +132,50 @@ def current_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/findings").join(spoken, ["note_id", "path", "batch_id"]).drop("batch_id")
 
 
-def stream_exports(spark: SparkSession, files: DataFrame, aliases: DataFrame, root: str, checkpoint: str) -> None:
-    """Load the newest file of each export that arrives; a bad batch leaves the tables as they are."""
+def load_exports(
+    spark: SparkSession, files: DataFrame, exports: DataFrame, aliases: DataFrame, root: str, batch_id: int, allow_older: bool = False
+) -> DataFrame:
+    """Load what a listing (path, length) brings: each export's newest file, unless it is held or a newer one is.
+
+    Exports are loaded one by one; one that fails leaves its table alone and the others go on. The result, also
+    stored under the batch, has a row per export that came or is missing altogether: export, name, stamp, held,
+    status, n_rows, detail.
+    """
+    log = CommitLog(spark, root)
+    named = files.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))
+    newest = newest_export(named.select("name"), aliases)
+    due = sync_status(exports, newest, log.heads(), allow_older)
+    found = due.join(newest.select("export", "name"), "export", "left").join(named, "name", "left")
+    rows = []
+    # as many rows as there are exports in the catalogue
+    for r in found.where("stamp is not null or held is null").select("export", "name", "stamp", "held", "status", "path", "length").toLocalIterator():
+        status, n_rows, detail = r.status, None, None
+        if status == "downloaded":
+            location = f"{root}/{quote(r.export, safe='')}/{r.stamp}-{uuid.uuid4().hex[:12]}"
+            try:
+                if not r.length:
+                    raise ValueError(f"{r.name} is empty")
+                read_lines(spark, r.path).select("line_no", "line").write.parquet(location)
+                n_rows = spark.read.parquet(location).count()
+                status = log.append(r.export, r.stamp, r.name, n_rows, location, batch_id, allow_older)
+            except (ValueError, PySparkException, Py4JJavaError) as error:
+                status, detail = "failed", str(error).splitlines()[0][:300]
+        rows.append((r.export, r.name, r.stamp, r.held, status, n_rows, detail))
+    result = spark.createDataFrame(rows, "export string, name string, stamp string, held string, status string, n_rows long, detail string")
+    result.coalesce(1).write.mode("overwrite").parquet(f"{root}/_outcomes/batch_id={batch_id}")
+    return result
+
+
+def stream_exports(spark: SparkSession, files: DataFrame, exports: DataFrame, aliases: DataFrame, root: str, checkpoint: str) -> None:
+    """Load the newest file of each export as files arrive; ``files`` streams (path, length) of a folder.
+
+    Tables are merged export by export through their commit logs. A batch that is run again finds its stamps held.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        named = batch.withColumn("name", F.element_at(F.split("path", "/"), -1))
-        newest = newest_export(named.select("name"), aliases)
-        lines = transcode(named.join(newest.select("name", "export", "stamp"), "name"), "name", "content")
-        with_export = lines.join(newest.select("name", "export", "stamp"), "name")
-        replace_snapshot(spark, root, {"lines": with_export}, str(batch_id))
+        load_exports(spark, batch, exports, aliases, root, batch_id)
 
-    run(files.select("path", "content"), "append", checkpoint, each)
+    run(files.select("path", "length"), "append", checkpoint, each)
 
 
 def stream_domain_files(spark: SparkSession, files: DataFrame, path: str, checkpoint: str) -> None:
