@@ -32,6 +32,12 @@ def agree(published: str, declared: str) -> str:
     )
 
 
+def conflict(published: str, declared: str) -> str:
+    """Known published types that do not list the declared one."""
+    known = {"NUMERICO": "decimal percent money integer", "DATA": "date", "TEXTO": "string text", "DOMINIO": "enum enumset boolean"}
+    return " OR ".join(f"({published} = '{p}' AND NOT list_contains(string_split('{names}', ' '), {declared}))" for p, names in known.items())
+
+
 def two(spark, sf, *names):
     return [frame(spark, sf, n) for n in names]
 
@@ -115,7 +121,7 @@ def option_conformity(spark, sf):
 WITH j AS (SELECT f.*, a.published_type, a.published_length, a.published_decimals, CASE WHEN f.declared THEN 'error' ELSE 'warning' END AS strict
   FROM {{fields}} f LEFT JOIN {{attributes}} a ON a.field_code = f.field_code)
 SELECT field_id, field_code, 'unknown code' AS problem, strict AS severity FROM j WHERE published_type IS NULL
-UNION ALL SELECT field_id, field_code, 'type', strict FROM j WHERE published_type IS NOT NULL AND NOT ({agree('published_type', 'data_type')})
+UNION ALL SELECT field_id, field_code, 'type', strict FROM j WHERE {conflict('published_type', 'data_type')}
 UNION ALL SELECT field_id, field_code, 'decimals', 'warning' FROM j WHERE decimals <> published_decimals
 UNION ALL SELECT field_id, field_code, 'length', strict FROM j WHERE published_length > 0 AND max_length > published_length""",
 )
@@ -123,6 +129,39 @@ def type_conformity(spark, sf):
     return ops.type_conformity(*two(spark, sf, "fields", "attributes"))
 
 
+STRATEGY = "SELECT concat('S', CAST(p_size AS STRING)) AS field_code, min(published_type) AS published_type, max(p_size) AS published_length, max(p_size % 3) AS published_decimals FROM (SELECT *, CASE WHEN p_size % 5 = 0 THEN 'HORA' WHEN p_size % 2 = 0 THEN 'NUMERICO' ELSE 'TEXTO' END AS published_type FROM {part}) p GROUP BY 1"
+NAMED = "SELECT field_id, CASE WHEN field_id % 3 <> 0 THEN concat('S', CAST(field_id % 60 AS STRING)) END AS field_code, data_type, decimals, max_length, declared FROM {fields}"
+
+
+@registry.add(
+    "C8_strategy_conformity",
+    f"""
+WITH j AS (SELECT f.*, a.published_type, a.published_length, a.published_decimals, a.field_code IS NULL AS absent
+  FROM ({NAMED} f0) f LEFT JOIN ({STRATEGY}) a ON a.field_code = f.field_code WHERE f.field_code IS NOT NULL)
+SELECT field_id, field_code, 'unknown code' AS problem, 'error' AS severity FROM j WHERE absent
+UNION ALL SELECT field_id, field_code, 'type', 'error' FROM j WHERE {conflict('published_type', 'data_type')}
+UNION ALL SELECT field_id, field_code, 'decimals', 'warning' FROM j WHERE decimals <> published_decimals
+UNION ALL SELECT field_id, field_code, 'length', 'error' FROM j WHERE published_length > 0 AND max_length > published_length""",
+)
+def strategy_conformity(spark, sf):
+    return ops.type_conformity(query(spark, sf, NAMED + " f0"), query(spark, sf, STRATEGY), inferred_warn=False)
+
+
+CHOICES = "SELECT field_id, field_code, declared, concat('o', CAST(decimals AS STRING)) AS option, CASE WHEN max_length % 5 = 0 THEN '' ELSE CAST(max_length % 7 AS STRING) END AS code FROM {fields}"
+ACCEPTED = "SELECT field_code, CAST(k AS STRING) AS code FROM (SELECT field_code, explode(sequence(1, n_values)) AS k FROM {attributes} a WHERE n_values > 0) v"
+
+
+@registry.add(
+    "C8_option_codes",
+    f"""
+WITH v AS (SELECT field_code, CAST(k AS STRING) AS code FROM (SELECT field_code, unnest(range(1, n_values + 1)) AS k FROM {{attributes}} a WHERE n_values > 0) x)
+SELECT field_id, field_code, option, code, CASE WHEN declared THEN 'error' ELSE 'warning' END AS severity FROM ({CHOICES} f0) c
+WHERE code <> '' AND field_code IN (SELECT field_code FROM v) AND NOT EXISTS (SELECT 1 FROM v WHERE v.field_code = c.field_code AND v.code = c.code)""",
+)
+def option_codes(spark, sf):
+    return ops.option_codes(query(spark, sf, CHOICES + " f0"), query(spark, sf, ACCEPTED))
+
+
 # Of every forty fields one is mapped under its published code; the others carry codes nobody published.
 MAPPED = "SELECT figure_code, CASE WHEN field_id % 40 = 0 THEN field_code ELSE concat('own-', field_code) END AS field_code FROM {fields}"
 
@@ -202,12 +241,14 @@ def near_duplicate_attributes(spark, sf):
     f"""
 WITH a AS ({INDEXED}), k AS (SELECT figure_code, match_key, min_by(field_code, pos) AS code, min_by(published_type, pos) AS type FROM a GROUP BY 1, 2),
 s AS (SELECT figure_code, signature, min(field_code) AS code, min(published_type) AS type FROM a GROUP BY 1, 2 HAVING count(*) = 1),
-f AS (SELECT *, {d_signature('match_key')} AS signature FROM (SELECT field_id, figure_code, data_type, {d_key('name')} AS match_key FROM {{fields}} f0) f1),
-j AS (SELECT f.field_id, f.data_type, k.code AS kc, s.code AS sc, coalesce(k.code, s.code) AS code, coalesce(k.type, s.type) AS type
- FROM f LEFT JOIN k ON k.figure_code = f.figure_code AND k.match_key = f.match_key
- LEFT JOIN s ON s.figure_code = f.figure_code AND s.signature = f.signature)
-SELECT field_id, CASE WHEN {agree('type', 'data_type')} THEN code END AS field_code,
- CASE WHEN NOT ({agree('type', 'data_type')}) THEN NULL WHEN kc IS NOT NULL THEN 'name' WHEN sc IS NOT NULL THEN 'signature' END AS matched_by FROM j""",
+n AS MATERIALIZED (SELECT *, {d_signature('match_key')} AS signature FROM (SELECT figure_code, shown, {d_key('shown')} AS match_key
+  FROM (SELECT figure_code, name AS shown FROM {{fields}} f0 UNION SELECT figure_code, label FROM {{fields}} f9) u WHERE trim(shown) <> '') f1),
+m AS MATERIALIZED (SELECT n.figure_code, n.shown, coalesce(k.code, s.code) AS code, coalesce(k.type, s.type) AS type, CASE WHEN k.code IS NOT NULL THEN 'name' ELSE 'signature' END AS how
+ FROM n LEFT JOIN k ON k.figure_code = n.figure_code AND k.match_key = n.match_key
+ LEFT JOIN s ON s.figure_code = n.figure_code AND s.signature = n.signature WHERE k.code IS NOT NULL OR s.code IS NOT NULL),
+j AS (SELECT f.field_id, f.data_type, coalesce(x.code, y.code) AS code, coalesce(x.type, y.type) AS type, coalesce(x.how, y.how) AS how FROM {{fields}} f
+ LEFT JOIN m x ON x.figure_code = f.figure_code AND x.shown = f.name LEFT JOIN m y ON y.figure_code = f.figure_code AND y.shown = f.label)
+SELECT field_id, CASE WHEN {agree('type', 'data_type')} THEN code END AS field_code, CASE WHEN {agree('type', 'data_type')} THEN how END AS matched_by FROM j""",
 )
 def match_attribute_names(spark, sf):
     return ops.match_attribute_names(*two(spark, sf, "fields", "attributes"))
@@ -396,43 +437,49 @@ def figure_index(spark, sf):
     return ops.figure_index(query(spark, sf, LABELS))
 
 
-PROSES = """SELECT doc_id AS field_id, concat(text, CASE CAST(doc_id % 8 AS INT)
+PROSES = """SELECT doc_id AS field_id, CASE CAST(doc_id % 13 AS INT) WHEN 0 THEN 'Dados do Ativo' WHEN 1 THEN repeat('x', 71) WHEN 2 THEN '' WHEN 3 THEN '12 meses'
+  WHEN 4 THEN 'Participação %' WHEN 5 THEN 'um dois três quatro cinco seis sete oito nove dez onze doze treze' ELSE concat('Campo ', source) END AS label,
+ concat(text, CASE CAST(doc_id % 11 AS INT)
   WHEN 0 THEN ' Campo de preenchimento obrigatório. Formato: DD/MM/AAAA, posterior à indicada no campo "Data Inicial".'
   WHEN 1 THEN ' Preenchimento obrigatório, se indicado "Janela de datas". Formato: numérico com 8 inteiros e 4 decimais, maior que 0.'
   WHEN 2 THEN ' Campo obrigatório. Campo com as opções: Sim e Não.' WHEN 3 THEN ' Formato: alfanumérico de até 20 posições.'
   WHEN 4 THEN ' Formato: numérico percentual com 3 inteiros e 2 decimais. Não preencher se a Classe do Ativo Subjacente for igual a CESTA.'
-  WHEN 5 THEN ' Campo com os domínios: Alta, Baixa, Ambas. Formato: texto.' ELSE '' END) AS text FROM {documents}"""
+  WHEN 5 THEN ' Campo com os domínios: Alta, Baixa, Ambas. Formato: texto.'
+  WHEN 6 THEN ' Preenchimento obrigatório  quando indicado “Res. n. 8”. Formato: numérico com 4 inteiros e 1 decimal.'
+  WHEN 7 THEN ' Preenchimento obrigatório. Se indicado "Não" fica em branco. Não preencher se a “Classe do Ativo  Subjacente” for igual a "CESTA".'
+  WHEN 8 THEN ' Campo com as opções: "Alta",  Alta e “Baixa”. Campo obrigatório caso o campo seja "Alta".' ELSE '' END) AS text FROM {documents}"""
 
 
 def _listed(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-# The comparison works on words, sentences and quoted parts as lists.
-_SAYS = lambda kind: f"list_bool_or([contains(folded, x) FOR x IN [{_listed(ops.PHRASES[kind])}]])"
-_REST = lambda kind: (
-    f"split_part(list_filter([CASE WHEN contains(folded, x) THEN substr(text, length(split_part(folded, x, 1)) + length(x) + 1) END "
-    f"FOR x IN [{_listed(ops.PHRASES[kind])}]], lambda y: y IS NOT NULL)[1], '.', 1)"
-)
-_QUOTED = lambda kind: f"nullif(string_split(replace(replace({_REST(kind)}, '“', '\"'), '”', '\"'), '\"')[2], '')"
+# The comparison reads the prose with its own patterns.
+_SAYS = lambda *phrases: " OR ".join(f"contains(folded, '{x}')" for x in phrases)
 _BEFORE = lambda name: f"TRY_CAST(words[list_position(words, '{name}') - 1] AS INT)"
+_LIST = "regexp_extract(text, '(?i)campo com (?:as op[çc][õo]es(?: de dom[íi]nio)?|os dom[íi]nios):([^.]*)', 1)"
 
 EXTRACTED = f"""
 SELECT field_id, data_type, CASE WHEN data_type IN ('decimal', 'percent') THEN decimals END AS decimals,
   CASE WHEN data_type IN ('decimal', 'percent') THEN CAST(repeat('9', whole) AS DECIMAL(20,0)) END AS upper_bound,
-  CASE WHEN data_type = 'string' THEN coalesce(size, {ops.DEFAULT_LENGTH}) END AS max_length, array_to_string(options, '|') AS options,
+  CASE WHEN data_type = 'string' THEN coalesce(size, 100) END AS max_length, array_to_string(options, '|') AS options,
   CAST(len(options) AS INT) AS n_options, mandatory AND required_when IS NULL AS required, required_when, after_field, positive, not_for_baskets,
-  len(options) > {ops.MOST_OPTIONS} AS too_many_options, data_type = 'string' AND size IS NULL AS length_assumed
-FROM (SELECT *, CASE WHEN dated THEN 'date' WHEN number AND list_contains(words, 'percentual') THEN 'percent' WHEN number THEN 'decimal'
-   WHEN list_sort([strip_accents(lower(o)) FOR o IN options]) = ['nao', 'sim'] THEN 'boolean' WHEN len(options) BETWEEN 1 AND {ops.MOST_OPTIONS} THEN 'enum' ELSE 'string' END AS data_type
+  len(options) > 12 AS too_many_options, data_type = 'string' AND size IS NULL AS length_assumed
+FROM (SELECT *, CASE WHEN dated THEN 'date' WHEN number AND (list_contains(words, 'percentual') OR trim(label) LIKE '%\\%' ESCAPE '\\') THEN 'percent' WHEN number THEN 'decimal'
+   WHEN list_sort([strip_accents(lower(o)) FOR o IN options]) = ['nao', 'sim'] THEN 'boolean' WHEN len(options) BETWEEN 1 AND 12 THEN 'enum' ELSE 'string' END AS data_type
  FROM (SELECT *, whole IS NOT NULL AND decimals IS NOT NULL AS number
-  FROM (SELECT field_id, words, {_SAYS('mandatory')} AS mandatory, {_SAYS('format')} AS formatted, {_SAYS('positive')} AS positive, {_SAYS('baskets')} AS not_for_baskets,
-    {_SAYS('date')} AS dated, CASE WHEN list_contains(words, 'numerico') THEN {_BEFORE('inteiros')} END AS whole,
-    CASE WHEN list_contains(words, 'numerico') THEN {_BEFORE('decimais')} END AS decimals,
+  FROM (SELECT field_id, label, words, ({_SAYS('preenchimento obrigatorio', 'campo obrigatorio', 'e de preenchimento')}) AS mandatory, contains(folded, 'formato:') AS formatted,
+    ({_SAYS('maior que 0', 'maior que zero')}) AS positive,
+    regexp_matches(folded, 'nao preencher se a ["“”]?classe do ativo\\s+subjacente["“”]? for igual a ["“”]?cesta') AS not_for_baskets,
+    ({_SAYS('dd/mm/aaaa', 'dd/mm/yyyy')}) AS dated, CASE WHEN list_contains(words, 'numerico') THEN coalesce({_BEFORE('inteiros')}, {_BEFORE('inteiro')}) END AS whole,
+    CASE WHEN list_contains(words, 'numerico') THEN coalesce({_BEFORE('decimais')}, {_BEFORE('decimal')}) END AS decimals,
     TRY_CAST(list_filter(CASE WHEN list_contains(words, 'alfanumerico') THEN words[list_position(words, 'alfanumerico'):] END, lambda w: TRY_CAST(w AS INT) IS NOT NULL)[1] AS INT) AS size,
-    coalesce(list_filter([trim(o) FOR o IN string_split(replace({_REST('options')}, ' e ', ','), ',')], lambda o: o <> ''), []) AS options,
-    {_QUOTED('conditional')} AS required_when, {_QUOTED('after')} AS after_field
-   FROM (SELECT *, strip_accents(lower(text)) AS folded, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS words FROM ({{PROSES}}) p) f) q
+    list_filter(named, lambda o, i: list_position([lower(x) FOR x IN named], lower(o)) = i AND length(o) BETWEEN 1 AND 60) AS options,
+    nullif(trim(regexp_extract(text, '(?i)obrigat[óo]rio\\s*,?\\s*(?:se|quando|caso)[^."“”]*["“”]([^"“”]+)["“”]', 1)), '') AS required_when,
+    nullif(trim(regexp_extract(text, '(?i)posterior [àa] (?:indicada )?no campo\\s*["“”]([^"“”]+)["“”]', 1)), '') AS after_field
+   FROM (SELECT *, strip_accents(lower(text)) AS folded, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS words,
+      [trim(o, ' "“”''.;') FOR o IN string_split_regex({_LIST}, ',|\\s+e\\s+')] AS named FROM ({{PROSES}}) p
+     WHERE length(label) BETWEEN 1 AND 70 AND label NOT LIKE 'Dados%' AND NOT regexp_matches(label, '^[0-9]+ ') AND len(string_split(label, ' ')) <= 12) f) q
   WHERE mandatory OR formatted) n) r""".replace("{PROSES}", PROSES)
 
 
@@ -453,14 +500,22 @@ def derive_rules(spark, sf):
 @registry.add(
     "H5_merge_published_metadata",
     f"""
-WITH d AS (SELECT field_id, figure_code, data_type, decimals, {d_key('name')} AS match_key FROM {{fields}} f0),
-p AS (SELECT figure_code, match_key, min_by(field_code, pos) AS field_code, min_by(published_type, pos) AS published_type, min_by(published_decimals, pos) AS published_decimals
+WITH d AS (SELECT field_id, figure_code, data_type, decimals, max_length, n_options, drafted_required, {d_key('name')} AS match_key FROM {{fields}} f0),
+p AS (SELECT figure_code, match_key, min_by(field_code, pos) AS code, min_by(published_type, pos) AS kind, min_by(published_decimals, pos) AS decimals,
+  min_by(published_length, pos) AS length, min_by(mandatory, pos) AS mandatory, min_by(n_values, pos) AS n_values
  FROM (SELECT *, {d_key('name')} AS match_key FROM {{attributes}} a0) a GROUP BY 1, 2),
-j AS (SELECT coalesce(d.figure_code, p.figure_code) AS figure_code, coalesce(d.match_key, p.match_key) AS match_key, d.field_id, d.decimals, p.field_code, p.published_decimals,
- d.field_id IS NULL AS appended, p.field_code IS NOT NULL AND d.field_id IS NOT NULL AND {agree('p.published_type', 'd.data_type')} AS matched
+j AS (SELECT coalesce(d.figure_code, p.figure_code) AS figure_code, coalesce(d.match_key, p.match_key) AS match_key, d.field_id, d.data_type AS was, d.decimals AS own_decimals,
+  d.max_length AS own_length, coalesce(drafted_required, false) AS own_required, p.* EXCLUDE (figure_code, match_key),
+  CASE WHEN d.field_id IS NULL THEN 'new ' || kind WHEN kind IN ('NUMERICO', 'TEXTO') THEN kind WHEN kind = 'DATA' AND d.data_type = 'date' THEN kind
+   WHEN kind = 'DOMINIO' AND n_options = 0 AND n_values > 0 THEN 'LISTED' WHEN kind = 'DOMINIO' AND d.data_type IN ('enum', 'enumset', 'boolean') THEN kind ELSE 'none' END AS how
  FROM d FULL JOIN p ON d.figure_code = p.figure_code AND d.match_key = p.match_key)
-SELECT figure_code, match_key, field_id, CASE WHEN matched OR appended THEN field_code END AS field_code,
- CASE WHEN matched OR appended THEN published_decimals ELSE decimals END AS decimals, appended FROM j""",
+SELECT figure_code, match_key, field_id, CASE WHEN how <> 'none' THEN code END AS field_code,
+ CASE how WHEN 'new NUMERICO' THEN 'decimal' WHEN 'new TEXTO' THEN 'string' WHEN 'new DATA' THEN 'date' WHEN 'new DOMINIO' THEN 'enum' WHEN 'new HORA' THEN NULL
+  WHEN 'NUMERICO' THEN CASE WHEN was IN ('percent', 'money', 'integer', 'decimal') THEN was ELSE 'decimal' END WHEN 'TEXTO' THEN CASE WHEN was IN ('string', 'text') THEN was ELSE 'string' END
+  WHEN 'LISTED' THEN 'enum' ELSE was END AS data_type,
+ CASE WHEN how LIKE '%NUMERICO' THEN decimals WHEN how IN ('TEXTO', 'LISTED') OR how LIKE 'new %' THEN NULL ELSE own_decimals END AS decimals,
+ CASE WHEN how LIKE '%TEXTO' AND length > 0 THEN length WHEN how IN ('NUMERICO', 'LISTED') THEN NULL ELSE own_length END AS max_length,
+ own_required OR (how <> 'none' AND coalesce(mandatory, false)) AS required, field_id IS NULL AS appended FROM j""",
 )
 def merge_published_metadata(spark, sf):
     return ops.merge_published_metadata(*two(spark, sf, "fields", "attributes"))

@@ -134,7 +134,9 @@ SELECT p_partkey AS pos, p_brand AS figure_code,
             WHEN 2 THEN concat('Observação ', p_name, ' ', CAST(p_size AS STRING))
             ELSE concat(p_name, ' ', CAST(p_size % 12 AS STRING)) END AS name,
        concat('C', lpad(CAST(p_partkey AS STRING), 9, '0')) AS field_code,
-       CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'NUMERICO' WHEN 1 THEN 'DATA' ELSE 'TEXTO' END AS published_type,
+       CASE WHEN p_partkey % 11 = 0 THEN 'HORA' WHEN p_partkey % 7 = 0 THEN 'DOMINIO'
+            WHEN p_partkey % 3 = 0 THEN 'NUMERICO' WHEN p_partkey % 3 = 1 THEN 'DATA' ELSE 'TEXTO' END AS published_type,
+       CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 7 = 0 THEN CAST(p_size % 4 AS INT) ELSE 0 END AS n_values,
        CAST(p_size AS INT) AS published_length, CAST(p_size % 5 AS INT) AS published_decimals,
        p_size % 2 = 0 AS mandatory
 FROM {part}
@@ -149,6 +151,8 @@ SELECT l_orderkey * 8 + l_linenumber AS field_id, p.p_brand AS figure_code,
             WHEN 3 THEN 'percent' ELSE 'enum' END AS data_type,
        CASE WHEN l_suppkey % 17 = 0 THEN 'C-none'
             ELSE concat('C', lpad(CAST(l_partkey AS STRING), 9, '0')) END AS field_code,
+       CASE WHEN l_orderkey % 6 = 0 THEN concat(p.p_type, ' DE ', p.p_name, ' (%)') WHEN l_orderkey % 6 = 1 THEN '' ELSE concat('Campo ', p.p_name) END AS label,
+       CASE WHEN l_linenumber % 5 IN (0, 1) THEN CAST(l_partkey % 3 AS INT) ELSE 0 END AS n_options, l_suppkey % 4 = 0 AS drafted_required,
        CAST(l_quantity AS INT) AS max_length, CAST(l_linenumber % 5 AS INT) AS decimals,
        l_returnflag <> 'N' AS declared
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey
