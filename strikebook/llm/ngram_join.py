@@ -180,7 +180,10 @@ def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, t
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of written pairs of classes (u, v) those whose sets are similar enough."""
+    """Of written pairs of classes (u, v) those whose sets are similar enough.
+
+    Few classes are the v of many pairs: their sets travel to the pairs, and from there to the set of each u.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,52 +196,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 similar.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-    two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    one = pairs.join(second.join(pairs.select("v").distinct(), "v", "left_semi"), "v")
+    two = one.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
     return written(two.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long"), "links", release=True)
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Prefix shingles that two classes or more have, a row per class: shingle, class, n, at, component, sketch."""
+    """Prefix shingles that two classes or more have, a row per class: shingle, class, n, at, component."""
     each = rows.where("prefix is not null").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
     ends = each.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    live = written(each.join(written(ends.select("shingle"), "shared"), "shingle", "left_semi"), "live", release=True)
-    # a class has copies of its rows, and one sketch, from every task that met it
-    own = rows.where("prefix is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
-    live = live.groupBy("shingle", "class").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    return live.withColumn("component", F.col("class")).join(own, "class")
+    shared = written(ends.select("shingle"), "shared", release=True)
+    # a class has copies of its rows from every task that met it
+    live = each.join(shared, "shingle", "left_semi").dropDuplicates(["shingle", "class"])
+    return written(live.withColumn("component", F.col("class")), "live", release=True)
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Members (key, n, class) and links (u, v) between classes; links connect just what is connected."""
     rows = written(prefixes(docs, key, text, percent), "prefixes", release=True)
     members = rows.select("key", "n", "class")
-    live = written(shared_prefixes(rows), "live", release=True)
+    live = shared_prefixes(rows)
     sets = sets_of(live.select("class").distinct(), docs, members, key, text)
     found = tried = docs.sparkSession.createDataFrame([], "u long, v long")
     for turn in range(ROUNDS):
-        pairs = written(_with_leaders(live, turn, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+        pairs = written(_untried(_with_leaders(live, turn, percent), tried), "pairs")
         new = verified(pairs, sets, percent)
         found, tried = found.unionByName(new), tried.unionByName(pairs)
         if new.isEmpty():
             break
         live = _unconnected(live, components(found))
-    pairs = written(_remaining(live, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    sketches = rows.where("sketch is not null").select("class", "sketch")
+    pairs = written(_untried(_remaining(live, sketches, percent), tried), "pairs")
     return members, found.unionByName(verified(pairs, sets, percent))
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that no earlier round has verified, whichever class led."""
+    before = tried.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    return pairs.join(before, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
+
+
 def _with_leaders(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of each class and the leader, in another component, that it shares most prefix shingles with.
+    """Pairs of each class (u) and the leader (v), in another component, that it shares most prefix shingles with.
 
     In the first round the class for which a shingle stands earliest leads it, later any one.
     """
     first = F.col("at") if turn == 0 else F.xxhash64("class", F.lit(turn))
-    lead = live.groupBy("shingle").agg(F.min(F.struct(first.alias("x"), "n", "class", "component", "sketch")).alias("l"))
+    lead = live.groupBy("shingle").agg(F.min(F.struct(first.alias("x"), "n", "class", "component")).alias("l"))
     apart = (F.col("component") != F.col("l.component")) & _long_enough(F.col("n"), F.col("l.n"), percent)
-    near = live.join(lead, "shingle").where(apart & _near_enough("sketch", "l.sketch", F.col("n"), F.col("l.n"), percent))
-    shared = near.groupBy("class", F.col("l.class").alias("leader")).agg(F.count("*").alias("c"))
+    shared = live.join(lead, "shingle").where(apart).groupBy("class", F.col("l.class").alias("leader")).agg(F.count("*").alias("c"))
     best = shared.groupBy("class").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    return best.select(F.least("class", "leader").alias("u"), F.greatest("class", "leader").alias("v")).distinct()
+    # two classes that lead each other are one pair
+    pairs = best.select(F.col("class").alias("u"), F.col("leader").alias("v"))
+    each = pairs.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.min("v").alias("v"))
+    return each.select(F.when(F.col("v") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("u"), "v")
 
 
 def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
@@ -249,7 +261,7 @@ def _unconnected(live: DataFrame, joined: DataFrame) -> DataFrame:
     return written(own.join(mixed.select("shingle"), "shingle", "left_semi"), "live", release=True)
 
 
-def _remaining(live: DataFrame, percent: int) -> DataFrame:
+def _remaining(live: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of unconnected classes that pass the length, positional and suffix filters.
 
     What two unconnected classes share in both prefixes is left in ``live``; what stands in the prefix of
@@ -260,7 +272,9 @@ def _remaining(live: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("class")
     live = live.withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
     live = live.withColumn("after", F.count("*").over(own) - F.col("before")).withColumn("rest", F.col("n") - F.col("at"))
-    live = written(live, "live")
+    # a class has a sketch from every task that met it
+    sketches = sketches.join(live.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    live = written(live.join(sketches, "class"), "live")
     a, b = live.alias("a"), live.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     tails = F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))
