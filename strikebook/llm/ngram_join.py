@@ -163,7 +163,7 @@ def _near_enough(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
 
 def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """The whole sets (node, shingles) of ``classes``. Only one text of each is shuffled, once."""
-    wanted = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key"))
+    wanted = written(members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key")), "wanted", release=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, t
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of written pairs of classes (u, v) those whose sets are similar enough.
 
-    Few classes are the v of many pairs: their sets travel to the pairs, and from there to the set of each u.
+    Few classes are the v of many pairs: the set of each u travels to that of its v, where a hot v is split.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +196,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 similar.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
-    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-    one = pairs.join(second.join(pairs.select("v").distinct(), "v", "left_semi"), "v")
-    two = one.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")).join(pairs, "u")
+    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")).join(pairs.select("v"), "v", "left_semi")
+    two = one.join(second, "v")
     return written(two.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long"), "links", release=True)
 
 

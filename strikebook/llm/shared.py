@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
         for _ in range(3):
             gc.collect()
             spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
