@@ -1,6 +1,8 @@
-"""Business-day calendars as tables with a running index.
+"""Business-day calendars over any date, as expressions.
 
-The index turns counting, rolling and offsetting into equi-joins, with no loop over days.
+Weekdays up to a date are counted in closed form. A calendar lists its holidays per year, so the number of
+holidays up to a date is what came before the year plus a rank among the dozen of the year itself. Counting,
+rolling and offsetting need no list of days, no join and no bound on dates; a year without listed holidays has weekdays only.
 """
 
 from __future__ import annotations
@@ -8,11 +10,9 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strikebook.functions.sizes import small_side
-
 BRAZIL = "BRASIL"
 
 # Month and day of the national holidays that do not move, and the first year of those that are new.
@@ -22,15 +22,80 @@ HOLIDAY_SINCE = {(11, 20): 2024}
 EASTER_OFFSETS = [-48, -47, -2, 60]
 
 
-@dataclass(frozen=True)
-class Calendar:
-    """Days of one or more calendars; ``rows`` bounds the table where the span is known."""
+#: A Monday, from which days are counted.
+MONDAY = "0001-01-01"
+#: No day of a year has this number.
+NO_DAY = 400
+
+
+def _table(values: list[int]) -> Column:
+    """A list of numbers as one folded array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    days: DataFrame
-    rows: int | None = None
 
-    def side(self, *columns) -> DataFrame:
-        return small_side(self.days.select(*columns), self.rows)
+def _weekdays(days: Column) -> Column:
+    """Weekdays among the first days that are counted from a Monday."""
+    rest = F.pmod(days, F.lit(7))
+    return ((days - rest) / 7 * 5 + F.least(rest, F.lit(5))).cast("int")
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """Weekdays without the listed holidays; those on weekends change nothing."""
+
+    holidays: tuple[dt.date, ...]
+
+    def _years(self) -> tuple[int, list[list[int]]]:
+        """The first year, and per year the day numbers of its holidays on weekdays."""
+        days = sorted({d for d in self.holidays if d.weekday() < 5})
+        first = days[0].year if days else 1
+        years: list[list[int]] = [[] for _ in range((days[-1].year if days else 1) - first + 1)]
+        for d in days:
+            years[d.year - first].append(d.timetuple().tm_yday)
+        return first, years
+
+    def longest_pause(self) -> int:
+        """Most days in a row that are closed."""
+        listed = set(self.holidays)
+        longest = 2
+        for d in listed:
+            before, after = d, d
+            while before.weekday() > 4 or before in listed:
+                before -= dt.timedelta(days=1)
+            while after.weekday() > 4 or after in listed:
+                after += dt.timedelta(days=1)
+            longest = max(longest, (after - before).days - 1)
+        return longest
+
+    def _rank(self, date: Column) -> Column:
+        """Holidays on weekdays up to and including the date."""
+        first, years = self._years()
+        before, total = [], 0
+        for days in years:
+            before.append(total)
+            total += len(days)
+        at, day = F.year(date) - first, F.dayofyear(date)
+        inside = F.get(_table(before), at)
+        for k in range(max(map(len, years))):
+            numbers = _table([days[k] if k < len(days) else NO_DAY for days in years])
+            inside = inside + (F.get(numbers, at) <= day).cast("int")
+        return F.when(at < 0, 0).when(at >= len(years), total).otherwise(inside)
+
+    def index(self, date: Column) -> Column:
+        """Business days from the year 1 up to and including the date."""
+        return _weekdays(F.datediff(date, F.lit(MONDAY).cast("date")) + 1) - self._rank(date)
+
+    def is_open(self, date: Column) -> Column:
+        first, years = self._years()
+        listed = F.split(F.lit(";".join(" " + " ".join(map(str, days)) + " " for days in years)), ";")
+        own = F.coalesce(F.get(listed, F.year(date) - first), F.lit(""))
+        closed = F.contains(own, F.concat(F.lit(" "), F.dayofyear(date).cast("string"), F.lit(" ")))
+        return (F.weekday(date) < 5) & ~closed
+
+    def next_open(self, date: Column) -> Column:
+        """The date itself or the following business day."""
+        days = [F.date_add(date, i) for i in range(self.longest_pause() + 1)]
+        return F.coalesce(*[F.when(self.is_open(d), d) for d in days])
 
 
 def easter(year: int) -> dt.date:
@@ -57,8 +122,12 @@ def national_holidays(spark: SparkSession, first_year: int, last_year: int) -> D
     return spark.sql(f"SELECT * FROM VALUES {rows} AS h(calendar_code, holiday_date)")
 
 
-def build_calendar(holidays: DataFrame, span: DataFrame, rows: int | None = None) -> Calendar:
-    """One row per calendar and day of ``span`` (columns calendar_code, lo, hi).
+def national_calendar(first_year: int, last_year: int) -> Calendar:
+    return Calendar(tuple(national_days(first_year, last_year)))
+
+
+def build_calendar(holidays: DataFrame, span: DataFrame) -> DataFrame:
+    """One row per calendar and day of ``span`` (columns calendar_code, lo, hi): the calendar as a table.
 
     ``bd_index`` counts business days up to and including the day; ``next_bd`` is the day itself
     or the following business day. The windows are bounded by the days of the span.
@@ -68,73 +137,50 @@ def build_calendar(holidays: DataFrame, span: DataFrame, rows: int | None = None
     open_day = (F.weekday("day") < 5) & F.col("_off").isNull()
     by_day = Window.partitionBy("calendar_code").orderBy("day")
     ahead = by_day.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    table = (
+    return (
         days.join(off, ["calendar_code", "day"], "left")
         .withColumn("is_business_day", open_day)
         .drop("_off")
         .withColumn("bd_index", F.sum(F.col("is_business_day").cast("int")).over(by_day))
         .withColumn("next_bd", F.min(F.when(F.col("is_business_day"), F.col("day"))).over(ahead))
     )
-    return Calendar(table, rows)
 
 
-def fixed_calendar(spark: SparkSession, holidays: DataFrame, first: dt.date, last: dt.date) -> Calendar:
-    span = spark.range(1).select(
-        F.lit(BRAZIL).alias("calendar_code"), F.lit(first).alias("lo"), F.lit(last).alias("hi")
-    )
-    return build_calendar(holidays, span, rows=(last - first).days + 1)
+def business_day_index(df: DataFrame, column: str, calendar: Calendar, since: dt.date, out: str) -> DataFrame:
+    """Business days from ``since`` up to and including the date."""
+    return df.withColumn(out, (calendar.index(F.col(column)) - calendar.index(F.lit(since - dt.timedelta(days=1)))).cast("long"))
 
 
 def is_business_day(df: DataFrame, column: str, calendar: Calendar, out: str) -> DataFrame:
-    """Flag; null where the date is missing or outside the calendar."""
-    side = calendar.side(F.col("day").alias(column), F.col("is_business_day").alias(out))
-    return df.join(side, column, "left")
+    """Flag; null where the date is missing."""
+    return df.withColumn(out, calendar.is_open(F.col(column)))
 
 
 def business_days_between(df: DataFrame, start: str, end: str, calendar: Calendar, out: str) -> DataFrame:
     """Business days after ``start`` up to ``end``; negative when reversed, zero when equal."""
-    a = calendar.side(F.col("day").alias(start), F.col("bd_index").alias("_from"))
-    b = calendar.side(F.col("day").alias(end), F.col("bd_index").alias("_to"))
-    return (
-        df.join(a, start, "left")
-        .join(b, end, "left")
-        .withColumn(out, F.col("_to") - F.col("_from"))
-        .drop("_from", "_to")
-    )
+    return df.withColumn(out, (calendar.index(F.col(end)) - calendar.index(F.col(start))).cast("long"))
 
 
 def roll_following(df: DataFrame, column: str, calendar: Calendar, out: str) -> DataFrame:
-    return df.join(calendar.side(F.col("day").alias(column), F.col("next_bd").alias(out)), column, "left")
+    return df.withColumn(out, calendar.next_open(F.col(column)))
 
 
 def expand_schedule(df: DataFrame, start: str, end: str, calendar: Calendar, out: str) -> DataFrame:
-    """One row per business day of each window, through an equi-join on the day.
-
-    Days outside the calendar are not dropped: they come with ``covered`` false.
-    """
+    """One row per business day of each window."""
     window = F.when(F.col(start) <= F.col(end), F.sequence(start, end))
-    days = calendar.side(F.col("day").alias(out), F.col("is_business_day").alias("_open"))
-    joined = df.withColumn(out, F.explode(window)).join(days, out, "left")
-    return joined.where(F.coalesce("_open", F.lit(True))).withColumn("covered", F.col("_open").isNotNull()).drop("_open")
+    return df.withColumn(out, F.explode(window)).where(calendar.is_open(F.col(out)))
 
 
 def fixing_window(df: DataFrame, maturity: str, n: str, lag: str, calendar: Calendar, out: str) -> DataFrame:
-    """The ``n`` business days that end ``lag`` business days before maturity, one row each.
+    """The ``n`` business days that end ``lag`` business days before maturity, one row each; null without a maturity.
 
-    Where the calendar does not reach, the row stays and its day is null.
+    Between two open days at most the longest pause is closed, which bounds how far back the days lie.
     """
-    at = calendar.side(F.col("day").alias(maturity), F.col("bd_index").alias("_at"))
-    days = calendar.side(
-        F.when(F.col("is_business_day"), F.col("bd_index")).alias("_index"), F.col("day").alias(out)
-    )
-    steps = F.sequence(F.lit(1), F.col(n))
-    return (
-        df.join(at, maturity, "left")
-        .withColumn("_step", F.explode(steps))
-        .withColumn("_index", F.col("_at") - F.col(lag) - F.col(n) + F.col("_step"))
-        .join(days, "_index", "left")
-        .drop("_at", "_step", "_index")
-    )
+    pause = calendar.longest_pause()
+    reach = (F.col(lag) + F.col(n)) * (pause + 1) + pause
+    days = F.sequence(F.col(maturity), F.date_sub(F.col(maturity), reach.cast("int")), F.expr("interval -1 day"))
+    found = F.slice(F.filter(days, calendar.is_open), F.col(lag) + 1, F.col(n))
+    return df.withColumn(out, F.explode(F.coalesce(F.reverse(found), F.array_repeat(F.lit(None).cast("date"), F.col(n)))))
 
 
 def calendar_gap_audit(df: DataFrame, column: str, holidays: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from strikebook.plans.frames import FIRST_DAY, LAST_DAY, exact_change, frame, qu
 from strikebook.plans.registry import Registry
 
 registry = Registry()
+#: Years whose national holidays are listed.
+NATIONAL_YEARS = (1900, 2300)
 FIRST, LAST = FIRST_DAY, LAST_DAY
 
 
@@ -18,7 +20,7 @@ def holidays(spark):
 
 
 def brazil(spark) -> calendar.Calendar:
-    return calendar.fixed_calendar(spark, holidays(spark), FIRST, LAST)
+    return calendar.national_calendar(*NATIONAL_YEARS)
 
 
 def daily(spark, sf):
@@ -53,7 +55,7 @@ SELECT calendar_code, day, is_business_day,
 FROM flagged""",
 )
 def build_calendar(spark, sf):
-    return calendar.build_calendar(holidays(spark), query(spark, sf, SPAN)).days
+    return calendar.build_calendar(holidays(spark), query(spark, sf, SPAN))
 
 
 @registry.add(
@@ -61,8 +63,8 @@ def build_calendar(spark, sf):
     "SELECT t.tick_id, t.fixing_date, c.bd_index FROM {ticks} t LEFT JOIN {d_calendar} c ON c.day = t.fixing_date",
 )
 def business_day_index(spark, sf):
-    side = brazil(spark).side(F.col("day").alias("fixing_date"), "bd_index")
-    return frame(spark, sf, "ticks").select("tick_id", "fixing_date").join(side, "fixing_date", "left")
+    ticks = frame(spark, sf, "ticks").select("tick_id", "fixing_date")
+    return calendar.business_day_index(ticks, "fixing_date", brazil(spark), FIRST, "bd_index")
 
 
 @registry.add(

@@ -189,12 +189,57 @@ def test_numbering_equals_row_number(spark):
 
 
 def test_business_days_reversed(spark):
-    cal = calendar.fixed_calendar(spark, calendar.national_holidays(spark, 2026, 2026), dt.date(2026, 1, 1), dt.date(2026, 12, 31))
+    cal = calendar.national_calendar(2026, 2026)
     df = spark.sql("SELECT DATE '2026-04-01' AS a, DATE '2026-04-06' AS b")
     assert calendar.business_days_between(df, "a", "b", cal, "n").first()["n"] == 2
     assert calendar.business_days_between(df, "b", "a", cal, "n").first()["n"] == -2
 
 
+def _calendars():
+    long_pause = tuple(dt.date(2024, 12, 20) + dt.timedelta(days=i) for i in range(25))
+    return {"national": calendar.national_calendar(1900, 2300), "none": calendar.Calendar(()), "pause": calendar.Calendar((*long_pause, dt.date(2026, 5, 30)))}
+
+
+def test_calendar_over_any_date(spark):
+    starts = [dt.date(1, 3, 1), dt.date(1582, 10, 1), dt.date(1899, 12, 15), dt.date(1900, 2, 20), dt.date(2024, 12, 1), dt.date(2100, 2, 25), dt.date(2300, 12, 1), dt.date(2301, 1, 1), dt.date(9998, 12, 1)]
+    days = [d + dt.timedelta(days=i) for d in starts for i in range(60)]
+    df = spark.createDataFrame([(d,) for d in sorted(set(days))], "d date")
+    for cal in _calendars().values():
+        listed = set(cal.holidays)
+
+        def is_open(d, listed=listed):
+            return d.weekday() < 5 and d not in listed
+
+        day = F.col("d")
+        columns = [cal.index(day).alias("i"), cal.is_open(day).alias("o"), cal.next_open(day).alias("n")]
+        rows = {r.d: r for r in df.select("d", *columns).collect()}
+        windows = {}
+        for r in calendar.fixing_window(df.selectExpr("d", "3 AS n", "5 AS lag"), "d", "n", "lag", cal, "day").collect():
+            windows.setdefault(r.d, []).append(r.day)
+        for first in starts:
+            base = rows[first].i - is_open(first)
+            seen = []
+            for i in range(60):
+                d = first + dt.timedelta(days=i)
+                seen += [d] if is_open(d) else []
+                r = rows[d]
+                assert (r.o, r.i) == (is_open(d), base + len(seen)), d
+                following = d
+                while not is_open(following):
+                    following += dt.timedelta(days=1)
+                assert r.n == following
+                if len(seen) > 8:
+                    assert windows[d] == seen[-8:-5]
+
+
+def test_calendar_of_nulls(spark):
+    cal = _calendars()["national"]
+    row = spark.sql("SELECT CAST(NULL AS DATE) AS d, 2 AS n, 0 AS lag").withColumn("a", cal.index(F.col("d"))).withColumn("o", cal.is_open(F.col("d")))
+    assert row.first()[-2:] == (None, None)
+    assert calendar.fixing_window(row, "d", "n", "lag", cal, "day").select("day").collect() == [(None,), (None,)]
+    assert calendar.is_business_day(row, "d", cal, "x").first().x is None
+
+
 def _call_spread(**changes):
     doc = {
         "common": {"issuerAccount": "40001", "commercialName": "A note", "issueDate": "2026-09-01", "maturityDate": "2028-09-01",
