@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strikebook.llm.decontaminate import Bits
-from strikebook.llm.shared import table, written
+from strikebook.llm.shared import integer_key, table, written
 
 FAN, LEVELS = 8, 3
 BLOCK = FAN**LEVELS
@@ -354,6 +354,7 @@ def manifest(
 ) -> DataFrame:
     """A row per document: key, leaf, subroot, root, the digest of its path, the root folded from the row as it is
     now (tampered or not), whether that equals the root, and the path itself (left and right siblings by level)."""
+    integer_key(docs, key)
     thin = written(leaves(docs, key, group, text, columns), "leaves")
     steps, subroots = reduced(placed(thin))
     subroots = written(subroots.select(F.col("tree").alias("key"), F.col("root").alias("leaf")), "subroots")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strikebook.llm.decontaminate import words_of
 from strikebook.llm.decontaminate import _BYTES as LOWER_WORDS
-from strikebook.llm.shared import table, written
+from strikebook.llm.shared import integer_key, table, written
 from strikebook.llm.shingles import word_hashes
 
 TOP, BLOCK_TERMS, SLICE_CELLS, CHUNK_BYTES, SALTS = 50, 1 << 16, 1 << 22, 1 << 20, 32
@@ -210,6 +210,7 @@ def ranked(
     k: int = TOP, block_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """For each item its ``k`` best documents: item, rank, key, score."""
+    integer_key(docs, key)
     spark = docs.sparkSession
     names = items.select(F.lit(0).alias("item"), F.col(item).alias("name")).schema
     out = None

@@ -51,3 +51,10 @@ def carried(columns: list[str], results: tuple[str, ...], needed: tuple[str, ...
     """The input's columns that stay: all but those named like a result, in any case."""
     taken = {r.lower() for r in results}
     return [c for c in columns if c in needed or c.lower() not in taken]
+
+
+def integer_key(df: DataFrame, key: str) -> None:
+    """Refuses keys that are no integers before any work is done."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be an integer column, not {kind}")

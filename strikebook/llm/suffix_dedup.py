@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strikebook.llm.run_index import repeated_windows
-from strikebook.llm.shared import carried, table, written
+from strikebook.llm.shared import carried, integer_key, table, written
 from strikebook.llm.shingles import byte_sums, mixed, range_hashes
 
 SIZE, ANCHOR = 100, 32
@@ -256,6 +256,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
 
     ``with_text`` adds the remaining text as kept_text; bytes of characters that were cut apart are left out.
     """
+    integer_key(docs, key)
     own = [c for c in carried(docs.columns, (*RESULTS, "removed", "kept_text"), (key,)) if c != text]
     ranges = written(removed_ranges(_keyed(docs, key, text)), "ranges", release=True)
     spans = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))

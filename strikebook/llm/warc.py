@@ -7,18 +7,22 @@ response, the others are revisit records that refer to it. The join on digests c
 a digest that holds many rows is a join key that Spark splits at run time.
 
 The reader decompresses in small steps, takes the members one after another, frames each block by its
-Content-Length, and compares block and payload digests.
+Content-Length, and compares block and payload digests. It reads any archive of one member per record: record ids
+are text, page ids follow from ids of the form ``urn:page:7``; digests may be SHA-1, SHA-256, SHA-512 or MD5 in base32 or hex,
+others are not compared.
 
 Defined cases: a null html is an empty payload. Rows that repeat the largest key of a group are all
 responses. A null key ranks below all others; if all keys of a group are null, all are responses. A null
 url is written as an empty target. An empty table gives no archives. A damaged record gives a row whose
-``problem`` says what is wrong; after broken compression the rest of that archive can't be read.
+``problem`` says what is wrong, and the next record is read; after broken compression the rest of that archive
+can't be. Keys are integers; other keys are refused. Columns of other names are not carried.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikebook.llm.shared import table, written
+from strikebook.llm.shared import integer_key, table, written
 
 ARCHIVE_BYTES, STEP = 8_000_000, 1 << 16
 DATE = "2000-01-01T00:00:00Z"
@@ -39,6 +43,20 @@ def bare_digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+#: Digests the reader compares.
+DIGESTS = ("sha1", "sha256", "sha512", "md5")
+
+
+def digest_differs(said: str, data: bytes) -> bool:
+    """Whether a labelled digest is known and not that of the data."""
+    label, _, value = said.partition(":")
+    name = label.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        return False
+    raw = hashlib.new(name, data).digest()
+    return value.strip().lower().rstrip("=") not in (raw.hex(), base64.b32encode(raw).decode().lower().rstrip("="))
+
+
 def record_bytes(kind: str, record_id: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as one gzip member."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}"]
@@ -64,6 +82,7 @@ def page_record(key: object, url: str | None, payload: bytes, refers_to: object,
 
 def referred(pages: DataFrame, key: str, url: str, html: str, least: int) -> DataFrame:
     """key, url, payload, refers_to, revisit: the last two from the groups of equal payloads."""
+    integer_key(pages, key)
     rows = pages.select(
         F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
@@ -134,20 +153,25 @@ def parsed(member: bytes) -> dict:
     problem = ""
     if len(block) < int(length) or rest[int(length) :] != b"\r\n\r\n":
         problem = "the block does not end where its length says"
-    elif (said := headers.get("warc-block-digest")) and said != f"sha1:{bare_digest(block)}":
+    elif digest_differs(headers.get("warc-block-digest", ""), block):
         problem = "block digest differs"
     return {"headers": headers, "block": block, "problem": problem}
 
 
-RECORD = "archive string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
+RECORD = "archive string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_id string, payload binary, problem string"
 
 
 def records(files: DataFrame, archive: str = "archive", content: str = "content") -> DataFrame:
     """A row per response or revisit record in ``files``; revisits have no payload."""
 
-    def page(uri: str) -> int | None:
-        tail = uri.strip("<>").rpartition(":")[2]
-        return None if tail in ("none", "") else int(tail)
+    def bare(uri: str | None) -> str | None:
+        return uri.strip("<> ") if uri is not None else None
+
+    def page(uri: str | None) -> int | None:
+        """The key in a record id of our own archives."""
+        found = re.fullmatch(r"urn:page:(-?[0-9]{1,19})", bare(uri) or "")
+        key = int(found[1]) if found else None
+        return key if key is not None and -(1 << 63) <= key < 1 << 63 else None
 
     def row(name: str, found: dict) -> dict | None:
         headers, problem = found["headers"], found["problem"]
@@ -155,23 +179,23 @@ def records(files: DataFrame, archive: str = "archive", content: str = "content"
         if kind not in ("response", "revisit") and not problem:
             return None
         http, _, payload = found["block"].partition(b"\r\n\r\n")
-        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        if kind == "response" and not problem and bare_digest(payload) != digest:
+        labelled = headers.get("warc-payload-digest", "")
+        if kind == "response" and not problem and digest_differs(labelled, payload):
             problem = "payload digest differs"
         said = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        n_bytes = int(said[0]) if said else len(payload)
+        n_bytes = int(said[0]) if said and said[0].strip().isdigit() else len(payload)
         if kind == "response" and not problem and n_bytes != len(payload):
             problem = "payload is not as long as it says"
         return {
-            "archive": name, "page_id": page(headers.get("warc-record-id", "")), "url": headers.get("warc-target-uri"),
-            "payload_bytes": n_bytes, "payload_digest": digest, "record_type": kind,
-            "refers_to": page(headers.get("warc-refers-to", "")), "payload": payload if kind == "response" else None, "problem": problem,
+            "archive": name, "record_id": bare(headers.get("warc-record-id")), "page_id": page(headers.get("warc-record-id")),
+            "url": headers.get("warc-target-uri"), "payload_bytes": n_bytes, "payload_digest": labelled.removeprefix("sha1:"), "record_type": kind,
+            "refers_to": page(headers.get("warc-refers-to")), "refers_to_id": bare(headers.get("warc-refers-to")), "payload": payload if kind == "response" else None, "problem": problem,
         }
 
     types = pa.schema(
         [
-            ("archive", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-            ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("problem", pa.string()),
+            ("archive", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+            ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload", pa.binary()), ("problem", pa.string()),
         ]
     )
 
