@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikebook.operators.asof import asof
@@ -23,35 +26,69 @@ def daily_rate(annual: Column) -> Column:
     return F.pow(annual.cast("double") / 100 + 1, F.lit(1 / 252)) - 1
 
 
+def _with_ranks(notes: DataFrame, days: list[dt.date], start: str, end: str) -> DataFrame:
+    """``_from`` and ``_to``: rated days before each date. Dates before the first and after the last rated day are clamped."""
+    spark = notes.sparkSession
+    first, last = days[0], days[-1] + dt.timedelta(days=1)
+    dates = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+    ranks = spark.createDataFrame([(d, bisect.bisect_left(days, d)) for d in dates], "_day date, _rank int")
+    for column, out in ((start, "_from"), (end, "_to")):
+        clamped = F.least(F.greatest(F.col(column), F.lit(first)), F.lit(last))
+        side = ranks.select(F.col("_day").alias(f"_{column}"), F.col("_rank").alias(out))
+        notes = notes.withColumn(f"_{column}", F.when(F.col(column).isNotNull(), clamped)).join(F.broadcast(side), f"_{column}", "left").drop(f"_{column}")
+    return notes
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A list of numbers as one folded array."""
+    return F.split(F.lit(";".join(map(str, values))), ";").cast(f"array<{kind}>")
+
+
 def di_factor(
     notes: DataFrame, rates: DataFrame, start: str, end: str, pct: str, out: str, rounding: str = "none"
 ) -> DataFrame:
     """Accumulated DI factor at a percentage over the rated days from ``start`` to before ``end``.
 
-    Notes that share window and percentage share one answer, so the days are expanded per distinct
-    (window, percentage), not per note. ``rounding='none'`` multiplies freely; ``'handbook'``
-    rounds the daily rate and, in date order, every accumulated step to 8 decimals.
+    The rated days, at most one a day, come to the driver and into the plan. ``rounding='none'`` multiplies freely:
+    running sums of logarithms per distinct percentage and rated day, of which each note takes two. ``'handbook'``
+    rounds the daily rate and, in date order, every accumulated step to 8 decimals: one pass over the days for all
+    windows of a start and percentage. Without both dates, or a rated day between them, the factor is one.
     """
-    keys = [start, end, pct]
-    wanted = notes.select(*keys).distinct()
-    days = F.when(F.col(start) < F.col(end), F.sequence(F.col(start), F.date_sub(end, 1)))
-    expanded = wanted.withColumn("rate_date", F.explode(days)).join(rates.select("rate_date", "rate"), "rate_date")
-    tdi = daily_rate(F.col("rate"))
-    if rounding == "none":
-        step = F.log1p(tdi * F.col(pct).cast("double") / 100)
-        factors = expanded.groupBy(*keys).agg(F.exp(F.sum(step)).alias("_f"))
-        value = F.coalesce("_f", F.lit(1.0))
-    elif rounding == "handbook":
-        step = 1 + _rounded(tdi, DAILY_DECIMALS) * F.col(pct).cast("decimal(9,4)") / 100
-        ordered = F.array_sort(F.collect_list(F.struct("rate_date", step.cast("decimal(20,14)").alias("x"))))
-        one = F.lit(1).cast("decimal(18,8)")
-        # One element per day of the window: bounded by the calendar, not by the notes.
-        folded = F.aggregate(ordered, one, lambda acc, d: F.round(acc * d["x"], DI_DECIMALS).cast("decimal(18,8)"))
-        factors = expanded.groupBy(*keys).agg(folded.alias("_f"))
-        value = F.coalesce("_f", one)
-    else:
+    if rounding not in ("none", "handbook"):
         raise ValueError(f"unknown rounding {rounding!r}")
-    return notes.join(factors, keys, "left").withColumn(out, value).drop("_f")
+    exact = rounding == "handbook"
+    one = F.lit(1).cast("decimal(18,8)") if exact else F.lit(1.0)
+    tdi = daily_rate(F.col("rate"))
+    rated = rates.where("rate is not null").select("rate_date", _rounded(tdi, DAILY_DECIMALS) if exact else tdi).orderBy("rate_date").collect()
+    if not rated:
+        return notes.withColumn(out, one)
+    ranked = _with_ranks(notes, [r[0] for r in rated], start, end)
+    if not exact:
+        step = F.log1p(F.col("_tdi") * F.col(pct).cast("double") / 100)
+        up_to = Window.partitionBy(pct).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        each = ranked.select(pct).distinct().select(pct, F.posexplode(_literal([r[1] for r in rated], "double")).alias("_rank", "_tdi"))
+        sums = each.select(pct, (F.col("_rank") + 1).alias("_rank"), F.sum(step).over(up_to).alias("_s"))
+        for rank, name in (("_from", "_s0"), ("_to", "_s1")):
+            side = sums.select(pct, F.col("_rank").alias(rank), F.col("_s").alias(name))
+            ranked = ranked.join(side, [pct, rank], "left")
+        grown = F.exp(F.coalesce("_s1", F.lit(0.0)) - F.coalesce("_s0", F.lit(0.0)))
+        value = F.when((F.col("_from") < F.col("_to")) & F.col(pct).isNotNull(), grown).otherwise(one)
+        return ranked.withColumn(out, value).drop("_from", "_to", "_s0", "_s1")
+    wanted = ranked.where("_from < _to").groupBy("_from", pct).agg(F.sort_array(F.collect_set("_to")).alias("_ends"))
+    days = _literal([r[1] for r in rated], f"decimal(18,{DAILY_DECIMALS})")
+    own = F.slice(days, F.col("_from") + 1, F.element_at("_ends", -1) - F.col("_from"))
+    share = F.col(pct).cast("decimal(9,4)")
+    begin = F.struct(one.alias("f"), F.col("_from").alias("at"), F.array().cast("array<decimal(18,8)>").alias("found"))
+
+    def grow(state: Column, rate: Column) -> Column:
+        f = F.round(state["f"] * (1 + rate * share / 100).cast("decimal(20,14)"), DI_DECIMALS).cast("decimal(18,8)")
+        at = state["at"] + 1
+        found = F.when(F.array_contains("_ends", at), F.concat(state["found"], F.array(f))).otherwise(state["found"])
+        return F.struct(f.alias("f"), at.alias("at"), found.alias("found"))
+
+    found = wanted.select("_from", pct, F.explode(F.arrays_zip(F.col("_ends").alias("e"), F.aggregate(own, begin, grow)["found"].alias("f"))).alias("_x"))
+    factors = found.select("_from", pct, F.col("_x")["e"].alias("_to"), F.col("_x")["f"].alias("_f"))
+    return ranked.join(factors, ["_from", pct, "_to"], "left").withColumn(out, F.coalesce("_f", one)).drop("_from", "_to", "_f")
 
 
 def pre_factor(rate_pct: Column, business_days: Column) -> Column:

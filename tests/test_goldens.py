@@ -2,7 +2,7 @@
 
 import datetime as dt
 import json
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +111,30 @@ def test_accrual_examples(spark):
     assert round(one(spark, x=accrual.pre_factor(F.lit(12), F.lit(378)))["x"], 4) == 1.1853
 
 
+def test_di_factor_over_all_windows(spark):
+    days = [dt.date(2024, 1, 2) + dt.timedelta(days=i) for i in range(40) if i % 7 < 5]
+    annual = {d: 10 + i % 4 for i, d in enumerate(days)}
+    rates = spark.createDataFrame([(d, float(r)) for d, r in annual.items()], "rate_date date, rate double")
+    ends = [None, *[dt.date(2023, 12, 20) + dt.timedelta(days=3 * i) for i in range(22)]]
+    windows = [(a, b, p) for a in ends for b in ends for p in (Decimal("90"), Decimal("110.5"), None)]
+    notes = spark.createDataFrame(windows, "a date, b date, p decimal(9,4)")
+    free = {(r.a, r.b, r.p): r.f for r in accrual.di_factor(notes, rates, "a", "b", "p", "f").collect()}
+    cut = {(r.a, r.b, r.p): r.f for r in accrual.di_factor(notes, rates, "a", "b", "p", "f", "handbook").collect()}
+    eight = Decimal("1e-8")
+    for a, b, p in windows:
+        f, g = 1.0, Decimal(1)
+        for d in days if a and b and p is not None else []:
+            if a <= d < b:
+                tdi = (1 + annual[d] / 100) ** (1 / 252) - 1
+                f *= 1 + tdi * float(p) / 100
+                step = 1 + Decimal(tdi).quantize(eight, ROUND_HALF_UP) * p / 100
+                g = (g * step.quantize(Decimal("1e-14"), ROUND_HALF_UP)).quantize(eight, ROUND_HALF_UP)
+        key = (a, b, None if p is None else p.quantize(Decimal("1e-4")))
+        assert abs(free[key] - f) < 1e-13 and cut[key] == g
+    none = accrual.di_factor(notes, rates.where("false"), "a", "b", "p", "f", "handbook")
+    assert {r.f for r in none.collect()} == {Decimal(1)}
+
+
 def test_truth_regimes(spark):
     missing = F.lit(None).cast("int")
     row = one(
