@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strikebook.functions.exact import FACTOR, MONEY, at_least, factor, money, percent, ratio, share, times
 from strikebook.functions.truth import largest, smallest
+from strikebook.operators.calendar import Calendar
 
 
 def one() -> Column:
@@ -165,17 +166,50 @@ def layered_accrual(counts: DataFrame, layers: int) -> DataFrame:
 
 # Paths
 
-def observations(notes: DataFrame, fixings: DataFrame, start: str, end: str, step_days: int) -> DataFrame:
+def registered_schedule(schedule: DataFrame, calendar: Calendar | None = None) -> DataFrame:
+    """Rows (note_id, scheduled_on, ...) numbered in the order of the schedule, with ``n_obs`` and the rolled ``obs_date``.
+
+    A row may bring its own trigger_pct, coupon_pct (what a coupon needs) and lower_pct (what protects the principal).
+    """
+    numbered = schedule.withColumns(
+        {
+            "obs_no": F.row_number().over(_note().orderBy("scheduled_on")),
+            "n_obs": F.count("*").over(_note()),
+        }
+    )
+    day = F.col("scheduled_on")
+    return numbered.withColumn("obs_date", day if calendar is None else calendar.next_open(day))
+
+
+def observations(
+    notes: DataFrame, fixings: DataFrame, start: str, end: str, step_days: int, calendar: Calendar | None = None,
+    as_of: Column | None = None,
+) -> DataFrame:
     """The registered observation dates of each note with their numbers and fixings.
 
-    Numbers and their count come from the schedule. A date without a fixing, past or future, stays as a row
-    with a null price: it is open.
+    Numbers and their count come from the schedule; dates that are no business days roll to the following one. A
+    note's ``step_down`` lowers its trigger from one date to the next.
     """
     days = F.sequence(F.col(start), F.col(end), F.expr(f"interval {step_days} day"))
-    dated = notes.withColumn("n_obs", F.size(days).cast("long")).select("*", F.posexplode(days).alias("_at", "obs_date"))
-    dated = dated.withColumn("obs_no", F.col("_at") + 1).drop("_at")
+    dated = notes.withColumn("n_obs", F.size(days).cast("long")).select("*", F.posexplode(days).alias("_at", "scheduled_on"))
+    dated = dated.withColumn("obs_no", F.col("_at") + 1)
+    if "step_down" in notes.columns:
+        lowered = F.col("trigger_pct") - F.col("step_down") * F.col("_at")
+        dated = dated.withColumn("trigger_pct", lowered.cast("decimal(9,4)"))
+    day = F.col("scheduled_on")
+    dated = dated.drop("_at").withColumn("obs_date", day if calendar is None else calendar.next_open(day))
+    return observed(dated, fixings, as_of)
+
+
+def observed(schedule: DataFrame, fixings: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The schedule with prices and states: fixed, open, or unresolved where ``as_of`` is past a date without a fixing.
+
+    Without ``as_of`` all dates without a fixing are open.
+    """
     closes = fixings.select("asset", F.col("fixing_date").alias("obs_date"), F.col("close").alias("price"))
-    return dated.join(closes, ["asset", "obs_date"], "left")
+    past = F.lit(False) if as_of is None else F.coalesce(F.col("obs_date") <= as_of, F.lit(False))
+    state = F.when(F.col("price").isNotNull(), "fixed").when(past, "unresolved").otherwise("open")
+    return schedule.join(closes, ["asset", "obs_date"], "left").withColumn("state", state)
 
 
 def _note() -> Window:
@@ -194,18 +228,30 @@ def observation_no(obs: DataFrame) -> DataFrame:
     )
 
 
+def _coupon_barrier(obs: DataFrame) -> Column:
+    """What a coupon needs; notes that register one level use it for the principal too."""
+    return F.coalesce("coupon_pct", "lower_pct") if "coupon_pct" in obs.columns else F.col("lower_pct")
+
+
 def first_trigger(numbered: DataFrame) -> DataFrame:
-    """First observation at or above its trigger; later observations are cut."""
+    """First observation at or above its trigger; later observations are cut.
+
+    An unresolved date before it leaves open whether the note lives on: it is the last row, named in ``gap_no``.
+    """
     hit = at_least(F.col("price"), F.col("trigger_pct"), F.col("s0"))
     called = F.min(F.when(hit, F.col("obs_no"))).over(_note())
-    return numbered.withColumn("called_no", called).filter(
-        F.col("called_no").isNull() | (F.col("obs_no") <= F.col("called_no"))
-    )
+    unresolved = F.col("state") == "unresolved" if "state" in numbered.columns else F.lit(False)
+    gap = F.min(F.when(unresolved, F.col("obs_no"))).over(_note())
+    df = numbered.withColumns({"called_no": called, "gap_no": gap})
+    stop = F.least("called_no", "gap_no")
+    df = df.where(stop.isNull() | (F.col("obs_no") <= stop))
+    before = F.coalesce(F.col("gap_no") < F.col("called_no"), F.col("gap_no").isNotNull())
+    return df.withColumns({"called_no": F.when(~before, F.col("called_no")), "gap_no": F.when(before, F.col("gap_no"))})
 
 
 def coupon_memory(numbered: DataFrame) -> DataFrame:
     """Coupons missed since the last paid one; a paid coupon clears them."""
-    paid = at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
+    paid = at_least(F.col("price"), _coupon_barrier(numbered), F.col("s0"))
     earlier = _note().orderBy("obs_no").rowsBetween(Window.unboundedPreceding, -1)
     last_paid = F.coalesce(F.max(F.when(paid, F.col("obs_no"))).over(earlier), F.lit(0))
     return numbered.withColumn("paid", paid).withColumn("missed", F.col("obs_no") - 1 - last_paid)
@@ -216,11 +262,10 @@ def athena(obs: DataFrame) -> DataFrame:
 
     At maturity the branches are tried in order: trigger, protection, loss. Where a trigger other
     than 100% leaves a gap or an overlap, "not triggered and at or above the barrier" is protected.
-    A note whose last date has no fixing is open: its redemption is null.
+    A note whose last date has no fixing yet, or that has an unresolved date, has no redemption; ``reason`` says which.
     """
-    exits = first_trigger(observation_no(obs)).filter(
-        (F.col("obs_no") == F.col("called_no")) | (F.col("called_no").isNull() & (F.col("obs_no") == F.col("n_obs")))
-    )
+    ends = F.coalesce("called_no", "gap_no", F.col("n_obs"))
+    exits = first_trigger(observation_no(obs)).filter(F.col("obs_no") == ends)
     perf = ratio(F.col("price"), F.col("s0")) - 1
     protected = (F.col("modality") == "VNP") | at_least(F.col("price"), F.col("lower_pct"), F.col("s0"))
     multiple = (
@@ -229,13 +274,21 @@ def athena(obs: DataFrame) -> DataFrame:
         .when(protected, one())
         .otherwise(1 + perf)
     )
-    return exits.withColumn("redemption", money(F.col("vn"), multiple)).withColumn(
-        "early", F.col("called_no").isNotNull() & (F.col("called_no") < F.col("n_obs"))
+    reason = F.when(F.col("gap_no").isNotNull(), "unresolved").when(F.col("price").isNull(), "open")
+    return exits.withColumns(
+        {
+            "redemption": money(F.col("vn"), multiple),
+            "early": F.col("called_no").isNotNull() & (F.col("called_no") < F.col("n_obs")),
+            "reason": reason,
+        }
     )
 
 
 def phoenix(obs: DataFrame) -> DataFrame:
-    """Cash flows of notes with conditional coupons and memory: one row per payment; open dates pay nothing yet."""
+    """Cash flows of notes with conditional coupons and memory: one row per payment; open dates pay nothing yet.
+
+    An unresolved date is a row without an amount, and the note's last.
+    """
     alive = first_trigger(coupon_memory(observation_no(obs)))
     last = F.coalesce("called_no", F.col("n_obs"))
     early = F.col("called_no").isNotNull() & (F.col("called_no") < F.col("n_obs"))
@@ -257,7 +310,10 @@ def phoenix(obs: DataFrame) -> DataFrame:
             .alias("amount"),
         ),
     )
-    flows = alive.withColumn("_flow", F.explode(F.array_compact(F.array(coupon, principal))))
+    unknown = F.when(
+        F.col("obs_no") == F.col("gap_no"), F.struct(F.lit("unresolved").alias("kind"), F.lit(None).cast(MONEY).alias("amount"))
+    )
+    flows = alive.withColumn("_flow", F.explode(F.array_compact(F.array(coupon, principal, unknown))))
     return flows.select("note_id", "obs_no", "obs_date", "_flow.kind", "_flow.amount")
 
 

@@ -233,8 +233,8 @@ def save_outcomes(spark, sf):
 
 UPSERT_FRAMES = """
 t AS (SELECT note_id, issue_date AS changed_on, notional FROM {book} b WHERE status <> 'Draft'),
-c AS (SELECT note_id, min(payment_date) AS changed_on, CAST(sum(amount) AS DECIMAL(28,8)) AS notional
-      FROM {note_rows} r WHERE note_id % 2 = 0 GROUP BY note_id, row_no)"""
+c AS (SELECT CASE WHEN note_id % 2 = 0 THEN note_id ELSE -note_id END AS note_id, min(payment_date) AS changed_on, CAST(sum(amount) AS DECIMAL(28,8)) AS notional
+      FROM {note_rows} r GROUP BY note_id, row_no)"""
 
 
 def _stored_and_changes(spark, sf):

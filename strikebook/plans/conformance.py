@@ -295,7 +295,8 @@ def collect_values(spark, sf):
 
 
 PROSE = "SELECT l_orderkey * 8 + l_linenumber AS row_id, p_brand AS figure_code, concat(upper(p_name), '!') AS value FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
-OFFERS = "SELECT p_brand AS figure_code, p_name AS label, CAST(p_size % 3 AS INT) AS layer, p_partkey AS pos, concat('enum', CAST(p_partkey % 200 AS STRING)) AS enum FROM {part} WHERE p_size % 2 = 0"
+# Every part offers an option; every second one under a label that no prose quotes.
+OFFERS = "SELECT p_brand AS figure_code, CASE WHEN p_size % 2 = 0 THEN p_name ELSE concat(p_name, ' other') END AS label, CAST(p_size % 3 AS INT) AS layer, p_partkey AS pos, concat('enum', CAST(p_partkey % 200 AS STRING)) AS enum FROM {part}"
 
 
 @registry.add(

@@ -253,7 +253,9 @@ FROM {terms} AS t
 """
 
 # Autocallable notes: a fixed starting price, observed every third day of the window.
-FRAMES["autocalls"] = "SELECT t.*, CAST(120 + note_id % 30 AS DECIMAL(18,8)) AS s0 FROM {terms} AS t"
+# The trigger of some falls from date to date, and coupons have a barrier of their own.
+FRAMES["autocalls"] = """SELECT t.*, CAST(120 + note_id % 30 AS DECIMAL(18,8)) AS s0, CAST(note_id % 4 AS DECIMAL(9,4)) AS step_down,
+ CAST(lower_pct + note_id % 6 AS DECIMAL(9,4)) AS coupon_pct FROM {terms} AS t"""
 
 # What follows is written for DuckDB alone: the same rows the operators build.
 # Every day that a note of this or the next generation can name; K7 reports years beyond.
@@ -280,10 +282,12 @@ FROM {barriers} t JOIN {d_fixings} f ON f.asset = t.asset AND f.fixing_date BETW
 """
 
 FRAMES["d_observations"] = """
-SELECT s.*, f.close AS price
-FROM (SELECT t.*, t.scheduled_on AS obs_date
+SELECT s.* EXCLUDE (trigger_pct), CAST(trigger_pct - step_down * (obs_no - 1) AS DECIMAL(9,4)) AS trigger_pct, f.close AS price,
+       CASE WHEN f.close IS NOT NULL THEN 'fixed' WHEN s.obs_date <= (SELECT max(CAST(ts AS DATE)) FROM {events}) THEN 'unresolved' ELSE 'open' END AS state
+FROM (SELECT t.*, cal.next_bd AS obs_date
       FROM (SELECT *, CAST(start_date + CAST(3 * k AS INT) AS DATE) AS scheduled_on, k + 1 AS obs_no, count(*) OVER (PARTITION BY note_id) AS n_obs
-            FROM (SELECT a.*, unnest(range(0, (a.end_date - a.start_date) // 3 + 1)) AS k FROM {autocalls} a) u) t) s
+            FROM (SELECT a.*, unnest(range(0, (a.end_date - a.start_date) // 3 + 1)) AS k FROM {autocalls} a) u) t
+      JOIN {d_calendar} cal ON cal.day = t.scheduled_on) s
 LEFT JOIN {d_fixings} f ON f.asset = s.asset AND f.fixing_date = s.obs_date
 """
 

@@ -372,7 +372,11 @@ def scenario_table(spark, sf):
 # Paths
 
 def watched(spark, sf):
-    return payoffs.observations(frame(spark, sf, "autocalls"), daily(spark, sf), "start_date", "end_date", 3)
+    """Observations up to the last day that has ticks."""
+    last = frame(spark, sf, "ticks").agg(F.max("fixing_date")).first()[0]
+    return payoffs.observations(
+        frame(spark, sf, "autocalls"), daily(spark, sf), "start_date", "end_date", 3, brazil(spark), F.lit(last)
+    )
 
 
 @registry.add("E5_observation_no", "SELECT note_id, obs_date, CAST(obs_no AS INT) AS obs_no, n_obs FROM {d_observations} o")
@@ -383,10 +387,12 @@ def observation_no(spark, sf):
 MEMORY = """
 SELECT *, obs_no - 1 - coalesce(max(CASE WHEN paid THEN obs_no END)
    OVER (PARTITION BY note_id ORDER BY obs_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missed
-FROM (SELECT *, price * 100 >= s0 * lower_pct AS paid, price * 100 >= s0 * trigger_pct AS hit FROM {d_observations} o) f"""
+FROM (SELECT *, price * 100 >= s0 * coupon_pct AS paid, price * 100 >= s0 * lower_pct AS kept, price * 100 >= s0 * trigger_pct AS hit FROM {d_observations} o) f"""
 ALIVE = f"""
-SELECT * FROM (SELECT *, min(CASE WHEN hit THEN obs_no END) OVER (PARTITION BY note_id) AS called_no FROM ({MEMORY}) m) a
-WHERE called_no IS NULL OR obs_no <= called_no"""
+SELECT * EXCLUDE (called, gap), CASE WHEN gap IS NULL OR called < gap THEN called END AS called_no, CASE WHEN called IS NULL OR gap < called THEN gap END AS gap_no
+FROM (SELECT *, min(CASE WHEN hit THEN obs_no END) OVER (PARTITION BY note_id) AS called,
+   min(CASE WHEN state = 'unresolved' THEN obs_no END) OVER (PARTITION BY note_id) AS gap FROM ({MEMORY}) m) a
+WHERE obs_no <= least(coalesce(called, 1000000), coalesce(gap, 1000000))"""
 
 
 @registry.add("E6_coupon_memory", f"SELECT note_id, obs_date, paid, CAST(missed AS INT) AS missed FROM ({MEMORY}) m")
@@ -409,11 +415,12 @@ def first_trigger(spark, sf):
     f"""
 SELECT note_id, obs_date, coalesce(called_no < n_obs, false) AS early,
        {paid(f'''CASE WHEN called_no IS NOT NULL THEN 1 + {COUPON} * obs_no WHEN price IS NULL THEN NULL
-                 WHEN modality = 'VNP' OR paid THEN 1 ELSE 1 + {exact_change('price', 's0', 16)} END''')} AS redemption
-FROM ({ALIVE}) a WHERE obs_no = coalesce(called_no, n_obs)""",
+                 WHEN modality = 'VNP' OR kept THEN 1 ELSE 1 + {exact_change('price', 's0', 16)} END''')} AS redemption,
+       CASE WHEN gap_no IS NOT NULL THEN 'unresolved' WHEN price IS NULL THEN 'open' END AS reason
+FROM ({ALIVE}) a WHERE obs_no = coalesce(called_no, gap_no, n_obs)""",
 )
 def athena(spark, sf):
-    return payoffs.athena(watched(spark, sf)).select("note_id", "obs_date", "early", "redemption")
+    return payoffs.athena(watched(spark, sf)).select("note_id", "obs_date", "early", "redemption", "reason")
 
 
 PHOENIX = f"""
@@ -421,9 +428,11 @@ SELECT note_id, CAST(obs_no AS INT) AS obs_no, obs_date, 'coupon' AS kind,
        {paid(f"{COUPON} * (1 + missed)")} AS amount FROM ({ALIVE}) a WHERE paid
 UNION ALL
 SELECT note_id, CAST(obs_no AS INT), obs_date, CASE WHEN called_no < n_obs THEN 'early redemption' ELSE 'maturity' END,
-       CASE WHEN called_no IS NOT NULL OR paid THEN vn
+       CASE WHEN called_no IS NOT NULL OR kept THEN vn
             ELSE {paid(f"1 + {exact_change('price', 's0', 16)}")} END
-FROM ({ALIVE}) b WHERE obs_no = coalesce(called_no, n_obs) AND price IS NOT NULL"""
+FROM ({ALIVE}) b WHERE obs_no = coalesce(called_no, n_obs) AND price IS NOT NULL
+UNION ALL
+SELECT note_id, CAST(obs_no AS INT), obs_date, 'unresolved', NULL FROM ({ALIVE}) c WHERE obs_no = gap_no"""
 
 
 @registry.add("N8_phoenix", PHOENIX)

@@ -75,8 +75,8 @@ def stream_barrier(spark, sf):
 def stream_autocall(spark, sf):
     arrivals, path, checkpoint = scratch(spark, "observed"), scratch(spark, "autocall"), scratch(spark, "autocall-state")
     numbered = payoffs.observation_no(watched(spark, sf)).select(
-        "note_id", "obs_date", F.col("obs_no").cast("int").alias("obs_no"), "price", "s0", "trigger_pct", "lower_pct", "coupon", "vn", F.col("n_obs").cast("int").alias("n_obs")
-    ).where("price is not null")
+        "note_id", "obs_date", F.col("obs_no").cast("int").alias("obs_no"), "price", "state", "s0", "trigger_pct", "coupon_pct", "lower_pct", "coupon", "vn", F.col("n_obs").cast("int").alias("n_obs")
+    ).where("state <> 'open'")
     numbered.write.parquet(arrivals)
     stream = spark.readStream.schema(numbered.schema).parquet(arrivals)
     jobs.run(jobs.stream_autocall(stream), "append", checkpoint, jobs.keep(path))

@@ -81,14 +81,18 @@ def _note_flows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         if done:
             break
         seen = int(r.obs_no)
-        paid = r.price * 100 >= r.s0 * r.lower_pct
+        if r.state == "unresolved":
+            rows.append((key[0], seen, r.obs_date, "unresolved", None))
+            done = True
+            continue
+        paid = r.price * 100 >= r.s0 * r.coupon_pct
         called = r.price * 100 >= r.s0 * r.trigger_pct
         if paid:
             amount = r.vn * r.coupon / 100 * (seen - last_paid)
             rows.append((key[0], seen, r.obs_date, "coupon", amount.quantize(cent, ROUND_DOWN)))
             last_paid = seen
         if called or seen == r.n_obs:
-            kept = called or paid
+            kept = called or r.price * 100 >= r.s0 * r.lower_pct
             ratio = (r.price / r.s0).quantize(sixteen, ROUND_HALF_UP)
             amount = r.vn if kept else (r.vn * ratio).quantize(cent, ROUND_DOWN)
             kind = "early redemption" if called and seen < r.n_obs else "maturity"
@@ -102,7 +106,8 @@ def _note_flows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 def stream_autocall(observations: DataFrame) -> DataFrame:
     """Coupons and redemption as fixings arrive in the order of the schedule; a few numbers of state per note.
 
-    Each row brings its registered number, so a date without a fixing counts as missed, not as absent.
+    Each row brings its registered number, trigger and barriers. A row may say that a past date is unresolved; that
+    ends what can be said of the note.
     """
     return observations.groupBy("note_id").applyInPandasWithState(
         _note_flows, FLOWS, STATE, "append", GroupStateTimeout.NoTimeout

@@ -92,6 +92,38 @@ def test_open_observations(spark):
     assert [(f.obs_no, f.kind, int(f.amount)) for f in payoffs.phoenix(obs).collect()] == [(2, "coupon", 80)]
 
 
+def test_schedule_rolls_steps_down_and_names_gaps(spark):
+    """Saturday 6 January rolls to Monday; triggers fall by 5 a date; a past date without a fixing ends the note's story."""
+    day = dt.date(2024, 1, 3)
+    columns = "note_id long, asset string, start_date date, end_date date, s0 decimal(18,8), coupon decimal(9,4), vn decimal(18,2), modality string, trigger_pct decimal(9,4), step_down decimal(9,4), coupon_pct decimal(9,4), lower_pct decimal(9,4)"
+    terms = (day, day + dt.timedelta(9), Decimal(100), Decimal(4), Decimal(1000), "VNR", Decimal(100), Decimal(5), Decimal(90), Decimal(70))
+    notes = spark.createDataFrame([(1, "A", *terms), (2, "B", *terms), (3, "C", *terms)], columns)
+    days = {3: [80, 80, 95], 8: [94, None, 80], 9: [96, 99, 80], 12: [1, 1, 86]}
+    fixed = spark.createDataFrame(
+        [(a, dt.date(2024, 1, d), Decimal(p)) for d, prices in days.items() for a, p in zip("ABC", prices, strict=True) if p is not None],
+        "asset string, fixing_date date, close decimal(18,8)",
+    )
+    obs = payoffs.observations(notes, fixed, "start_date", "end_date", 3, calendar.national_calendar(2024, 2024), F.lit(dt.date(2024, 1, 12)))
+    dates = [(r.obs_date.day, int(r.trigger_pct)) for r in obs.where("note_id = 1").orderBy("obs_no").collect()]
+    assert dates == [(3, 100), (8, 95), (9, 90), (12, 85)]
+    got = {r.note_id: (r.obs_no, r.redemption, r.reason) for r in payoffs.athena(obs).collect()}
+    assert got == {1: (3, Decimal(1120), None), 2: (2, None, "unresolved"), 3: (4, Decimal(1160), None)}
+    flows = sorted((r.note_id, r.obs_no, r.kind, r.amount and int(r.amount)) for r in payoffs.phoenix(obs).collect())
+    assert flows == [
+        (1, 2, "coupon", 80), (1, 3, "coupon", 40), (1, 3, "early redemption", 1000), (2, 2, "unresolved", None),
+        (3, 1, "coupon", 40), (3, 4, "maturity", 1000),
+    ]
+    # the same dates before they have passed are open
+    early = payoffs.observed(obs.drop("price", "state"), fixed.where("false"), F.lit(dt.date(2024, 1, 1)))
+    assert {r.reason for r in payoffs.athena(early).collect()} == {"open"} and payoffs.phoenix(early).count() == 0
+
+
+def test_registered_schedule(spark):
+    rows = [(1, dt.date(2024, 1, 6)), (1, dt.date(2024, 1, 3)), (2, dt.date(2024, 1, 1))]
+    dated = payoffs.registered_schedule(spark.createDataFrame(rows, "note_id long, scheduled_on date"), calendar.national_calendar(2024, 2024))
+    assert sorted((r.note_id, r.obs_no, r.n_obs, r.obs_date.day) for r in dated.collect()) == [(1, 1, 2, 3), (1, 2, 2, 8), (2, 1, 1, 2)]
+
+
 def test_phoenix_memory(spark):
     flows = payoffs.phoenix(_observed(spark, [65, 75, 55], coupon=4)).orderBy("obs_no", "kind").collect()
     assert [(f.obs_no, f.kind, int(f.amount)) for f in flows] == [(2, "coupon", 80), (3, "maturity", 550)]

@@ -14,13 +14,13 @@ from strikebook.streaming import barriers, jobs
 def test_autocall_state_spans_batches(spark):
     levels = {1: [65, 75, 55], 2: [95, 102, 50], 3: [60, 60, 71]}
     rows = [
-        (n, dt.date(2024, 1, 1 + i), i + 1, Decimal(x), Decimal(100), Decimal(100), Decimal(70), Decimal(4), Decimal(1000), 3)
+        (n, dt.date(2024, 1, 1 + i), i + 1, Decimal(x), "fixed", Decimal(100), Decimal(100), Decimal(70), Decimal(70), Decimal(4), Decimal(1000), 3)
         for n, path in levels.items()
         for i, x in enumerate(path)
     ]
     schema = (
-        "note_id long, obs_date date, obs_no int, price decimal(18,8), s0 decimal(18,8), trigger_pct decimal(9,4), "
-        "lower_pct decimal(9,4), coupon decimal(9,4), vn decimal(18,2), n_obs int"
+        "note_id long, obs_date date, obs_no int, price decimal(18,8), state string, s0 decimal(18,8), trigger_pct decimal(9,4), "
+        "coupon_pct decimal(9,4), lower_pct decimal(9,4), coupon decimal(9,4), vn decimal(18,2), n_obs int"
     )
     obs = spark.createDataFrame(rows, schema)
     base = checkpoint_dir(spark, f"stream-test-{uuid.uuid4().hex}")
