@@ -146,17 +146,26 @@ def stream_exports(spark, sf):
     return out
 
 
+# Two arrivals: every figure's first file, then a later one of some, an older one of others and the same of the rest.
+DRAFTS = """SELECT p_partkey AS figure_code, concat('{"figureCode":', CAST(p_partkey AS STRING), ',"name":"', p_name, '"', CASE WHEN p_size % 7 = 0 THEN '' ELSE '}' END) AS content,
+ p_size % 7 <> 0 AS valid, CAST(DATE '2026-01-10' AS TIMESTAMP) AS modified FROM {part}"""
+REVISIONS = """SELECT p_partkey AS figure_code, concat('{"figureCode":', CAST(p_partkey AS STRING), ',"name":"', CASE WHEN p_size % 3 = 2 THEN p_name ELSE p_type END, '"', CASE WHEN p_size % 5 = 0 THEN '' ELSE '}' END) AS content,
+ p_size % 5 <> 0 AS valid, CAST(DATE '2026-01-01' + CAST(p_size % 3 * 10 AS INT) AS TIMESTAMP) AS modified FROM {part}"""
+
+
 @registry.add(
     "P2_stream_domain_files",
-    """SELECT figure_code, sha256(content) AS content_hash, CASE WHEN valid THEN 'published' ELSE 'quarantined' END AS outcome, CASE WHEN valid THEN 1 ELSE 0 END AS version
-FROM (SELECT p_partkey AS figure_code, concat('{"figureCode":', p_partkey, ',"name":"', p_name, '"', CASE WHEN p_size % 7 = 0 THEN '' ELSE '}' END) AS content, p_size % 7 <> 0 AS valid FROM part)""",
+    f"""
+WITH a AS (SELECT * FROM ({DRAFTS}) d), b AS (SELECT * FROM ({REVISIONS}) r),
+j AS (SELECT b.*, a.valid AS held, sha256(a.content) AS before, sha256(b.content) AS content_hash, a.modified AS since FROM a JOIN b ON b.figure_code = a.figure_code)
+SELECT figure_code, content_hash, CASE WHEN held AND before = content_hash THEN 'unchanged' WHEN held AND modified < since THEN 'stale' WHEN valid THEN 'published' ELSE 'quarantined' END AS outcome,
+  CAST(held AS INT) + CAST(valid AND NOT (held AND (before = content_hash OR modified < since)) AS INT) AS version FROM j""",
 )
 def stream_domain_files(spark, sf):
-    path, checkpoint = scratch(spark, "figures"), scratch(spark, "figures-state")
-    part = table_stream(spark, sf, "part")
-    content = F.concat(F.lit('{"figureCode":'), F.col("p_partkey").cast("string"), F.lit(',"name":"'), "p_name", F.lit('"'), F.when(F.col("p_size") % 7 == 0, "").otherwise("}"))
-    files = part.select(F.col("p_partkey").alias("figure_code"), content.alias("content"))
-    valid = F.from_json("content", "figureCode long, name string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    files = files.withColumn("valid", valid["_corrupt"].isNull())
-    jobs.stream_domain_files(spark, files, path, checkpoint)
-    return jobs.latest(spark, path, ["figure_code"])
+    arrivals, path, checkpoint = scratch(spark, "drafts"), scratch(spark, "figures"), scratch(spark, "figures-state")
+    for text in (DRAFTS, REVISIONS):
+        files = query(spark, sf, text)
+        files.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(files.schema).parquet(arrivals)
+        jobs.stream_domain_files(spark, stream, path, checkpoint)
+    return jobs.latest(spark, path, ["figure_code"]).drop("modified")

@@ -183,32 +183,36 @@ def stream_exports(spark: SparkSession, files: DataFrame, exports: DataFrame, al
     run(files.select("path", "length"), "append", checkpoint, each)
 
 
+PUBLISHED = "figure_code long, content_hash string, modified timestamp, outcome string, version int"
+
+
 def stream_domain_files(spark: SparkSession, files: DataFrame, path: str, checkpoint: str) -> None:
     """Publish changed figure files as new versions; unchanged ones are skipped, bad ones quarantined.
 
-    A quarantined file leaves the figure's active version alone. ``files`` holds (figure_code,
-    content, valid).
+    A quarantined file leaves the figure's active version alone. ``files`` holds (figure_code, content, valid,
+    modified). Of a figure's files in a batch the newest counts, of equally new ones the one with the largest hash; one that
+    is older than the version published last is named stale and changes nothing.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema}
+    schema = PUBLISHED.replace("figure_code long", f"figure_code {kinds['figure_code']}")
+    # an empty batch before the first, so that there always is a table to read
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        hashed = last_wins(batch.withColumn("content_hash", F.sha2("content", 256)), ["figure_code"], ["content_hash"])
-        try:
-            known = last_wins(
-                spark.read.parquet(path).filter("outcome = 'published' and batch_id < " + str(batch_id)),
-                ["figure_code"], ["version"],
-            ).select("figure_code", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"))
-            joined = hashed.join(known, "figure_code", "left")
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            joined = hashed.withColumn("_hash", F.lit(None).cast("string")).withColumn("_version", F.lit(0))
+        hashed = last_wins(batch.withColumn("content_hash", F.sha2("content", 256)), ["figure_code"], ["modified", "content_hash"])
+        earlier = spark.read.parquet(path).filter((F.col("outcome") == "published") & (F.col("batch_id") < batch_id))
+        known = last_wins(earlier, ["figure_code"], ["version"]).select(
+            "figure_code", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"), F.col("modified").alias("_modified")
+        )
+        joined = hashed.join(known, "figure_code", "left")
         outcome = (
             F.when(F.col("_hash").eqNullSafe(F.col("content_hash")), "unchanged")
+            .when(F.coalesce(F.col("modified") < F.col("_modified"), F.lit(False)), "stale")
             .when(F.col("valid"), "published")
             .otherwise("quarantined")
         )
         version = F.coalesce("_version", F.lit(0)) + F.when(outcome == "published", 1).otherwise(0)
-        result = joined.select("figure_code", "content_hash", outcome.alias("outcome"), version.alias("version"))
+        result = joined.select("figure_code", "content_hash", "modified", outcome.alias("outcome"), version.alias("version"))
         result.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     run(files, "append", checkpoint, each)

@@ -88,3 +88,26 @@ def test_price_bands_keep_the_order_of_levels():
     levels = sorted({1, 2, 3, 99, 100, 101, *(7**k for k in range(1, 20)), *(10**k + d for k in range(1, 18) for d in (-1, 0, 1))})
     bands = [barriers.band_of(x) for x in [-5, 0, *levels]]
     assert bands == sorted(bands)
+
+
+def test_newest_figure_file_counts(spark):
+    schema = "figure_code string, content string, valid boolean, modified timestamp"
+    base = checkpoint_dir(spark, f"figures-test-{uuid.uuid4().hex}")
+
+    def at(n):
+        return dt.datetime(2026, 1, n)
+
+    batches = [
+        [("A", "one", True, at(5)), ("A", "zero", True, at(4)), ("B", "bad", False, at(5))],
+        [("A", "older", True, at(3)), ("B", "good", True, at(6))],
+        [("A", "two", True, at(7)), ("A", "broken", False, at(8)), ("B", "good", True, at(9))],
+        [("A", "three", True, at(9))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
+        jobs.stream_domain_files(spark, spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state")
+    rows = spark.read.parquet(f"{base}/out").collect()
+    assert sorted((r.batch_id, r.figure_code, r.outcome, r.version) for r in rows) == [
+        (0, "A", "published", 1), (0, "B", "quarantined", 0), (1, "A", "stale", 1), (1, "B", "published", 1),
+        (2, "A", "quarantined", 1), (2, "B", "unchanged", 1), (3, "A", "published", 2),
+    ]
