@@ -220,11 +220,22 @@ def value_checks(f: dict, raw: str, typed: str, m: Meanings) -> list[tuple[str,
     return found
 
 
-def _members_hits(f: dict, raw: str, m: Meanings) -> str:
+def _members_hits(f: dict, raw: str, m: Meanings, row: str = "NULL") -> str:
     """One entry per member of an enum set that is no option."""
     listed = ", ".join(_quoted(o) for o in f["options"])
     wrong = f"array_except(from_json({raw}, 'array<string>'), array({listed}))"
-    return f"coalesce(transform({wrong}, x -> {_hit(m.field(f, 'option'), value='x')}), {NO_HITS})"
+    return f"coalesce(transform({wrong}, y -> {_hit(m.field(f, 'option'), row, 'y')}), {NO_HITS})"
+
+
+def _present(f: dict, raw: str) -> str:
+    """An empty text is absent, and so is a set without members."""
+    given = f"nullif({raw}, '') IS NOT NULL"
+    return f"{given} AND replace({raw}, ' ', '') <> '[]'" if f["type"] == "enumset" else given
+
+
+def _in_row(condition: str) -> str:
+    """A condition that reads its own row as ``r``, inside the pass over rows."""
+    return re.sub(r"\br\.(\w+)", r"x.typed.\1", condition)
 
 
 def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tuple[list[str], list[str]]:
@@ -238,8 +249,8 @@ def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tup
         required = scope != "form" and (f.get("required") or f.get("required_when"))
         if not section.endswith("[]"):
             raw, typed = f"raw_{section}.{key}", f"{section}.{key}"
-            present = f"nullif({raw}, '') IS NOT NULL"
-            if f["type"] == "enumset":
+            present = _present(f, raw)
+            if f["type"] == "enumset" and f.get("options"):
                 arrays.append(f"CASE WHEN {ask} AND {present} THEN {_members_hits(f, raw, m)} ELSE {NO_HITS} END")
             for failed, code, quoted in value_checks(f, raw, typed, m):
                 if quoted:
@@ -253,7 +264,7 @@ def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tup
                 single.append(f"CASE WHEN {ask} AND NOT ({present}) AND {needed} THEN {code} END")
             continue
         name = section[:-2]
-        present, edited = f"nullif(x.raw.{key}, '') IS NOT NULL", "true"
+        present, edited = _present(f, f"x.raw.{key}"), "true"
         if narrow:
             # As-you-type, only the row that was edited is spoken about.
             edited = f"array_contains(_exact, concat('{name}[', CAST(i AS STRING), '].{key}'))"
@@ -263,9 +274,13 @@ def field_hits(fields: list[dict], m: Meanings, scope: str, narrow: bool) -> tup
             for failed, code, quoted in value_checks(f, f"x.raw.{key}", f"x.typed.{key}", m)
         ]
         if required:
-            entries.append(f"CASE WHEN {edited} AND NOT ({present}) THEN {_hit(m.field(f, 'required'), 'i')} END")
+            needed = "true" if f.get("required") else f"coalesce({_in_row(f['required_when'])}, false)"
+            entries.append(f"CASE WHEN {edited} AND NOT ({present}) AND {needed} THEN {_hit(m.field(f, 'required'), 'i')} END")
+        pairs = f"zip_with(raw_{name}, {name}, (a, b) -> named_struct('raw', a, 'typed', b))"
+        if f["type"] == "enumset" and f.get("options"):
+            members = f"CASE WHEN {edited} AND {present} THEN {_members_hits(f, f'x.raw.{key}', m, 'i')} ELSE {NO_HITS} END"
+            arrays.append(f"CASE WHEN {ask} THEN coalesce(flatten(transform({pairs}, (x, i) -> {members})), {NO_HITS}) ELSE {NO_HITS} END")
         if entries:
-            pairs = f"zip_with(raw_{name}, {name}, (a, b) -> named_struct('raw', a, 'typed', b))"
             rows = f"flatten(transform({pairs}, (x, i) -> array_compact(array({', '.join(entries)}))))"
             arrays.append(f"CASE WHEN {ask} THEN coalesce({rows}, {NO_HITS}) ELSE {NO_HITS} END")
     return single, arrays

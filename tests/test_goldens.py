@@ -341,3 +341,23 @@ def test_live_on_includes_both_ends(spark):
     df = spark.sql("SELECT DATE '2026-09-01' AS issue_date, DATE '2028-09-01' AS maturity_date")
     days = {"2026-08-31": 0, "2026-09-01": 1, "2028-09-01": 1, "2028-09-02": 0}
     assert {x: book.live_on(df, dt.date.fromisoformat(x)).count() for x in days} == days
+
+
+def test_sets_and_conditions_in_rows(spark):
+    base = {"pt": "x", "en": "x"}
+    fields = [
+        {"path": "payoff.kinds", "type": "enumset", "options": ["A", "B"], "required": True, **base},
+        {"path": "observations[].kind", "type": "string", **base},
+        {"path": "observations[].days", "type": "enumset", "options": ["MON", "TUE"], "required_when": "r.kind = 'weekly'", **base},
+    ]
+    docs = [
+        {"payoff": {"kinds": []}, "observations": []},
+        {"payoff": {"kinds": ["A", "C"]}, "observations": [{"kind": "weekly"}, {"kind": "daily"}, {"kind": "weekly", "days": []}]},
+        {"payoff": {"kinds": ["B"]}, "observations": [{"kind": "weekly", "days": ["MON", "SUN"]}, {"days": ["SAT"]}]},
+    ]
+    notes = spark.createDataFrame([(i, "F", json.dumps(d)) for i, d in enumerate(docs)], "note_id long, figure_code string, doc string")
+    found = validation.validate(notes, fields, [], validation.Checks())
+    assert sorted((r.note_id, r.path, r.check) for r in found.collect()) == [
+        (0, "payoff.kinds", "required"), (1, "observations[0].days", "required"), (1, "observations[2].days", "required"), (1, "payoff.kinds", "option"),
+        (2, "observations[0].days", "option"), (2, "observations[1].days", "option"),
+    ]
