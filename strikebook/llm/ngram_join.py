@@ -13,7 +13,7 @@
 4. *Pairs.* What is left is joined on the shingle under the length, the positional and the suffix filter, between different
    components only, and counted per pair. The suffix filter bounds the Hamming distance of whole sets
    from below by the segments of the hash space in which one has an odd and the other an even number of shingles. Each
-   pair, with a leader or not, is verified once, on whole sets; these are computed once for classes that share a prefix shingle.
+   pair, with a leader or not, is verified once, on whole sets, which only classes in pairs that pass the suffix filter get.
 5. Components of the links give the result; copies follow their class.
 
 Defined cases: texts without words, and null texts, have an empty set and are linked with nothing. Fewer
@@ -38,7 +38,7 @@ from strikebook.llm.shingles import shingle_sets
 
 PERCENT, HOT, HOT_FROM, FLUSH = 80, 1 << 18, 8, 2_000_000
 #: Rounds of leaders before pairs; segments of the hash space that the suffix filter compares.
-ROUNDS, SEGMENTS = 3, 512
+ROUNDS, SEGMENTS = 3, 1024
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -162,7 +162,7 @@ def _near_enough(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """The whole sets (node, shingles) of ``classes``. Only one text of each is shuffled, once."""
+    """The whole sets (node, shingles) of ``classes``. Only one text of each is needed."""
     wanted = written(members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("key").alias("_key")), "wanted", release=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +179,13 @@ def sets_of(classes: DataFrame, docs: DataFrame, members: DataFrame, key: str, t
     return written(sets.where("node = _wanted").select("node", "shingles"), "sets", release=True)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Of written pairs of classes (u, v) those whose sets are similar enough.
 
     Few classes are the v of many pairs: the set of each u travels to that of its v, where a hot v is split.
     """
+    nodes = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
+    sets = sets_of(nodes, docs, members, key, text)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,19 +218,26 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """Members (key, n, class) and links (u, v) between classes; links connect just what is connected."""
     rows = written(prefixes(docs, key, text, percent), "prefixes", release=True)
     members = rows.select("key", "n", "class")
+    sketches = rows.where("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     live = shared_prefixes(rows)
-    sets = sets_of(live.select("class").distinct(), docs, members, key, text)
+    sketches = written(sketches.join(live.select("class").distinct(), "class", "left_semi"), "sketches", release=True)
     found = tried = docs.sparkSession.createDataFrame([], "u long, v long")
     for turn in range(ROUNDS):
-        pairs = written(_untried(_with_leaders(live, turn, percent), tried), "pairs")
-        new = verified(pairs, sets, percent)
+        pairs = written(_close(_untried(_with_leaders(live, turn, percent), tried), sketches, percent), "pairs", release=True)
+        new = verified(pairs, docs, members, key, text, percent)
         found, tried = found.unionByName(new), tried.unionByName(pairs)
         if new.isEmpty():
             break
         live = _unconnected(live, components(found))
-    sketches = rows.where("sketch is not null").select("class", "sketch")
-    pairs = written(_untried(_remaining(live, sketches, percent), tried), "pairs")
-    return members, found.unionByName(verified(pairs, sets, percent))
+    pairs = written(_untried(_remaining(live, sketches.select("class", "sketch"), percent), tried), "pairs", release=True)
+    return members, found.unionByName(verified(pairs, docs, members, key, text, percent))
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the suffix filter."""
+    u, v = (sketches.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"of_{x}")) for x in "uv")
+    met = pairs.join(u, "u").join(v, "v")
+    return met.where(_near_enough("of_u", "of_v", F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -272,8 +281,6 @@ def _remaining(live: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("class")
     live = live.withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
     live = live.withColumn("after", F.count("*").over(own) - F.col("before")).withColumn("rest", F.col("n") - F.col("at"))
-    # a class has a sketch from every task that met it
-    sketches = sketches.join(live.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"))
     live = written(live.join(sketches, "class"), "live")
     a, b = live.alias("a"), live.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
