@@ -189,16 +189,19 @@ def missing_attributes(spark, sf):
     return ops.missing_attributes(frame(spark, sf, "attributes"), query(spark, sf, MAPPED))
 
 
-RESOLVE = "SELECT o_orderkey AS row_id, o_custkey * 3 AS ordinal, CASE WHEN o_orderkey % 2 = 0 THEN concat('#', lpad(CAST(o_custkey AS STRING), 9, '0')) ELSE 'none' END AS name FROM {orders}"
-ANNEX = "SELECT c_custkey * 2 AS ordinal, concat(c_mktsegment, ' ', c_name) AS title, concat('A', lpad(CAST(c_custkey AS STRING), 9, '0')) AS code FROM {customer}"
+RESOLVE = """SELECT o_orderkey AS row_id, o_custkey * 3 AS ordinal, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN concat('#', lpad(CAST(o_custkey AS STRING), 9, '0'))
+  WHEN 1 THEN concat(' CLIENTE —  customer#', lpad(CAST(o_custkey AS STRING), 9, '0'), ' ') WHEN 2 THEN 'none' WHEN 3 THEN ' ' ELSE concat('é', CAST(o_custkey AS STRING)) END AS name FROM {orders}"""
+ANNEX = """SELECT c_custkey * 2 AS ordinal, CASE WHEN c_custkey % 3 = 0 THEN concat(c_mktsegment, ' É', CAST(c_custkey AS STRING)) ELSE concat(c_mktsegment, ' Cliente – ', c_name) END AS title,
+  concat('A', lpad(CAST(c_custkey AS STRING), 9, '0')) AS code FROM {customer}"""
 
 
 @registry.add(
     "C11_resolve_codes",
     f"""
-WITH r AS ({RESOLVE}), a AS ({ANNEX}), o AS (SELECT ordinal, min(code) AS code FROM a GROUP BY 1),
-names AS (SELECT DISTINCT name FROM r), n AS (SELECT name, min(code) AS code FROM names JOIN a ON suffix(title, name) GROUP BY 1)
-SELECT r.row_id, r.ordinal, r.name, coalesce(o.code, n.code) AS code FROM r LEFT JOIN o ON o.ordinal = r.ordinal LEFT JOIN n ON n.name = r.name""",
+WITH r AS (SELECT *, upper(trim(regexp_replace(replace(replace(name, '–', '-'), '—', '-'), '\\s+', ' ', 'g'))) AS k FROM ({RESOLVE}) r0), a AS ({ANNEX}),
+t AS (SELECT code, upper(trim(regexp_replace(replace(replace(title, '–', '-'), '—', '-'), '\\s+', ' ', 'g'))) AS title FROM a), o AS (SELECT ordinal, min(code) AS code FROM a GROUP BY 1),
+names AS (SELECT DISTINCT k FROM r WHERE k <> ''), n AS (SELECT k, min(code) AS code FROM names JOIN t ON suffix(t.title, k) GROUP BY 1)
+SELECT r.row_id, r.ordinal, r.name, coalesce(o.code, n.code) AS code FROM r LEFT JOIN o ON o.ordinal = r.ordinal LEFT JOIN n ON n.k = r.k""",
 )
 def resolve_codes(spark, sf):
     return ops.resolve_codes(query(spark, sf, RESOLVE), query(spark, sf, ANNEX))

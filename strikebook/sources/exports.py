@@ -11,11 +11,11 @@ def read_export(spark: SparkSession, path: str, columns: list[tuple[str, int, st
 
     ``columns`` lists (name, position, kind), kind being text, int or flag. Rows with fewer than
     ``least`` cells are dropped, cells trimmed, blanks null; a bad number reads 0 and S or SIM
-    reads true. ``as_of`` is the stamp of the row's own file.
+    reads true. ``as_of`` is the stamp of the row's own file; of several stamp lines, the least.
     """
     lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"))
     stamp = F.trim("value").rlike(r"^\d{8}$")
-    stamps = lines.filter(stamp).select("_file", F.trim("value").alias("as_of"))
+    stamps = lines.filter(stamp).groupBy("_file").agg(F.min(F.trim("value")).alias("as_of"))
     cells = F.split("value", ";")
     body = lines.filter(~stamp).withColumn("_cells", cells)
     body = body.filter((F.size("_cells") >= least) & (F.trim(F.get("_cells", F.lit(0))) != header))
