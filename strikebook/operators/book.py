@@ -127,18 +127,52 @@ def with_figure_name(book: DataFrame, figures: DataFrame) -> DataFrame:
     return book.join(figures.select("figure_code", "figure_name"), "figure_code", "left")
 
 
-def page_with_total(book: DataFrame, figures: DataFrame, page: int, size: int) -> DataFrame:
+#: Rows a page may skip by sorting them; beyond that their keys are narrowed first. Parts a day is cut into for it.
+MOST_SKIPPED, PARTS = 10_000, 1000
+
+
+def _narrowed(rows: DataFrame, key: Column, groups: list, skip: int, size: int) -> tuple[DataFrame, int]:
+    """The rows of the groups that hold places ``skip`` to ``skip + size``, and how many of these come before.
+
+    ``groups`` are (value of ``key``, rows) in order.
+    """
+    kept, before, at = [], 0, 0
+    for value, n in groups:
+        if at + n <= skip:
+            before += n
+        elif at < skip + size:
+            kept.append(value)
+        at += n
+    known = [v for v in kept if v is not None]
+    wanted = key.isin(known) if known else F.lit(False)
+    return rows.where(wanted | key.isNull() if None in kept else wanted), skip - before
+
+
+def page_with_total(book: DataFrame, figures: DataFrame, page: int, size: int, most_skipped: int = MOST_SKIPPED) -> DataFrame:
     """One page, newest update first, with the unpaged total on each row.
 
-    The total is a scalar subquery and the page a take-ordered limit, so neither the sort nor the
-    count gathers the book in one task. Names are joined to the page, not to the book.
+    Rows are counted per day of update, so only the days that hold the page are read again, with their dates pushed into
+    the scan. Where a day holds more rows before the page than may be skipped, it is cut into parts by the quantiles of its ids
+    first. The rest is a take-ordered limit. Names are joined to the page, not to the book.
     """
     if page < 1 or not 1 <= size <= 500:
         raise ValueError("pages count from 1 and hold 1 to 500 notes")
-    ordered = book.orderBy(F.col("updated_on").desc(), F.col("note_id"))
-    cut = ordered.offset((page - 1) * size).limit(size)
-    total = book.agg(F.count("*").alias("n")).scalar()
-    return with_figure_name(cut, figures).withColumn("total", total)
+    # one row a day
+    days = book.groupBy("updated_on").agg(F.count("*").alias("n")).orderBy(F.col("updated_on").desc_nulls_last()).collect()
+    rows, skip = _narrowed(book, F.col("updated_on"), days, (page - 1) * size, size)
+    if skip > most_skipped:
+        cuts = rows.groupBy("updated_on").agg(F.percentile_approx("note_id", [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("_cuts"))
+        met = F.col("updated_on").eqNullSafe(F.col("_day"))
+        rows = rows.join(F.broadcast(cuts.withColumnRenamed("updated_on", "_day")), met)
+        part = F.concat_ws(":", "updated_on", F.lpad(F.size(F.filter("_cuts", lambda c: c < F.col("note_id"))).cast("string"), 4, "0"))
+        rows = rows.withColumn("_part", part)
+        # at most a page's number of days, in a bounded number of parts each
+        sizes = rows.groupBy("updated_on", "_part").agg(F.count("*").alias("n"))
+        sizes = sizes.orderBy(F.col("updated_on").desc_nulls_last(), "_part").select("_part", "n").collect()
+        rows, skip = _narrowed(rows, F.col("_part"), sizes, skip, size)
+        rows = rows.drop("_day", "_cuts", "_part")
+    cut = rows.orderBy(F.col("updated_on").desc_nulls_last(), F.col("note_id")).offset(skip).limit(size)
+    return with_figure_name(cut, figures).withColumn("total", F.lit(sum(d.n for d in days)).cast("long"))
 
 
 def eligible_underlyings(master: DataFrame) -> DataFrame:

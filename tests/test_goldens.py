@@ -361,3 +361,16 @@ def test_sets_and_conditions_in_rows(spark):
         (0, "payoff.kinds", "required"), (1, "observations[0].days", "required"), (1, "observations[2].days", "required"), (1, "payoff.kinds", "option"),
         (2, "observations[0].days", "option"), (2, "observations[1].days", "option"),
     ]
+
+
+def test_deep_pages(spark):
+    """A day with most of the rows, one without a date, ties of the day; pages in any depth are those of one sort."""
+    rows = [(i, "F", None if i % 50 == 3 else dt.date(2024, 1, 1 + (0 if i % 3 else i % 20))) for i in range(3000)]
+    book_rows = spark.createDataFrame(rows, "note_id long, figure_code string, updated_on date").repartition(6)
+    figures = spark.createDataFrame([("F", "a figure")], "figure_code string, figure_name string")
+    order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or dt.date(1, 1, 1)).toordinal(), r[0]))
+    for page, size in ((1, 50), (2, 7), (20, 100), (429, 7), (30, 100), (31, 100)):
+        for skipped in (10_000, 5):
+            got = book.page_with_total(book_rows, figures, page, size, most_skipped=skipped).collect()
+            assert [r.note_id for r in got] == [r[0] for r in order[(page - 1) * size : page * size]], (page, size, skipped)
+            assert all(r.total == 3000 and r.figure_name == "a figure" for r in got)
