@@ -177,18 +177,34 @@ def barrier_hit(
     return notes.join(found, "note_id", "left").withColumn("hit", F.col("first_breach").isNotNull())
 
 
+def schedule_length(start: str, end: str, calendar: Calendar) -> Column:
+    """Business days of a window, both ends included: the registered number of daily observations."""
+    return F.greatest(calendar.index(F.col(end)) - calendar.index(F.date_sub(F.col(start), 1)), F.lit(0)).cast("long")
+
+
+def scheduled_blocks(notes: DataFrame, fixings: DataFrame, start: str, end: str, quote: str, calendar: Calendar) -> DataFrame:
+    """``note_blocks`` of the business days alone."""
+    blocks = note_blocks(notes, fixings, start, end, quote)
+    return blocks.withColumn("observed", F.filter("observed", lambda d: calendar.is_open(d["day"])))
+
+
 def days_in_range(
-    notes: DataFrame, fixings: DataFrame, start: str, end: str, quote: str, low: str, high: str
+    notes: DataFrame, fixings: DataFrame, start: str, end: str, quote: str, low: str, high: str, calendar: Calendar
 ) -> DataFrame:
-    """Observations of each note, and how many lie between its two levels, both ends included."""
-    blocks = note_blocks(notes, fixings, start, end, quote)
+    """Observations of each note, and how many lie between its two levels, both ends included.
+
+    ``n_all`` is the number of the schedule, so a day without a fixing, missing or to come, raises no coupon; ``n_missing``
+    counts these days.
+    """
+    blocks = scheduled_blocks(notes, fixings, start, end, quote, calendar)
     within = F.filter("observed", lambda d: (d["price"] >= F.col(low)) & (d["price"] <= F.col(high)))
     counts = (
-        blocks.select("note_id", F.size(within).alias("_in"), F.size("observed").alias("_all"))
+        blocks.select("note_id", F.size(within).alias("_in"), F.size("observed").alias("_found"))
         .groupBy("note_id")
-        .agg(F.sum("_in").alias("n_in"), F.sum("_all").alias("n_all"))
+        .agg(F.sum("_in").alias("n_in"), F.sum("_found").alias("_found"))
     )
     zero = F.lit(0).cast("long")
-    return notes.join(counts, "note_id", "left").withColumns(
-        {"n_in": F.coalesce("n_in", zero), "n_all": F.coalesce("n_all", zero)}
+    counted = notes.join(counts, "note_id", "left").withColumns(
+        {"n_in": F.coalesce("n_in", zero), "n_all": F.coalesce(schedule_length(start, end, calendar), zero)}
     )
+    return counted.withColumn("n_missing", F.col("n_all") - F.coalesce("_found", zero)).drop("_found")

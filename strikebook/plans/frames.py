@@ -281,6 +281,13 @@ SELECT t.*, f.fixing_date AS day,
 FROM {barriers} t JOIN {d_fixings} f ON f.asset = t.asset AND f.fixing_date BETWEEN t.start_date AND t.end_date
 """
 
+# Of these, the daily observations: business days, whose number is the schedule's.
+FRAMES["d_scheduled"] = "SELECT o.* FROM {d_observed} o JOIN {d_calendar} c ON c.day = o.day AND c.is_business_day"
+FRAMES["d_lengths"] = """
+SELECT t.note_id, y.bd_index - x.bd_index + CAST(x.is_business_day AS BIGINT) AS n_all
+FROM {barriers} t JOIN {d_calendar} x ON x.day = t.start_date JOIN {d_calendar} y ON y.day = t.end_date
+"""
+
 FRAMES["d_observations"] = """
 SELECT s.* EXCLUDE (trigger_pct), CAST(trigger_pct - step_down * (obs_no - 1) AS DECIMAL(9,4)) AS trigger_pct, f.close AS price,
        CASE WHEN f.close IS NOT NULL THEN 'fixed' WHEN s.obs_date <= (SELECT max(CAST(ts AS DATE)) FROM {events}) THEN 'unresolved' ELSE 'open' END AS state

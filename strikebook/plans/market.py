@@ -394,12 +394,12 @@ def barrier_hit(spark, sf):
 @registry.add(
     "M9_days_in_range",
     """
-SELECT b.note_id, coalesce(c.n_in, 0) AS n_in, coalesce(c.n_all, 0) AS n_all FROM {barriers} b LEFT JOIN (
- SELECT note_id, count(*) FILTER (price >= low AND price <= high) AS n_in, count(*) AS n_all
- FROM {d_observed} o GROUP BY 1) c ON c.note_id = b.note_id""",
+SELECT b.note_id, coalesce(c.n_in, 0) AS n_in, l.n_all, l.n_all - coalesce(c.n_found, 0) AS n_missing FROM {barriers} b JOIN {d_lengths} l ON l.note_id = b.note_id LEFT JOIN (
+ SELECT note_id, count(*) FILTER (price >= low AND price <= high) AS n_in, count(*) AS n_found
+ FROM {d_scheduled} o GROUP BY 1) c ON c.note_id = b.note_id""",
 )
 def days_in_range(spark, sf):
     counted = fixings.days_in_range(
-        frame(spark, sf, "barriers"), daily(spark, sf), "start_date", "end_date", "quote_type", "low", "high"
+        frame(spark, sf, "barriers"), daily(spark, sf), "start_date", "end_date", "quote_type", "low", "high", brazil(spark)
     )
-    return counted.select("note_id", "n_in", "n_all")
+    return counted.select("note_id", "n_in", "n_all", "n_missing")

@@ -122,9 +122,8 @@ def shark_fin(spark, sf):
     return watched.select("note_id", *settled(paid))
 
 
-RANGE = """(SELECT b.*, coalesce(o.n_in, 0) AS n_in, coalesce(o.n_all, 0) AS n_all FROM {barriers} b LEFT JOIN (
-  SELECT note_id, count(*) FILTER (price >= low AND price <= high) AS n_in, count(*) AS n_all
-  FROM {d_observed} x GROUP BY 1) o ON o.note_id = b.note_id) r"""
+RANGE = """(SELECT b.*, coalesce(o.n_in, 0) AS n_in, l.n_all FROM {barriers} b JOIN {d_lengths} l ON l.note_id = b.note_id LEFT JOIN (
+  SELECT note_id, count(*) FILTER (price >= low AND price <= high) AS n_in FROM {d_scheduled} x GROUP BY 1) o ON o.note_id = b.note_id) r"""
 
 
 @registry.add(
@@ -137,7 +136,7 @@ FROM {RANGE}""",
 )
 def range_accrual(spark, sf):
     counted = fixings.days_in_range(
-        frame(spark, sf, "barriers"), daily(spark, sf), "start_date", "end_date", "quote_type", "low", "high"
+        frame(spark, sf, "barriers"), daily(spark, sf), "start_date", "end_date", "quote_type", "low", "high", brazil(spark)
     )
     modes = [
         payoffs.range_accrual(c("vn"), c("coupon"), c("n_in"), c("n_all"), mode).alias(mode)
@@ -239,17 +238,18 @@ def indexer_switch(spark, sf):
     f"""
 SELECT note_id, {paid("1 + " + mul(pct("coupon + 4"), part_of("n_1", "n_all")) + " + " + mul(pct("coupon + 2"), part_of("(n_2 - n_1)", "n_all"))
          + " + " + mul(pct("coupon"), part_of("(n_3 - n_2)", "n_all")))} AS redemption
-FROM (SELECT b.note_id, b.vn, b.coupon, count(price) AS n_all,
+FROM (SELECT b.note_id, b.vn, b.coupon, l.n_all,
         count(*) FILTER (price BETWEEN low + 20 AND high - 20) AS n_1,
         count(*) FILTER (price BETWEEN low + 10 AND high - 10) AS n_2,
         count(*) FILTER (price BETWEEN low AND high) AS n_3
-      FROM {{barriers}} b LEFT JOIN (SELECT note_id AS obs_note, price FROM {{d_observed}} x) o ON o.obs_note = b.note_id
-      GROUP BY 1, 2, 3) l""",
+      FROM {{barriers}} b JOIN {{d_lengths}} l ON l.note_id = b.note_id
+      LEFT JOIN (SELECT note_id AS obs_note, price FROM {{d_scheduled}} x) o ON o.obs_note = b.note_id
+      GROUP BY 1, 2, 3, 4) g""",
 )
 def wedding_cake(spark, sf):
     notes = frame(spark, sf, "barriers")
-    fixed = daily(spark, sf)
-    blocks = fixings.note_blocks(notes, fixed, "start_date", "end_date", "quote_type")
+    days = brazil(spark)
+    blocks = fixings.scheduled_blocks(notes, daily(spark, sf), "start_date", "end_date", "quote_type", days)
 
     def inside(margin):
         return F.size(
@@ -257,11 +257,12 @@ def wedding_cake(spark, sf):
         )
 
     counts = (
-        blocks.select("note_id", *[inside(m).alias(f"n_{k}") for k, m in ((1, 20), (2, 10), (3, 0))], F.size("observed").alias("n_all"))
+        blocks.select("note_id", *[inside(m).alias(f"n_{k}") for k, m in ((1, 20), (2, 10), (3, 0))])
         .groupBy("note_id")
-        .agg(*[F.sum(n).alias(n) for n in ("n_1", "n_2", "n_3", "n_all")])
+        .agg(*[F.sum(n).alias(n) for n in ("n_1", "n_2", "n_3")])
     )
-    joined = notes.join(counts, "note_id", "left").fillna(0, ["n_1", "n_2", "n_3", "n_all"])
+    joined = notes.join(counts, "note_id", "left").fillna(0, ["n_1", "n_2", "n_3"])
+    joined = joined.withColumn("n_all", fixings.schedule_length("start_date", "end_date", days))
     for k, bonus in ((1, 4), (2, 2), (3, 0)):
         joined = joined.withColumn(f"coupon_{k}", c("coupon") + bonus)
     return payoffs.layered_accrual(joined, 3).select("note_id", "redemption")
@@ -271,21 +272,24 @@ def wedding_cake(spark, sf):
     "N14_edge_accrual",
     f"""
 SELECT note_id, {paid("1 + " + mul(COUPON, part_of("n_1", "n_all")))} AS redemption
-FROM (SELECT b.note_id, b.vn, b.coupon, count(price) AS n_all,
+FROM (SELECT b.note_id, b.vn, b.coupon, l.n_all,
         count(*) FILTER (CASE WHEN direction = 'up' THEN price >= low ELSE price < low END) AS n_1
-      FROM {{barriers}} b LEFT JOIN (SELECT note_id AS obs_note, price FROM {{d_observed}} x) o ON o.obs_note = b.note_id
-      GROUP BY 1, 2, 3) l""",
+      FROM {{barriers}} b JOIN {{d_lengths}} l ON l.note_id = b.note_id
+      LEFT JOIN (SELECT note_id AS obs_note, price FROM {{d_scheduled}} x) o ON o.obs_note = b.note_id
+      GROUP BY 1, 2, 3, 4) g""",
 )
 def edge_accrual(spark, sf):
     notes = frame(spark, sf, "barriers")
-    blocks = fixings.note_blocks(notes, daily(spark, sf), "start_date", "end_date", "quote_type")
+    days = brazil(spark)
+    blocks = fixings.scheduled_blocks(notes, daily(spark, sf), "start_date", "end_date", "quote_type", days)
     beyond = F.size(F.filter("observed", lambda d: fixings.breach(d["price"], c("low"), c("direction"))))
     counts = (
-        blocks.select("note_id", beyond.alias("n_1"), F.size("observed").alias("n_all"))
+        blocks.select("note_id", beyond.alias("n_1"))
         .groupBy("note_id")
-        .agg(F.sum("n_1").alias("n_1"), F.sum("n_all").alias("n_all"))
+        .agg(F.sum("n_1").alias("n_1"))
     )
-    joined = notes.join(counts, "note_id", "left").fillna(0, ["n_1", "n_all"]).withColumn("coupon_1", c("coupon"))
+    joined = notes.join(counts, "note_id", "left").fillna(0, ["n_1"]).withColumn("coupon_1", c("coupon"))
+    joined = joined.withColumn("n_all", fixings.schedule_length("start_date", "end_date", days))
     return payoffs.layered_accrual(joined, 1).select("note_id", "redemption")
 
 
