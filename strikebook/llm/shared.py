@@ -28,12 +28,13 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, lineage cut, safe if executors go.
 
     Shuffle files that only this write needed stay on the executors' disks until the driver collects its
-    garbage. ``release`` asks for that at once, for steps that shuffle about as much as the input holds.
+    garbage. ``release`` asks for that at once, for steps that shuffle about as much as the input holds; a local
+    master, as in tests, is spared the wait.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    if release:
+    if release and not spark.sparkContext.master.startswith("local"):
         # the first collection frees the plans, the next ones the shuffles they held
         for _ in range(3):
             gc.collect()
