@@ -3,6 +3,11 @@
 Every stage reads what its predecessor kept, written as Parquet. The first two and the fourth drop rows
 (rejected by the quality rules, near copies of an earlier document, contaminated by the benchmark), the
 third cuts repeated strings from texts, the last gives a row per packed piece.
+
+Defined cases follow from the operators: null, empty and other texts of under 50 words fail the base rule of the
+first stage; long texts are judged and cut whole; of repeated rows and of rows that share a set one stays, the one with
+the least key; rows without a key are not near duplicates of any. Empty tables give no rows. The first four stages return the
+columns of ``documents``, whatever others are called.
 """
 
 from __future__ import annotations
