@@ -22,9 +22,10 @@ registry = Registry()
 
 
 def table_stream(spark, sf, table):
-    """The table's file as a stream source."""
+    """The table as a stream source, be it one file or a folder of part files."""
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    # A pattern may match either; a plain path would have to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
 
 
 def ticks(spark, sf):

@@ -3,10 +3,12 @@
 import datetime as dt
 import uuid
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from strikebook.operators import payoffs
+from strikebook.plans import streams
 from strikebook.session import checkpoint_dir
 from strikebook.streaming import barriers, jobs
 
@@ -111,3 +113,18 @@ def test_newest_figure_file_counts(spark):
         (0, "A", "published", 1), (0, "B", "quarantined", 0), (1, "A", "stale", 1), (1, "B", "published", 1),
         (2, "A", "quarantined", 1), (2, "B", "unchanged", 1), (3, "A", "published", 2),
     ]
+
+
+def test_a_table_of_part_files_streams_like_one_file(spark):
+    base = checkpoint_dir(spark, f"table-stream-test-{uuid.uuid4().hex}")
+    rows = spark.range(0, 20, 1, 4).withColumn("text", F.col("id").cast("string"))
+    rows.write.parquet(f"{base}/folder/events.parquet")
+    rows.coalesce(1).write.parquet(f"{base}/parts")
+    Path(f"{base}/single").mkdir()
+    next(Path(f"{base}/parts").glob("part-*.parquet")).rename(f"{base}/single/events.parquet")
+    for sf in ("folder", "single"):
+        # a table beside it whose name begins alike is not read
+        rows.write.parquet(f"{base}/{sf}/events.parquet2")
+        stream = streams.table_stream(spark, f"{base}/{sf}", "events")
+        jobs.run(stream, "append", f"{base}/{sf}-state", jobs.keep(f"{base}/{sf}-out"))
+        assert sorted(r.id for r in spark.read.parquet(f"{base}/{sf}-out").collect()) == list(range(20)), sf
