@@ -36,5 +36,6 @@ def written_scale(text: str, key: str) -> str:
     """
     number = f'"{key}"[ ]*:[ ]*"?-?[0-9]+(?:[.]([0-9]+))?(?:[eE]([+-]?[0-9]+))?'
     mantissa = f"length(regexp_extract({text}, '{number}', 1))"
-    exponent = f"coalesce(try_cast(regexp_extract({text}, '{number}', 2) AS INT), 0)"
+    # An empty text is no number; a cast would raise, word and drop an error for each.
+    exponent = f"coalesce(try_cast(nullif(regexp_extract({text}, '{number}', 2), '') AS INT), 0)"
     return f"greatest({mantissa} - {exponent}, 0)"

@@ -217,7 +217,7 @@ def row_rule(spark, sf):
 @registry.add("G8_check_business_day", shown(SERVER))
 def check_business_day(spark, sf):
     rules = [r for r in RULES if r.get("check") == "businessDay"]
-    return findings(spark, sf, rules=rules).filter(F.col("rule_id").isNotNull()).select(SHOWN)
+    return findings(spark, sf, [f for f in FIELDS if f["path"].startswith("common.")], rules).filter(F.col("rule_id").isNotNull()).select(SHOWN)
 
 
 def _custom(rule_id, check, args, target):
