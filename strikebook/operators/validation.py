@@ -106,10 +106,12 @@ def _computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that later expressions read as values, not as copies of their formula.
 
     Catalyst merges neighbouring projections, which would parse a document again for every
-    attribute a rule reads. A one-element explode keeps the two projections apart.
+    attribute a rule reads. A one-element explode keeps the two projections apart; it only passes on what
+    the projection below it made, as a formula inside a generator is interpreted row by row.
     """
     packed = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.explode(F.array(packed)).alias("_once")).select("*", "_once.*").drop("_once")
+    made = df.select("*", packed.alias("_made"))
+    return made.select(*df.columns, F.explode(F.array("_made")).alias("_once")).select(*df.columns, "_once.*")
 
 
 def read_notes(notes: DataFrame, fields: list[dict]) -> DataFrame:
@@ -340,13 +342,20 @@ Check = Callable[[DataFrame, dict, str], DataFrame]
 
 
 class Checks:
-    """Reference-data checks by name: each adds one true/false/null column through joins."""
+    """Reference-data checks by name: each adds one true/false/null column through joins.
+
+    What a check joins by the note alone, it may join ``early``: before documents are parsed, when rows are short.
+    """
 
     def __init__(self) -> None:
         self.known: dict[str, Check] = {}
+        self.early: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
-    def register(self, name: str, check: Check) -> None:
+    def register(self, name: str, check: Check, early: Callable[[DataFrame], DataFrame] | None = None) -> None:
         self.known[name] = check
+        self.early.pop(name, None)
+        if early is not None:
+            self.early[name] = early
 
 
 def standard_checks(calendar: Calendar, book: DataFrame | None = None, eligible: DataFrame | None = None) -> Checks:
@@ -374,12 +383,14 @@ def standard_checks(calendar: Calendar, book: DataFrame | None = None, eligible:
     checks.register("observationCountMatchesCalendar", observation_count)
     if book is not None:
 
-        def unique_code(notes, args, out):
+        def taken_codes(notes):
             taken = instrument_code_taken(book).select("note_id", F.col("taken").alias("_taken"))
-            free = F.when(values.present(F.expr(args["path"])).isNotNull(), ~F.col("_taken"))
-            return notes.join(taken, "note_id", "left").withColumn(out, free).drop("_taken")
+            return notes.join(taken, "note_id", "left")
 
-        checks.register("uniqueInstrumentCode", unique_code)
+        def unique_code(notes, args, out):
+            return notes.withColumn(out, F.when(values.present(F.expr(args["path"])).isNotNull(), ~F.col("_taken")))
+
+        checks.register("uniqueInstrumentCode", unique_code, taken_codes)
     if eligible is not None:
 
         def registered(notes, args, out):
@@ -392,8 +403,16 @@ def standard_checks(calendar: Calendar, book: DataFrame | None = None, eligible:
     return checks
 
 
+def with_early_joins(notes: DataFrame, rules: list[dict], checks: Checks) -> DataFrame:
+    """Join once what the named checks look up by the note alone."""
+    for name in dict.fromkeys(r["check"] for r in rules if "check" in r):
+        if name in checks.early:
+            notes = checks.early[name](notes)
+    return notes
+
+
 def with_facts(notes: DataFrame, rules: list[dict], checks: Checks) -> tuple[DataFrame, dict[str, str]]:
-    """Join every check the rules name once per distinct (check, arguments)."""
+    """Join every check the rules name once per distinct (check, arguments); early joins have been made."""
     columns: dict[tuple, str] = {}
     facts: dict[str, str] = {}
     for r in rules:
@@ -454,7 +473,8 @@ def validate(
     """
     m = Meanings()
     running = in_scope(rules, scope, set(checks.known))
-    typed, facts = with_facts(with_section_texts(read_notes(notes, fields), fields), running, checks)
+    joined = with_early_joins(notes, running, checks)
+    typed, facts = with_facts(with_section_texts(read_notes(joined, fields), fields), running, checks)
     narrow = scope == "field"
     if narrow:
         typed = with_changes(typed, changed)
@@ -480,7 +500,8 @@ def validate(
         "note_id", "figure_code", F.expr(f"concat({', '.join(codes)})").alias("_codes"),
         F.expr(f"concat({', '.join(hits)})").alias("_entries"),
     )
-    numbered = f"transform(filter(_codes, c -> c IS NOT NULL), c -> {_hit('c')})"
+    # Numbers are told once a note, so taking the nulls away as a set loses none.
+    numbered = f"transform(array_except(_codes, array(CAST(NULL AS INT))), c -> {_hit('c')})"
     found = listed.select(
         "note_id", "figure_code", F.explode(F.expr(f"concat(CAST({numbered} AS {HIT}), _entries)")).alias("_hit")
     )
