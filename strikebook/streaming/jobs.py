@@ -12,14 +12,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strikebook.functions.dedupe import last_wins
+from strikebook.functions.exact import at_least, money, percent, ratio
 from strikebook.operators import validation as v
 from strikebook.sources.commit_log import CommitLog
 from strikebook.sources.exports import newest_export, sync_status
@@ -66,52 +68,96 @@ def stream_quotes(ticks: DataFrame, delay: str = "2 days") -> DataFrame:
     )
 
 
-FLOWS = "note_id long, obs_no int, obs_date date, kind string, amount decimal(18,2)"
-STATE = "seen int, last_paid int, done boolean"
-
-
-def _note_flows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal
-
-    seen, last_paid, done = state.get if state.exists else (0, 0, False)
-    cent, sixteen = Decimal("0.01"), Decimal("1e-16")
-    rows = []
-    # A note has at most one observation a day, so its part of a batch is small.
-    for r in pd.concat(list(batches)).sort_values("obs_no").itertuples(index=False):
-        if done:
-            break
-        seen = int(r.obs_no)
-        if r.state == "unresolved":
-            rows.append((key[0], seen, r.obs_date, "unresolved", None))
-            done = True
-            continue
-        paid = r.price * 100 >= r.s0 * r.coupon_pct
-        called = r.price * 100 >= r.s0 * r.trigger_pct
-        if paid:
-            amount = r.vn * r.coupon / 100 * (seen - last_paid)
-            rows.append((key[0], seen, r.obs_date, "coupon", amount.quantize(cent, ROUND_DOWN)))
-            last_paid = seen
-        if called or seen == r.n_obs:
-            kept = called or r.price * 100 >= r.s0 * r.lower_pct
-            ratio = (r.price / r.s0).quantize(sixteen, ROUND_HALF_UP)
-            amount = r.vn if kept else (r.vn * ratio).quantize(cent, ROUND_DOWN)
-            kind = "early redemption" if called and seen < r.n_obs else "maturity"
-            rows.append((key[0], seen, r.obs_date, kind, amount))
-            done = True
-    state.update((seen, last_paid, done))
-    if rows:
-        yield pd.DataFrame(rows, columns=["note_id", "obs_no", "obs_date", "kind", "amount"])
+#: Groups of the autocall state; a group holds every so-manyth note, so its rows are worked on as one array.
+AUTOCALL_GROUPS = 4096
+STEPS = "known boolean, id long, obs_no long, day long, step int, periods int, vn long, coupon long, principal long"
+#: Stands for a missing value in the whole numbers that pass through the state.
+ABSENT = -(2**63)
+STATE = "notes binary"
+COUPON, CALLED, MATURITY, UNRESOLVED = range(4)
+_SEEN = np.dtype([("known", "?"), ("note", "<i8"), ("last_paid", "<i4"), ("done", "?")])
+
+
+def _group_steps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The payments of a group of notes; the state holds each note's last paid number and whether it has ended."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    held = np.frombuffer(state.get[0], _SEEN) if state.exists else np.empty(0, _SEEN)
+    # a missing note is a note of its own
+    known, ids = rows.known.to_numpy(bool), rows.id.to_numpy("int64")
+    order = np.lexsort((rows.obs_no.to_numpy(), ids, known))
+    rows, known, ids = rows.iloc[order], known[order], ids[order]
+    n = len(rows)
+    first = np.ones(n, bool)
+    first[1:] = (known[1:] != known[:-1]) | (ids[1:] != ids[:-1])
+    note, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    before = {(bool(k), int(i)): (int(p), bool(d)) for k, i, p, d in held.tolist()}
+    came = [(bool(k), int(i)) for k, i in zip(known[starts], ids[starts], strict=True)]
+    paid_before = np.array([before.get(c, (0, False))[0] for c in came], "int64")
+    done_before = np.array([before.get(c, (0, False))[1] for c in came], bool)
+    no = rows.obs_no.to_numpy("int64")
+    unresolved, called = rows.unresolved.to_numpy(bool), rows.called.to_numpy(bool) & ~rows.unresolved.to_numpy(bool)
+    ends = unresolved | called | (no == rows.n_obs.to_numpy("int64"))
+    # rows after the one that ends a note are not looked at
+    passed = np.cumsum(ends) - ends
+    alive = (passed == passed[starts][note]) & ~done_before[note]
+    paid = alive & rows.paid.to_numpy(bool) & ~unresolved
+    # numbers ascend in a note, so the last paid one before a row is the largest
+    position = np.where(paid, np.arange(n), -1)
+    earlier = np.maximum.accumulate(np.concatenate(([-1], position[:-1]))) if n else position
+    own = earlier >= starts[note]
+    periods = no - np.where(own, no[np.maximum(earlier, 0)], paid_before[note])
+    latest = np.maximum.accumulate(position)[np.append(starts[1:], n) - 1]
+    last_paid = np.where(latest >= starts, no[np.maximum(latest, 0)], paid_before)
+    ended = done_before | np.bitwise_or.reduceat(alive & ends, starts)
+    before.update(zip(came, zip(last_paid.tolist(), ended.tolist(), strict=True), strict=True))
+    state.update((np.array([(k, i, p, d) for (k, i), (p, d) in before.items()], _SEEN).tobytes(),))
+    end = np.where(unresolved, UNRESOLVED, np.where(called & (no < rows.n_obs.to_numpy("int64")), CALLED, MATURITY))
+    for chosen, step in ((paid, np.zeros(n, "int64")), (alive & ends, end)):
+        if chosen.any():
+            out = rows.loc[chosen, ["known", "id", "obs_no", "day", "vn", "coupon", "principal"]].assign(step=step[chosen], periods=periods[chosen])
+            yield out[["known", "id", "obs_no", "day", "step", "periods", "vn", "coupon", "principal"]]
+
+
+def _whole(value: Column, decimals: int) -> Column:
+    """A decimal as a whole number of its last place; an array of these is cheap, one of decimals is not."""
+    return F.coalesce((value.cast(f"decimal(18,{decimals})") * 10**decimals).cast("long"), F.lit(ABSENT))
+
+
+def _value(column: str, decimals: int) -> Column:
+    unit = F.lit(f"{10**-decimals:.{decimals}f}").cast(f"decimal({decimals + 1},{decimals})")
+    value = F.col(column).cast("decimal(19,0)") * unit
+    return F.when(F.col(column) != ABSENT, value.cast(f"decimal(18,{decimals})"))
 
 
 def stream_autocall(observations: DataFrame) -> DataFrame:
     """Coupons and redemption as fixings arrive in the order of the schedule; a few numbers of state per note.
 
     Each row brings its registered number, trigger and barriers. A row may say that a past date is unresolved; that
-    ends what can be said of the note.
+    ends what can be said of the note. Prices are compared and amounts computed in the plan; the state is keyed by
+    groups of notes and says which observation pays for how many periods.
     """
-    return observations.groupBy("note_id").applyInPandasWithState(
-        _note_flows, FLOWS, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    price, s0 = F.col("price"), F.col("s0")
+    called, no = at_least(price, F.col("trigger_pct"), s0), F.lit(False)
+    kept = called | at_least(price, F.col("lower_pct"), s0)
+    steps = (
+        observations.select(
+            F.col("obs_no").cast("long").alias("obs_no"), F.col("n_obs").cast("long").alias("n_obs"),
+            F.coalesce(F.unix_date("obs_date").cast("long"), F.lit(ABSENT)).alias("day"),
+            _whole(F.col("vn"), 2).alias("vn"), _whole(F.col("coupon"), 4).alias("coupon"),
+            F.col("note_id").isNotNull().alias("known"), F.coalesce("note_id", F.lit(0).cast("long")).alias("id"),
+            F.pmod(F.xxhash64("note_id"), F.lit(AUTOCALL_GROUPS)).cast("int").alias("notes_of"),
+            F.coalesce(F.col("state") == "unresolved", no).alias("unresolved"),
+            F.coalesce(at_least(price, F.col("coupon_pct"), s0), no).alias("paid"), F.coalesce(called, no).alias("called"),
+            _whole(F.when(kept, F.col("vn")).otherwise(money(F.col("vn"), ratio(price, s0))), 2).alias("principal"),
+        )
+        .groupBy("notes_of")
+        .applyInPandasWithState(_group_steps, STEPS, STATE, "append", GroupStateTimeout.NoTimeout)
+    )
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("coupon", "early redemption", "maturity", "unresolved")]), F.col("step") + 1)
+    coupon = money(_value("vn", 2), percent(_value("coupon", 4)) * F.col("periods"))
+    amount = F.when(F.col("step") == COUPON, coupon).when(F.col("step") != UNRESOLVED, _value("principal", 2))
+    day = F.when(F.col("day") != ABSENT, F.date_from_unix_date(F.col("day").cast("int")))
+    return steps.select(F.when(F.col("known"), F.col("id")).alias("note_id"), F.col("obs_no").cast("int").alias("obs_no"), day.alias("obs_date"), kinds.alias("kind"), amount.cast("decimal(18,2)").alias("amount"))
 
 
 def stream_edits(

@@ -1,6 +1,7 @@
 """Streams over several micro-batches give what one batch gives."""
 
 import datetime as dt
+import random
 import uuid
 from decimal import Decimal
 from pathlib import Path
@@ -128,3 +129,31 @@ def test_a_table_of_part_files_streams_like_one_file(spark):
         stream = streams.table_stream(spark, f"{base}/{sf}", "events")
         jobs.run(stream, "append", f"{base}/{sf}-state", jobs.keep(f"{base}/{sf}-out"))
         assert sorted(r.id for r in spark.read.parquet(f"{base}/{sf}-out").collect()) == list(range(20)), sf
+
+
+def test_autocall_groups_hold_many_notes(spark):
+    """Notes share a group of the state, over batches, with unresolved dates, missing ids and rows out of order."""
+    draw = random.Random(5)
+    rows = []
+    for note in [*range(400), None]:
+        n = draw.randint(1, 6)
+        for i in range(1, n + 1):
+            state = "unresolved" if draw.random() < 0.05 else "fixed"
+            price = None if state == "unresolved" else Decimal(draw.randint(40, 103))
+            rows.append((note, dt.date(2024, 1, i), i, price, state, Decimal(100), Decimal(100), Decimal(70), Decimal(55), Decimal("4.1234"), Decimal("1000.55"), n))
+    draw.shuffle(rows)
+    schema = (
+        "note_id long, obs_date date, obs_no int, price decimal(18,8), state string, s0 decimal(18,8), trigger_pct decimal(9,4), "
+        "coupon_pct decimal(9,4), lower_pct decimal(9,4), coupon decimal(9,4), vn decimal(18,2), n_obs int"
+    )
+    obs = spark.createDataFrame(rows, schema)
+    base = checkpoint_dir(spark, f"stream-test-{uuid.uuid4().hex}")
+    for i in range(3):
+        obs.filter(F.floor((F.dayofmonth("obs_date") - 1) / 2) == i).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.run(jobs.stream_autocall(stream), "append", f"{base}/state", jobs.keep(f"{base}/out"))
+    got = spark.read.parquet(f"{base}/out").select("note_id", "obs_no", "obs_date", "kind", "amount").collect()
+    expected = payoffs.phoenix(obs.drop("n_obs", "obs_no")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len(got) > 400
+    # the state is asked for once a group and batch, not once a note
+    assert "notes_of" in jobs.stream_autocall(stream)._jdf.queryExecution().logical().toString()
