@@ -289,6 +289,12 @@ def phoenix(obs: DataFrame) -> DataFrame:
 
     An unresolved date is a row without an amount, and the note's last.
     """
+    flows = _with_flows(obs).withColumn("_flow", F.explode("_flows"))
+    return flows.select("note_id", "obs_no", "obs_date", "_flow.kind", "_flow.amount")
+
+
+def _with_flows(obs: DataFrame) -> DataFrame:
+    """The observations a note lives to see, each with the array of its payments (kind, amount)."""
     alive = first_trigger(coupon_memory(observation_no(obs)))
     last = F.coalesce("called_no", F.col("n_obs"))
     early = F.col("called_no").isNotNull() & (F.col("called_no") < F.col("n_obs"))
@@ -313,8 +319,7 @@ def phoenix(obs: DataFrame) -> DataFrame:
     unknown = F.when(
         F.col("obs_no") == F.col("gap_no"), F.struct(F.lit("unresolved").alias("kind"), F.lit(None).cast(MONEY).alias("amount"))
     )
-    flows = alive.withColumn("_flow", F.explode(F.array_compact(F.array(coupon, principal, unknown))))
-    return flows.select("note_id", "obs_no", "obs_date", "_flow.kind", "_flow.amount")
+    return alive.withColumn("_flows", F.array_compact(F.array(coupon, principal, unknown)))
 
 
 def lifecycle_events(notes: DataFrame, obs: DataFrame) -> DataFrame:
@@ -326,12 +331,15 @@ def lifecycle_events(notes: DataFrame, obs: DataFrame) -> DataFrame:
     issued = notes.select(
         "note_id", F.col("start_date").alias("event_date"), F.lit("issue").alias("kind"), F.col("vn").cast(MONEY).alias("amount")
     )
-    observed = first_trigger(observation_no(obs)).select(
-        "note_id", F.col("obs_date").alias("event_date"), F.lit("observation").alias("kind"), none.alias("amount")
-    )
-    flows = phoenix(obs).join(notes.select("note_id", "end_date", "settles"), "note_id")
-    late = (F.col("kind") == "early redemption") & (F.col("settles") == "maturity")
-    paid = flows.select(
-        "note_id", F.when(late, F.col("end_date")).otherwise(F.col("obs_date")).alias("event_date"), "kind", "amount"
-    )
-    return issued.unionByName(observed).unionByName(paid)
+    # Observations and payments come from one pass; of an id that is booked twice, each note is paid.
+    booked = notes.groupBy("note_id").agg(F.collect_list(F.struct("end_date", "settles")).alias("_notes"))
+    lived = _with_flows(obs).join(booked, "note_id", "left")
+
+    def payment(note: Column, flow: Column) -> Column:
+        late = (flow["kind"] == "early redemption") & (note["settles"] == "maturity")
+        return F.struct(F.when(late, note["end_date"]).otherwise(F.col("obs_date")).alias("event_date"), flow["kind"].alias("kind"), flow["amount"].alias("amount"))
+
+    seen = F.array(F.struct(F.col("obs_date").alias("event_date"), F.lit("observation").alias("kind"), none.alias("amount")))
+    paid = F.flatten(F.transform("_notes", lambda note: F.transform("_flows", lambda flow: payment(note, flow))))
+    events = lived.select("note_id", F.explode(F.when(F.col("_notes").isNull(), seen).otherwise(F.concat(seen, paid))).alias("_event"))
+    return issued.unionByName(events.select("note_id", "_event.*"))

@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from strikebook.functions import values
+from strikebook.operators import payoffs
 from strikebook.operators import validation as v
 from strikebook.operators.calendar import Calendar
 
@@ -53,3 +54,22 @@ def test_an_exponent_that_is_not_written_is_not_cast(spark):
     assert [r[0] for r in rows.selectExpr(scale).collect()] == [3, 4, 0, 0]
     # the cast sees null for an absent exponent, so no error is built and dropped for each note
     assert "try_cast(nullif(" in scale
+
+
+def test_lifecycle_events_read_observations_once(spark):
+    day = "DATE '2024-01-02'"
+    obs = spark.range(6).selectExpr(
+        "id % 3 AS note_id", f"date_add({day}, CAST(id AS INT)) AS obs_date", "CAST(id DIV 3 + 1 AS INT) AS obs_no", "2L AS n_obs",
+        "CAST(60 + 25 * id AS DECIMAL(18,8)) AS price", "'fixed' AS state", "CAST(100 AS DECIMAL(18,8)) AS s0", "CAST(100 AS DECIMAL(9,4)) AS trigger_pct",
+        "CAST(70 AS DECIMAL(9,4)) AS coupon_pct", "CAST(70 AS DECIMAL(9,4)) AS lower_pct", "CAST(4 AS DECIMAL(9,4)) AS coupon", "CAST(1000 AS DECIMAL(18,2)) AS vn",
+    )
+    # note 1 is booked twice, note 2 not at all
+    notes = spark.createDataFrame([(0, "trigger"), (1, "maturity"), (1, "trigger")], "note_id long, settles string").selectExpr(
+        "note_id", f"{day} AS start_date", "DATE '2024-12-31' AS end_date", "CAST(1000 AS DECIMAL(18,2)) AS vn", "settles"
+    )
+    events = payoffs.lifecycle_events(notes, obs)
+    flows = payoffs.phoenix(obs).join(notes, "note_id").count()
+    kinds = [r.kind for r in events.collect()]
+    assert kinds.count("issue") == 3 and kinds.count("observation") == payoffs.first_trigger(obs).count()
+    assert len(kinds) - kinds.count("issue") - kinds.count("observation") == flows > 3
+    assert sum("Range (0, 6" in line for line in explained(events)) == 1
