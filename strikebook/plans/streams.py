@@ -54,7 +54,10 @@ TRIGGER = d_record(LAYOUTS["Y7_trigger"]["fixed"][1], set("operation_code instru
  WHERE CASE WHEN direction = 'up' THEN price >= level ELSE price < level END GROUP BY 1) h JOIN ({REGISTERED}) r ON r.note_id = h.note_id""",
 )
 def stream_barrier(spark, sf):
-    """Ticks in three arrivals; some of a third's last day come with the next. A last arrival closes the days."""
+    """Ticks in three arrivals; some of a third's last day come with the next. A last arrival closes the days.
+
+    What every micro-batch reads of the notes is derived once.
+    """
     arrivals, path, checkpoint = scratch(spark, "ticks"), scratch(spark, "barrier"), scratch(spark, "barrier-state")
     every = frame(spark, sf, "ticks").select("tick_id", "asset", F.col("ts").cast("timestamp").alias("ts"), "price")
     third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
@@ -64,11 +67,14 @@ def stream_barrier(spark, sf):
     )
     numbered = every.withColumn("arrival", third + F.when(late, 1).otherwise(0))
     notes = frame(spark, sf, "barriers").select("note_id", "asset", "quote_type", "direction", "level", "start_date", "end_date")
-    registered = query(spark, sf, REGISTERED)
+    kept = scratch(spark, "barrier-notes")
+    for name, df in (("registered", query(spark, sf, REGISTERED)), ("parts", barriers.asset_parts(notes))):
+        df.write.parquet(f"{kept}/{name}")
+    registered, parts = (spark.read.parquet(f"{kept}/{name}") for name in ("registered", "parts"))
     for part in [*(numbered.where(F.col("arrival") == i).drop("arrival") for i in range(3)), close]:
         part.write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(every.schema).parquet(arrivals)
-        jobs.run(barriers.stream_barrier(stream, notes), "append", checkpoint, barriers.keep_firings(path, registered))
+        jobs.run(barriers.stream_barrier(stream, notes, parts=parts), "append", checkpoint, barriers.keep_firings(path, registered))
     return barriers.firings(spark, path).drop("problem")
 
 

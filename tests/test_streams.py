@@ -87,6 +87,36 @@ def test_barriers_over_batches_with_late_ticks(spark):
     assert all(r.problem is None for r in rows.values())
 
 
+def test_ticks_of_a_task_are_summed_up_once(spark):
+    """More ticks than an Arrow batch holds; one has no price."""
+    ticks = spark.range(5000).coalesce(1).selectExpr(
+        "id AS tick_id", "7L AS asset", "timestamp_seconds(1704067200 + id) AS ts", "CAST(nullif(id, 10) AS DECIMAL(18,8)) AS price"
+    )
+    (row,) = barriers.daily_sums(ticks).collect()
+    assert (row.last_id, row.close, row.n, row.high, row.low) == (4999, 4999 * barriers.UNIT, 4999, 4999 * barriers.UNIT, 0)
+    assert row.whole * barriers.UNIT + row.rest == (sum(range(5000)) - 10) * barriers.UNIT
+
+
+def test_assets_share_the_keys_of_the_barrier_state(spark, monkeypatch):
+    monkeypatch.setattr(barriers, "GROUPS", 3)
+    notes = spark.range(40).selectExpr(
+        "id AS note_id", "id % 20 AS asset", "CASE WHEN id % 2 = 0 THEN 'high' ELSE 'close' END AS quote_type", "'up' AS direction",
+        "CAST(100 + id AS DECIMAL(18,8)) AS level", "DATE'2024-01-01' AS start_date", "DATE'2024-01-04' AS end_date",
+    )
+    base = checkpoint_dir(spark, f"barrier-test-{uuid.uuid4().hex}")
+    registered = notes.selectExpr("note_id", "'0031' AS operation_code")
+    schema = "tick_id long, asset long, ts timestamp, price decimal(18,8)"
+    for day, price in ((1, 110), (2, 125), (30, 1)):
+        rows = [(day * 100 + a, a, dt.datetime(2024, 1, day), Decimal(price)) for a in range(20)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.run(barriers.stream_barrier(stream, notes, notes_per_key=1), "append", f"{base}/state", barriers.keep_firings(f"{base}/out", registered))
+        if day == 1:
+            assert spark.read.format("statestore").option("stateVarName", "index").load(f"{base}/state").count() <= 3
+    got = sorted((r.note_id, r.first_breach.day, int(r.price)) for r in barriers.firings(spark, f"{base}/out").collect())
+    assert got == [(n, 1, 110) if n <= 10 else (n, 2, 125) for n in range(26)]
+
+
 def test_price_bands_keep_the_order_of_levels():
     levels = sorted({1, 2, 3, 99, 100, 101, *(7**k for k in range(1, 20)), *(10**k + d for k in range(1, 18) for d in (-1, 0, 1))})
     bands = [barriers.band_of(x) for x in [-5, 0, *levels]]
