@@ -237,6 +237,32 @@ def test_single_byte():
     assert single_byte.encode("ā€中") == b"a\x80?"
 
 
+def _variable_rows(spark, sizes):
+    texts = [f"SELECT {f} AS file_id, CAST(id AS INT) AS field_value, date_add(DATE'2020-01-01', CAST(id * 97 % 1200 AS INT)) AS payment_date FROM range({n})" for f, n in sizes]
+    return spark.sql(" UNION ALL ".join([*texts, "SELECT NULL, 1, DATE'2020-01-01'", "SELECT 1, 2, NULL"])).withColumns({"stamp": F.lit("2026-09-01").cast("date"), "field_code": F.lit("C1")})
+
+
+def test_only_large_files_are_numbered_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(clearing, "MANY_ROWS", 10)
+    rows = _variable_rows(spark, [(1, 10), (2, 300), (3, 1)])
+    got = clearing.number_rows(rows, ["payment_date", "field_value"], F.year("payment_date")).collect()
+    places = {f: [r.row_no for r in sorted(got, key=lambda r: (r.payment_date, r.field_value)) if r.file_id == f] for f in (1, 2, 3)}
+    # a row without a date comes first and is left out; it makes file 1 one of many rows
+    assert places == {1: [*range(2, 12)], 2: [*range(1, 301)], 3: [1]}
+    assert len(got) == 311
+
+
+def test_rows_of_small_files_are_numbered_once(spark):
+    rows = _variable_rows(spark, [(1, 3), (2, 5), (4, 1)])
+    notes = spark.sql("SELECT id AS file_id, DATE'2026-09-01' AS stamp, CASE WHEN id = 2 THEN -1 ELSE 7 END AS quantity FROM range(1, 4)")
+    numbered_rows = clearing.number_rows(rows, ["payment_date", "field_value"], F.year("payment_date"))
+    lines, rejects = clearing.export_layout("Y1_registration", notes, numbered_rows, rows.dropna(subset=["file_id", "payment_date"]))
+    assert sorted((r.file_id, r.line_no) for r in lines.collect()) == [(1, 1), (1, 2), (1, 4), (1, 5), (1, 6), (3, 1), (3, 2), (4, 3)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, "quantity")]
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Window [") == 1
+
+
 def test_numbering_equals_row_number(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 5003).alias("v"))
     split = numbered(df, ["k"], ["v"], F.floor(F.col("v") / 100), "n")
