@@ -36,7 +36,9 @@ from strikebook.llm.components import components
 from strikebook.llm.shared import table, written
 from strikebook.llm.shingles import shingle_sets
 
-PERCENT, HOT, HOT_FROM, FLUSH = 80, 1 << 18, 8, 2_000_000
+PERCENT, HOT, HOT_FROM = 80, 1 << 18, 8
+#: Shingles that a task holds for counting, and sends at once.
+FLUSH, SENT = 2_000_000, 1 << 18
 #: Rounds of leaders before pairs; segments of the hash space that the suffix filter compares.
 ROUNDS, SEGMENTS = 3, 1024
 
@@ -49,41 +51,60 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _block(heads: np.ndarray) -> pa.RecordBatch:
+    """A row per range: the distinct heads of an ascending run and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+    counts = np.minimum(np.diff(first, append=len(heads)), 65535).astype(np.uint16)
+    heads = heads[first]
+    low = heads.astype(np.uint32)
+    which, first = np.unique((heads >> np.uint64(32)).astype(np.int32), return_index=True)
+    bounds = [*first.tolist(), len(low)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(which, pa.int32()),
+            pa.array([low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+        ],
+        ["bucket", "low", "n"],
+    )
+
+
+def _flushed(shingles: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The heads are taken and sorted in place and sent some whole ranges at a time."""
+    shingles >>= np.uint64(32 - bits)
+    shingles.sort()
+    at = 0
+    while at < len(shingles):
+        last = int(shingles[min(at + SENT, len(shingles)) - 1]) >> 32
+        end = int(np.searchsorted(shingles, np.uint64((last + 1) << 32)))
+        yield _block(shingles[at:end])
+        at = end
+
+
+def shingle_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """How often shingles occur in the distinct sets of texts: sorted blocks by range, from one buffer of ``FLUSH`` shingles."""
+    held, size, seen = np.empty(FLUSH, np.uint64), 0, set()
+    for batch in batches:
+        for shingles in shingle_sets(batch.column(0).to_pylist()):
+            if not len(shingles) or (name := class_of(shingles)) in seen:
+                continue
+            seen.add(name)
+            if size + len(shingles) > FLUSH:
+                yield from _flushed(held[:size], bits)
+                size = 0
+            if len(shingles) > FLUSH:
+                yield from _flushed(shingles, bits)
+            else:
+                held[size : size + len(shingles)] = shingles
+                size += len(shingles)
+    yield from _flushed(held[:size], bits)
+
+
 def frequent_shingles(docs: DataFrame, text: str, most: int = HOT) -> tuple[np.ndarray, np.ndarray, int]:
     """The hash heads of the most frequent shingles, ascending, their counts over the tasks' classes, and the bits of a range."""
     spark = docs.sparkSession
     bits = max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-
-        def flush() -> pa.RecordBatch:
-            heads, counts = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
-            bucket = (heads >> np.uint64(32)).astype(np.int32)
-            low, counts = heads.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
-            which, first = np.unique(bucket, return_index=True)
-            bounds = [*first.tolist(), len(low)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(which, pa.int32()),
-                    pa.array([low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                ],
-                ["bucket", "low", "n"],
-            )
-
-        for batch in batches:
-            for shingles in shingle_sets(batch.column(0).to_pylist()):
-                if len(shingles) and (name := class_of(shingles)) not in seen:
-                    seen.add(name)
-                    held.append(shingles)
-                    size += len(shingles)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
     def count(key: tuple, group: pa.Table) -> pa.Table:
         low = np.frombuffer(b"".join(x.as_py() for x in group.column("low")), np.uint32)
         n = np.frombuffer(b"".join(x.as_py() for x in group.column("n")), np.uint16)
@@ -95,6 +116,9 @@ def frequent_shingles(docs: DataFrame, text: str, most: int = HOT) -> tuple[np.n
         heads = low[first[hot]].astype(np.int64) + (int(key[0].as_py()) << 32)
         return pa.table({"head": pa.array(heads, pa.int64()), "n": pa.array(sums[hot], pa.int64())})
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shingle_blocks(batches, bits)
+
     sent = docs.select(text).mapInArrow(send, "bucket int, low binary, n binary")
     counted = sent.groupBy("bucket").applyInArrow(count, "head long, n long")
     top = counted.orderBy(F.desc("n"), "head").limit(most).toArrow()

@@ -392,6 +392,48 @@ def imposed_order(monkeypatch, texts):
     monkeypatch.setattr(ngram_join, "frequent_shingles", lambda docs, text: (heads, np.array([counts[int(h)] for h in heads]), 16))
 
 
+def test_ngram_join_counts_shingles_in_one_buffer(monkeypatch):
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strikebook.llm.shingles import shingle_sets
+
+    def batches(texts):
+        return (pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2], pa.string())], ["text"]) for i in range(0, len(texts), 2))
+
+    def long_text(k, n):
+        return " ".join(map(str, range(k * n, k * n + n)))
+
+    # 2.4 million shingles: the buffer holds 16 MB and is sorted in place
+    def many():
+        return (b for k in range(120) for b in batches([long_text(k, 20_000)]))
+
+    tracemalloc.start()
+    sent = sum(np.frombuffer(n.as_py(), np.uint16).sum(dtype=int) for b in ngram_join.shingle_blocks(many(), 8) for n in b.column(2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 120 * 19_996
+    assert peak < 64e6, f"{peak / 1e6:.0f} MB"
+
+    # copies count once; a set may be larger than the buffer, texts may be empty
+    monkeypatch.setattr(ngram_join, "FLUSH", 300)
+    monkeypatch.setattr(ngram_join, "SENT", 50)
+    texts = [*(long_text(k, 40) for k in range(20)), long_text(0, 40), None, "", "a b", *(long_text(0, n) for n in (5, 90, 1000))]
+    expected = Counter(int(h) >> 24 for s in {tuple(x.tolist()) for x in shingle_sets(texts)} for h in s)
+    found = Counter()
+    for block in ngram_join.shingle_blocks(batches(texts), 8):
+        assert len(set(block.column(0).to_pylist())) == block.num_rows
+        for bucket, low, n in zip(*(c.to_pylist() for c in block.columns), strict=True):
+            low = np.frombuffer(low, np.uint32)
+            assert (low[1:] > low[:-1]).all()
+            found.update({(bucket << 32) + int(x): int(m) for x, m in zip(low, np.frombuffer(n, np.uint16), strict=True)})
+    assert found == expected
+    assert list(ngram_join.shingle_blocks(batches([None, ""]), 8)) == []
+
+
 def test_ngram_join_counts_shingles_in_the_others_tail(spark, monkeypatch):
     common = [f"c{i}" for i in range(98)]
     first, last = [f"a{i}" for i in range(16)], [f"b{i}" for i in range(6)]
